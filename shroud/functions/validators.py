@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# UBN weights, in digit order.
-UBN_WEIGHTS = (1, 2, 1, 2, 1, 2, 4, 1)
+from shroud.catalog import UBN_WEIGHTS
 
 
 def _digit(s: str, pos: int) -> str:
