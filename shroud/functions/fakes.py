@@ -334,9 +334,10 @@ def hash_sql(d: Dialect, entity: str, raw: str, salt: str = "", n: str | None =
 
 
 def fake_value_sql(d: Dialect, entity: str, raw: str, *, salt: str = "", n: str | None = None,
-                   kind: str = "local", strict_names: bool = False) -> str:
-    """Fake value for (entity, raw); ``kind`` = local | tagmap | legacy_date."""
-    h = hash_sql(d, entity, raw, salt, n)
+                   kind: str = "local", strict_names: bool = False, h: str | None = None) -> str:
+    """Fake value for (entity, raw); ``kind`` = local | tagmap | legacy_date.
+    ``h`` may name an already computed hash (saves re-hashing per arm)."""
+    h = h or hash_sql(d, entity, raw, salt, n)
     if kind == "local":
         return local_fake_sql(d, entity, raw, h, strict_names)
     if kind == "tagmap":

@@ -73,9 +73,10 @@ def empty_spans() -> Column:
     return F.expr(empty_spans_sql())
 
 
-def matches_sql(text: str, pattern: str, guard: bool = True, v: str = "m") -> str:
+def matches_sql(text: str, pattern: str, guard: bool = True, v: str = "m", pre: str | None = None) -> str:
     """SQL for ``array<struct<start,end,raw>>`` of every match of ``pattern``
-    in the SQL expression ``text``.  ``v`` prefixes the lambda variables."""
+    in the SQL expression ``text``.  ``v`` prefixes the lambda variables;
+    ``pre`` is a cheap boolean checked before the regex guard."""
     p = lit_sql(pattern)
     pairs = (
         f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), "
@@ -91,7 +92,16 @@ def matches_sql(text: str, pattern: str, guard: bool = True, v: str = "m") -> st
     folded = f"aggregate({pairs}, {init}, {step}, {v}a -> {v}a.out)"
     if not guard:
         return f"coalesce({folded}, {empty_matches_sql()})"
-    return f"CASE WHEN {text} RLIKE {p} THEN {folded} ELSE {empty_matches_sql()} END"
+    cond = f"{text} RLIKE {p}" if pre is None else f"({pre}) AND {text} RLIKE {p}"
+    return f"CASE WHEN {cond} THEN {folded} ELSE {empty_matches_sql()} END"
+
+
+DIGIT_RE = r"(?U)\d"
+
+
+def digit_flag_sql(text: str) -> str:
+    """True when ``text`` holds a (Unicode) decimal digit."""
+    return f"({text} RLIKE {lit_sql(DIGIT_RE)})"
 
 
 def regex_matches(text: Column | str, pattern: str, guard: bool = True) -> Column:

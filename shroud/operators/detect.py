@@ -15,15 +15,25 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import CONTEXT_BOOST, CONTEXT_WINDOW, DEFAULT_THRESHOLD, LEGACY_RULES, Rule, default_rules
 from shroud.functions.context import boosted_sql
-from shroud.functions.spans import empty_spans_sql, matches_sql
+from shroud.functions.spans import digit_flag_sql, empty_spans_sql, matches_sql, str_sql
 from shroud.functions.validators import VALIDATORS_SQL, mac_is_null_sql, mac_score_sql
 from shroud.operators.resolve import dedupe_contained_sql, resolve_overlaps_sql
 
 
+def prefilter_sql(text: str, rule: Rule, digit_flag: str | None) -> str | None:
+    """Cheap conditions without which the rule cannot match."""
+    conds = []
+    if rule.needs_digit and digit_flag:
+        conds.append(digit_flag)
+    if rule.literals:
+        conds.append("(" + " OR ".join(f"instr({text}, {str_sql(x)}) > 0" for x in rule.literals) + ")")
+    return " AND ".join(conds) if conds else None
+
+
 def rule_spans_sql(text: str, rule: Rule, context: bool = True, window: int = CONTEXT_WINDOW,
-                   boost: float = CONTEXT_BOOST, v: str = "r") -> str:
+                   boost: float = CONTEXT_BOOST, v: str = "r", digit_flag: str | None = None) -> str:
     """Spans of one rule: matches -> validator -> context boost."""
-    m = matches_sql(text, rule.java, v=v)
+    m = matches_sql(text, rule.java, v=v, pre=prefilter_sql(text, rule, digit_flag))
     x = f"{v}s"
     if rule.validator in VALIDATORS_SQL:
         m = f"filter({m}, {x} -> {VALIDATORS_SQL[rule.validator](f'{x}.raw')})"
@@ -60,11 +70,14 @@ def select_types_sql(spans: str, entity_types: Iterable[str] | None, v: str = "s
 def detect_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, threshold: float | None = DEFAULT_THRESHOLD,
                      context: bool = True, dedupe: bool = True, resolve: bool = False,
                      entity_types: Iterable[str] | None = None, window: int = CONTEXT_WINDOW,
-                     boost: float = CONTEXT_BOOST) -> str:
+                     boost: float = CONTEXT_BOOST, digit_flag: str | None = None) -> str:
+    """``digit_flag`` names a boolean computed once per row (see
+    :func:`with_digit_flag`); rules that need a digit skip their regex when
+    it is false."""
     rules = tuple(default_rules() if rules is None else rules)
     if not rules:
         return empty_spans_sql()
-    parts = [rule_spans_sql(text, r, context, window, boost) for r in rules]
+    parts = [rule_spans_sql(text, r, context, window, boost, digit_flag=digit_flag) for r in rules]
     arr = parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
     if dedupe:
         arr = dedupe_contained_sql(arr)
@@ -77,6 +90,13 @@ def detect_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, threshol
     return arr
 
 
+DIGIT_COL = "_shroud_has_digit"
+
+
+def with_digit_flag(df: DataFrame, text_col: str = "text") -> DataFrame:
+    return df.withColumn(DIGIT_COL, F.expr(digit_flag_sql(f"`{text_col}`")))
+
+
 def detect_spans(text_col: str = "text", rules: Iterable[Rule] | None = None, **kw) -> Column:
     return F.expr(detect_spans_sql(f"`{text_col}`", rules, **kw))
 
@@ -84,7 +104,8 @@ def detect_spans(text_col: str = "text", rules: Iterable[Rule] | None = None, **
 def detect(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] | None = None, *,
            out: str = "spans", **kw) -> DataFrame:
     """Add an ``array<span>`` column holding the detected entities."""
-    return df.withColumn(out, detect_spans(text_col, rules, **kw))
+    d = with_digit_flag(df, text_col)
+    return d.withColumn(out, detect_spans(text_col, rules, digit_flag=f"`{DIGIT_COL}`", **kw)).drop(DIGIT_COL)
 
 
 def legacy_spans_sql(text: str, names_spans: str | None = None) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shroud.functions.fakes import SPARK, map_key_sql
+from shroud.functions.fakes import SPARK, hash_sql, map_key_sql
 from shroud.operators.replace import route_sql, routed_fake_sql
 
 MAPPING_SCHEMA = T.StructType(
@@ -49,10 +49,16 @@ MODEL_BATCH_SIZE = 30
 SPLITLINES_RE = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
     """Broadcast ``df`` only when a bounded count proves it has at most
-    ``max_rows`` rows; otherwise leave the join to shuffle (+ AQE)."""
-    if max_rows <= 0:
+    ``max_rows`` rows; otherwise leave the join to shuffle (+ AQE).
+
+    ``None`` skips the count: AQE still turns the join into a broadcast at
+    run time when the measured shuffle output of this side is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- the right choice
+    for derived (not yet materialised) tables, where a count would run
+    their whole lineage twice."""
+    if not max_rows or max_rows <= 0:
         return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
@@ -66,9 +72,15 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MAPPING_SCHEMA)
 
 
-def live_mapping(mapping: DataFrame) -> DataFrame:
-    """Rows after the newest reset marker; one row per key, oldest wins."""
-    base = mapping.filter("is_reset").agg(F.max("version")).first()[0]  # one scalar
+def reset_base(mapping: DataFrame) -> int | None:
+    """Version of the newest reset marker (one scalar; cheap on a stored
+    table, where only the ``is_reset`` / ``version`` columns are read)."""
+    v = mapping.filter("is_reset").agg(F.max("version")).first()[0]
+    return None if v is None else int(v)
+
+
+def live_mapping(mapping: DataFrame, base: int | None = None) -> DataFrame:
+    """Rows after reset marker ``base``; one row per key, oldest wins."""
     rows = mapping.filter("NOT is_reset AND fake_value IS NOT NULL AND fake_value != ''")
     if base is not None:
         rows = rows.filter(F.col("version") > F.lit(int(base)))
@@ -87,10 +99,11 @@ def new_pairs(spans: DataFrame, mapping: DataFrame | None) -> DataFrame:
 def generate_pairs(pairs: DataFrame, salt: str = "") -> DataFrame:
     """Offline generation for new pairs (local generators; the model route's
     deterministic default where no model is used)."""
+    pairs = pairs.withColumn("_h", F.expr(hash_sql(SPARK, "entity_type", "raw_txt", salt)))
     return pairs.select(
         "map_key",
         "entity_type",
-        F.expr(routed_fake_sql("entity_type", "raw_txt", salt)).alias("fake_value"),
+        F.expr(routed_fake_sql("entity_type", "raw_txt", salt, h="_h")).alias("fake_value"),
         F.expr(route_sql("entity_type")).alias("route"),
     )
 
@@ -143,25 +156,27 @@ class MappingStore:
         self.append(marker)
 
     def live(self) -> DataFrame:
-        return live_mapping(self.read())
+        m = self.read()
+        return live_mapping(m, reset_base(m))
 
 
-def lookup(span_table: DataFrame, mapping: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def lookup(span_table: DataFrame, mapping: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
     """Attach ``cached_value`` to a span table (left join on the key)."""
     m = live_mapping(mapping).select("map_key", F.col("fake_value").alias("cached_value"))
     return with_map_key(span_table).join(broadcast_if_small(m, max_broadcast_rows), "map_key", "left")
 
 
 def route_spans(span_table: DataFrame, mapping: DataFrame | None = None, salt: str = "",
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                max_broadcast_rows: int | None = None) -> DataFrame:
     """Cached -> mapping value; local type -> generator; else model route."""
     if mapping is None:
         t = with_map_key(span_table).withColumn("cached_value", F.lit(None).cast("string"))
     else:
         t = lookup(span_table, mapping, max_broadcast_rows)
+    t = t.withColumn("_h", F.expr(hash_sql(SPARK, "entity_type", "raw_txt", salt)))
     route = F.when(F.col("cached_value").isNotNull(), "cached").otherwise(F.expr(route_sql("entity_type")))
-    value = F.coalesce(F.col("cached_value"), F.expr(routed_fake_sql("entity_type", "raw_txt", salt)))
-    return t.withColumn("route", route).withColumn("fake_value", value).drop("cached_value")
+    value = F.coalesce(F.col("cached_value"), F.expr(routed_fake_sql("entity_type", "raw_txt", salt, h="_h")))
+    return t.withColumn("route", route).withColumn("fake_value", value).drop("cached_value", "_h")
 
 
 def build_model_batches(pairs: DataFrame, batch_size: int = MODEL_BATCH_SIZE, buckets: int = 16) -> DataFrame:

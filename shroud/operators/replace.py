@@ -39,25 +39,35 @@ def route_sql(entity: str) -> str:
     return f"(CASE WHEN {entity} IN ({local}) THEN 'local' ELSE 'model' END)"
 
 
-def routed_fake_sql(entity: str, raw: str, salt: str = "", n: str | None = None, strict_names: bool = False) -> str:
+def routed_fake_sql(entity: str, raw: str, salt: str = "", n: str | None = None, strict_names: bool = False,
+                    h: str | None = None) -> str:
     """Local types -> per-type generator; others -> the model route's offline
     default (tag-map generator)."""
-    local = fake_value_sql(SPARK, entity, raw, salt=salt, n=n, kind="local", strict_names=strict_names)
-    model = fake_value_sql(SPARK, entity, raw, salt=salt, n=n, kind="tagmap")
+    local = fake_value_sql(SPARK, entity, raw, salt=salt, n=n, kind="local", strict_names=strict_names, h=h)
+    model = fake_value_sql(SPARK, entity, raw, salt=salt, n=n, kind="tagmap", h=h)
     return f"(CASE WHEN {route_sql(entity)} = 'local' THEN {local} ELSE {model} END)"
 
 
+_SPAN_FIELDS = ("'entity_type', {x}.entity_type, 'start', {x}.start, 'end', {x}.`end`, 'score', {x}.score, "
+                "'raw_txt', {x}.raw_txt")
+
+
+def span_fields(x: str) -> str:
+    return _SPAN_FIELDS.format(x=x)
+
+
 def with_fakes_sql(spans: str, *, salt: str = "", per_span: str | None = None, strict_names: bool = False,
                    v: str = "fk") -> str:
     """Add ``fake_value`` and ``route`` to each span.  ``per_span`` is an SQL
     expression (e.g. the document id) mixed into the seed together with the
-    span start, so every span gets its own value (A02)."""
-    x = f"{v}x"
+    span start, so every span gets its own value (A02).  The seed hash is
+    computed once per span (first transform), then the generators read it."""
+    x, y = f"{v}x", f"{v}y"
     n = None if per_span is None else f"concat({per_span}, ':', {x}.start)"
-    val = routed_fake_sql(f"{x}.entity_type", f"{x}.raw_txt", salt, n, strict_names)
-    return (f"transform({spans}, {x} -> named_struct('entity_type', {x}.entity_type, 'start', {x}.start, "
-            f"'end', {x}.`end`, 'score', {x}.score, 'raw_txt', {x}.raw_txt, 'fake_value', {val}, "
-            f"'route', {route_sql(f'{x}.entity_type')}))")
+    hashed = f"transform({spans}, {x} -> named_struct({span_fields(x)}, 'h', {hash_sql(SPARK, f'{x}.entity_type', f'{x}.raw_txt', salt, n)}))"
+    val = routed_fake_sql(f"{y}.entity_type", f"{y}.raw_txt", salt, None, strict_names, h=f"{y}.h")
+    return (f"transform({hashed}, {y} -> named_struct({span_fields(y)}, 'fake_value', {val}, "
+            f"'route', {route_sql(f'{y}.entity_type')}))")
 
 
 def replace_per_span(df: DataFrame, text_col: str = "text", spans_col: str = "spans", out: str = "text_deid",
@@ -108,18 +118,19 @@ def replace_per_type(df: DataFrame, text_col: str = "text", spans_col: str = "sp
 def length_preserving_sql(spans: str, salt: str = "", v: str = "lp") -> str:
     """Value chosen per raw text by its best-scoring span (O02), made
     by the tag-map generators, cut / space-padded to the original length;
-    ORGANIZATION kept."""
-    x, y, a, b = f"{v}x", f"{v}y", f"{v}a", f"{v}b"
+    ORGANIZATION kept.  Best type and hash are computed once per span."""
+    x, y, z, a, b = f"{v}x", f"{v}y", f"{v}z", f"{v}a", f"{v}b"
     best = (f"element_at(array_sort(filter({spans}, {y} -> {y}.raw_txt = {x}.raw_txt), ({a}, {b}) -> "
             f"CASE WHEN {a}.score > {b}.score THEN -1 WHEN {a}.score < {b}.score THEN 1 "
-            f"WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 ELSE 0 END), 1)")
-    h = hash_sql(SPARK, f"{best}.entity_type", f"{x}.raw_txt", salt)
-    gen = tagmap_fake_sql(SPARK, f"{best}.entity_type", f"{x}.raw_txt", h)
-    n = f"length({x}.raw_txt)"
-    val = (f"CASE WHEN {x}.entity_type = 'ORGANIZATION' THEN {x}.raw_txt "
+            f"WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 ELSE 0 END), 1).entity_type")
+    typed = f"transform({spans}, {x} -> named_struct({span_fields(x)}, 'best_type', {best}))"
+    hashed = (f"transform({typed}, {x} -> named_struct({span_fields(x)}, 'best_type', {x}.best_type, "
+              f"'h', {hash_sql(SPARK, f'{x}.best_type', f'{x}.raw_txt', salt)}))")
+    gen = tagmap_fake_sql(SPARK, f"{z}.best_type", f"{z}.raw_txt", f"{z}.h")
+    n = f"length({z}.raw_txt)"
+    val = (f"CASE WHEN {z}.entity_type = 'ORGANIZATION' THEN {z}.raw_txt "
            f"ELSE rpad(substring({gen}, 1, {n}), {n}, ' ') END")
-    return (f"transform({spans}, {x} -> named_struct('entity_type', {x}.entity_type, 'start', {x}.start, "
-            f"'end', {x}.`end`, 'score', {x}.score, 'raw_txt', {x}.raw_txt, 'fake_value', {val}))")
+    return f"transform({hashed}, {z} -> named_struct({span_fields(z)}, 'fake_value', {val}))"
 
 
 def replace_length_preserving(df: DataFrame, text_col: str = "text", spans_col: str = "spans",

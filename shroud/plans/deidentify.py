@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD
 from shroud.functions.fakes import SPARK, map_key_sql
-from shroud.operators.detect import detect_spans_sql
+from shroud.functions.spans import digit_flag_sql
+from shroud.operators.detect import DIGIT_COL, detect_spans_sql, with_digit_flag
 from shroud.operators.mapping import broadcast_if_small, live_mapping
 from shroud.operators.replace import (
     REPL_DDL,
@@ -29,19 +30,23 @@ from shroud.operators.replace import (
 def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshold: float = DEFAULT_THRESHOLD,
                      entity_types=None, out: str = "spans") -> DataFrame:
     """D* -> C01 -> C02 -> O01 (all languages)."""
-    return df.withColumn(out, F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold,
-                                                      resolve=True, entity_types=entity_types)))
+    d = with_digit_flag(df, text_col)
+    return d.withColumn(out, F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
+                                                     entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
+                        ).drop(DIGIT_COL)
 
 
 def deidentify(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules=None,
                threshold: float = HANDLER_THRESHOLD, entity_types=None, salt: str = "",
-               mapping: DataFrame | None = None, max_broadcast_rows: int = 1_000_000,
+               mapping: DataFrame | None = None, max_broadcast_rows: int | None = None,
                out: str = "text_deid") -> DataFrame:
     """Whole-text de-identification.  Adds ``spans`` (with fake_value
     and route) and ``text_deid``; C03 ``entity_types`` limits what is
     replaced."""
-    d = df.withColumn("spans", F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
-                                                       entity_types=entity_types)))
+    d = with_digit_flag(df, text_col)
+    d = d.withColumn("spans", F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
+                                                      entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
+                     ).drop(DIGIT_COL)
     d = d.withColumn("spans", F.expr(with_fakes_sql("spans", salt=salt)).cast(REPL_DDL))
     if mapping is not None:
         d = _apply_mapping(d, mapping, id_col, max_broadcast_rows)
@@ -63,9 +68,12 @@ def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col: str, max_broadcast_
     return d.withColumn("spans", F.expr(merged)).drop("_cached")
 
 
-def _segment_sql(seg: str, rules, threshold, entity_types, salt) -> str:
-    spans = detect_spans_sql(seg, rules, threshold=threshold, resolve=True, entity_types=entity_types)
-    return apply_spans_sql(seg, with_fakes_sql(spans, salt=salt, v="sg"), v="sa")
+def _lines_sql(text_col: str, seg: str) -> str:
+    """Segments as structs (t = text, d = has a digit); the per-segment
+    digit test only runs when the document has a digit at all."""
+    doc_digit = digit_flag_sql(f"`{text_col}`")
+    return (f"CASE WHEN `{text_col}` IS NULL THEN NULL ELSE transform(split(`{text_col}`, '\\n', -1), {seg} -> "
+            f"named_struct('t', {seg}, 'd', {doc_digit} AND {digit_flag_sql(seg)})) END")
 
 
 def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
@@ -73,22 +81,28 @@ def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, thres
     """Per newline-separated segment (no match crosses a segment),
     blank segments untouched, reassembled in order.  Runs inside the row
     (``transform`` over the segments): no explode, no regroup, no shuffle."""
-    seg = "sgt"
-    body = _segment_sql(seg, rules, threshold, entity_types, salt)
-    expr = (f"array_join(transform(split(`{text_col}`, '\\n', -1), {seg} -> CASE WHEN "
-            f"regexp_replace({seg}, '(?U)^\\\\s+|\\\\s+$', '') = '' THEN {seg} ELSE {body} END), '\\n')")
-    return df.withColumn(out, F.expr(expr))
+    z = "sgz"
+    spans = detect_spans_sql(f"{z}.t", rules, threshold=threshold, resolve=True, entity_types=entity_types,
+                             digit_flag=f"{z}.d")
+    body = apply_spans_sql(f"{z}.t", with_fakes_sql(spans, salt=salt, v="sg"), v="sa")
+    blank = f"regexp_replace({z}.t, '(?U)^\\\\s+|\\\\s+$', '') = ''"
+    expr = f"array_join(transform(_lines, {z} -> CASE WHEN {blank} THEN {z}.t ELSE {body} END), '\\n')"
+    return (df.withColumn("_lines", F.expr(_lines_sql(text_col, "sgt"))).withColumn(out, F.expr(expr))
+            .drop("_lines"))
 
 
 def deidentify_layout(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
                       salt: str = "", out: str = "text_deid") -> DataFrame:
     """Per line, tag-map generators, length preserving (A04): every
-    output line has the length of its input line."""
-    seg = "lyt"
-    spans = detect_spans_sql(seg, rules, threshold=threshold, resolve=True)
-    body = apply_spans_sql(seg, length_preserving_sql(spans, salt, v="ly"), v="la")
-    expr = f"array_join(transform(split(`{text_col}`, '\\n', -1), {seg} -> {body}), '\\n')"
-    return df.withColumn(out, F.expr(expr))
+    output line has the length of its input line.  Lines and their spans
+    are materialised first, so each later step reads a struct field."""
+    z = "lyz"
+    spans = detect_spans_sql(f"{z}.t", rules, threshold=threshold, resolve=True, digit_flag=f"{z}.d")
+    lines = f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {spans}))"
+    w = "lyw"
+    body = apply_spans_sql(f"{w}.t", length_preserving_sql(f"{w}.sp", salt, v="ly"), v="la")
+    return (df.withColumn("_lines", F.expr(_lines_sql(text_col, "lyt"))).withColumn("_lines", F.expr(lines))
+            .withColumn(out, F.expr(f"array_join(transform(_lines, {w} -> {body}), '\\n')")).drop("_lines"))
 
 
 def deidentify_html(pages: DataFrame, **kw) -> DataFrame:

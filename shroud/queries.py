@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shroud import catalog as C
 from shroud.functions import validators as V
-from shroud.functions.fakes import SPARK, fake_value_sql, is_likely_person_name_sql, is_relative_time_sql
+from shroud.functions.fakes import SPARK, fake_value_sql, hash_sql, is_likely_person_name_sql, is_relative_time_sql
 from shroud.functions.spans import explode_spans
 from shroud.operators import mapping as M
 from shroud.operators import reports as R
@@ -174,8 +174,9 @@ def all_spans(spark, sf) -> DataFrame:
 def q_fakes(kind: str) -> Query:
     def run(spark, sf):
         s = all_spans(spark, sf)
+        s = s.withColumn("_h", F.expr(hash_sql(SPARK, "entity_type", "raw_txt")))
         return s.select("corpus", "doc_id", "start", "entity_type", "raw_txt",
-                        F.expr(fake_value_sql(SPARK, "entity_type", "raw_txt", kind=kind)).alias("fake_value"))
+                        F.expr(fake_value_sql(SPARK, "entity_type", "raw_txt", kind=kind, h="_h")).alias("fake_value"))
     return run
 
 
