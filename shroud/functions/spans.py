@@ -112,10 +112,23 @@ def regex_matches(text: Column | str, pattern: str, guard: bool = True) -> Colum
     return F.expr(matches_sql(f"`{name}`", pattern, guard))
 
 
+def explode_nonempty(df, keep_cols, array_col, alias: str = "s", pos: str | None = None):
+    """``explode`` of a computed array without re-computing it.
+
+    For a plain ``explode`` the optimizer infers ``size(array) > 0`` and
+    pushes that filter below the projection that computes the array --
+    i.e. onto the scan, evaluating the whole (expensive) array expression a
+    second time.  ``explode_outer`` + a null filter on the generated column
+    has the same result and nothing to push down."""
+    arr = F.col(array_col) if isinstance(array_col, str) else array_col
+    gen = F.posexplode_outer(arr).alias(pos, alias) if pos else F.explode_outer(arr).alias(alias)
+    return df.select(*keep_cols, gen).filter(F.col(alias).isNotNull())
+
+
 def explode_spans(df, id_cols, spans_col: str = "spans", keep=()):
     """Span table: one row per span, plain columns."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     extra = list(keep)
-    return df.select(*ids, *extra, F.explode(spans_col).alias("s")).select(
+    return explode_nonempty(df, ids + extra, spans_col).select(
         *ids, *extra, "s.entity_type", "s.start", "s.end", "s.score", "s.raw_txt"
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroud.functions.spans import explode_nonempty
 from shroud.operators.resolve import priority_sql
 
 
@@ -40,7 +41,7 @@ def overlap_report(df: DataFrame, raw_col: str = "spans_raw", id_col: str = "doc
     rows = (f"transform(`{raw_col}`, {x} -> named_struct('outcome', CASE WHEN {kept} THEN 'kept' ELSE 'skipped' END, "
             f"'entity_type', {x}.entity_type, 'blocked_by', CASE WHEN {kept} THEN NULL ELSE {blocker}.entity_type END))")
     per_doc = df.select(id_col, raw_col).withColumn("_acc", F.expr(accepted))
-    out = per_doc.select(F.explode(F.expr(rows)).alias("r")).select("r.*")
+    out = explode_nonempty(per_doc, [], F.expr(rows), alias="r").select("r.*")
     return out.groupBy("outcome", "entity_type", "blocked_by").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD
 from shroud.functions.fakes import SPARK, map_key_sql
-from shroud.functions.spans import digit_flag_sql
+from shroud.functions.spans import digit_flag_sql, explode_nonempty
 from shroud.operators.detect import DIGIT_COL, detect_spans_sql, with_digit_flag
 from shroud.operators.mapping import broadcast_if_small, live_mapping
 from shroud.operators.replace import (
@@ -54,7 +54,7 @@ def deidentify(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ru
 
 
 def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col: str, max_broadcast_rows: int) -> DataFrame:
-    keys = d.select(id_col, F.posexplode("spans").alias("pos", "s")).select(
+    keys = explode_nonempty(d, [id_col], "spans", alias="s", pos="pos").select(
         id_col, "pos", F.expr(map_key_sql(SPARK, "s.entity_type", "s.raw_txt")).alias("map_key"))
     m = broadcast_if_small(live_mapping(mapping).select("map_key", "fake_value"), max_broadcast_rows)
     found = keys.join(m, "map_key").groupBy(id_col).agg(

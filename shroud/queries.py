@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shroud import catalog as C
 from shroud.functions import validators as V
 from shroud.functions.fakes import SPARK, fake_value_sql, hash_sql, is_likely_person_name_sql, is_relative_time_sql
-from shroud.functions.spans import explode_spans
+from shroud.functions.spans import explode_nonempty, explode_spans
 from shroud.operators import mapping as M
 from shroud.operators import reports as R
 from shroud.operators.detect import detect, detect_legacy, detect_spans_sql
@@ -132,7 +132,8 @@ def q_normalize_mac(spark, sf):
 
 
 def q_luhn(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.expr(r"explode(regexp_extract_all(text, '(?U)\\b\\d{13,19}\\b', 0))").alias("digits"))
+    d = explode_nonempty(docs(spark, sf), ["doc_id"], F.expr(r"regexp_extract_all(text, '(?U)\\b\\d{13,19}\\b', 0)"),
+                         alias="digits")
     return d.select("doc_id", "digits", V.luhn_valid("digits").alias("luhn_ok"))
 
 
@@ -145,7 +146,7 @@ def q_context_boost(spark, sf):
     rules = C.rules_by_id("D22")
     base = detect(cust(spark, sf), rules=rules, threshold=None, context=False, out="plain")
     both = detect(base, rules=rules, threshold=None, context=True, out="boosted")
-    z = both.select("doc_id", F.explode(F.arrays_zip("plain", "boosted")).alias("z"))
+    z = explode_nonempty(both, ["doc_id"], F.arrays_zip("plain", "boosted"), alias="z")
     return z.select("doc_id", F.col("z.plain.start").alias("start"), F.col("z.plain.raw_txt").alias("raw_txt"),
                     F.col("z.plain.score").alias("score_plain"), F.col("z.boosted.score").alias("score_boosted"))
 
@@ -158,7 +159,7 @@ def q_best_per_raw(spark, sf):
 def q_span_order(spark, sf):
     d = detect_documents(docs(spark, sf), threshold=C.HANDLER_THRESHOLD)
     d = d.withColumn("spans", F.expr(order_spans_sql("spans", descending=True)))
-    return d.select("doc_id", F.posexplode("spans").alias("ordinal", "s")).select(
+    return explode_nonempty(d, ["doc_id"], "spans", alias="s", pos="ordinal").select(
         "doc_id", F.col("ordinal").cast("int").alias("ordinal"), "s.start", "s.end")
 
 
