@@ -88,12 +88,13 @@ def live_mapping(mapping: DataFrame, base: int | None = None) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def new_pairs(spans: DataFrame, mapping: DataFrame | None) -> DataFrame:
-    """Distinct (type, raw) of ``spans`` whose key is not in the mapping."""
+def new_pairs(spans: DataFrame, mapping: DataFrame | None, base: int | None = None) -> DataFrame:
+    """Distinct (type, raw) of ``spans`` whose key is not in the mapping
+    (rows after reset marker ``base``)."""
     pairs = with_map_key(spans.select("entity_type", "raw_txt").distinct())
     if mapping is None:
         return pairs
-    return pairs.join(live_mapping(mapping).select("map_key"), "map_key", "left_anti")
+    return pairs.join(live_mapping(mapping, base).select("map_key"), "map_key", "left_anti")
 
 
 def generate_pairs(pairs: DataFrame, salt: str = "") -> DataFrame:
@@ -109,13 +110,13 @@ def generate_pairs(pairs: DataFrame, salt: str = "") -> DataFrame:
 
 
 def mapping_upsert(spans: DataFrame, mapping: DataFrame | None = None, version: int = 1,
-                   salt: str = "", generated: DataFrame | None = None) -> DataFrame:
+                   salt: str = "", generated: DataFrame | None = None, base: int | None = None) -> DataFrame:
     """Rows to append -- keys new to ``mapping`` with their values.
 
     ``generated`` may carry externally made values (e.g. A12 model output,
     columns map_key, entity_type, fake_value, route); rows with route
     ``fallback`` are never stored (fix F4)."""
-    fresh = generate_pairs(new_pairs(spans, mapping), salt) if generated is None else generated
+    fresh = generate_pairs(new_pairs(spans, mapping, base), salt) if generated is None else generated
     fresh = fresh.filter("route != 'fallback'")
     return fresh.select(
         "map_key", "entity_type", "fake_value", "route",
@@ -145,7 +146,8 @@ class MappingStore:
 
     def upsert(self, spans: DataFrame, salt: str = "", generated: DataFrame | None = None) -> DataFrame:
         version = self.next_version()
-        rows = mapping_upsert(spans, self.read(), version, salt, generated)
+        current = self.read()
+        rows = mapping_upsert(spans, current, version, salt, generated, base=reset_base(current))
         self.append(rows)
         return self.spark.read.schema(MAPPING_SCHEMA).parquet(self.path).filter(F.col("version") == version)
 
@@ -208,12 +210,13 @@ def parse_model_batches(batches: DataFrame, response_col: str = "response") -> D
     items = batches.select("batch_id", F.posexplode("items").alias("_i", "it"), response_col)
     stripped = F.regexp_replace(F.col(response_col), r"(?U)^\s+|\s+$", "")
     lines = F.split(stripped, SPLITLINES_RE, -1)
-    line = F.regexp_replace(F.try_element_at(lines, F.col("it.pos") + 1), r"(?U)^\s+|\s+$", "")
-    line = F.when(F.col("it.pos") < F.size(lines), line)
+    pos = F.col("it.pos").cast("int")
+    line = F.regexp_replace(F.try_element_at(lines, pos + F.lit(1)), r"(?U)^\s+|\s+$", "")
+    line = F.when(pos < F.size(lines), line)
     keep_raw = line.isNull() | (line == "") | (line == F.col("it.raw"))
     return items.select(
         "batch_id",
-        F.col("it.pos").alias("pos"),
+        pos.alias("pos"),
         F.col("it.map_key").alias("map_key"),
         F.col("it.entity_type").alias("entity_type"),
         F.col("it.raw").alias("raw_txt"),

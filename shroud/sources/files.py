@@ -7,6 +7,7 @@ is just another table.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,13 @@ def read_text_documents(spark: SparkSession, path: str, lenient: bool = False) -
         return spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path"), F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("text"))
+    return raw.select(F.col("path"), F.pandas_udf(_decode_ignore, "string")("content").alias("text"))
+
+
+def _decode_ignore(content: pd.Series) -> pd.Series:
+    """UTF-8 decoding that drops undecodable bytes (``errors='ignore'``);
+    Spark's ``decode`` raises on them under ANSI mode.  Arrow-batched."""
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
 
 def file_name(path) -> F.Column:

@@ -15,7 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.operators.mapping import MappingStore, mapping_upsert
+from shroud.operators.mapping import MappingStore, mapping_upsert, reset_base
 from shroud.plans.deidentify import deidentify
 from shroud.session import checkpoint_dir
 
@@ -37,7 +37,8 @@ def deidentify_stream(spark: SparkSession, source_dir: str, output_dir: str, map
          .partitionBy("batch_id").parquet(output_dir))
         if store is not None:
             spans = batch.select(F.explode("spans").alias("s")).select("s.entity_type", "s.raw_txt")
-            rows = mapping_upsert(spans, store.read(), version_base + batch_id, salt)
+            current = store.read()
+            rows = mapping_upsert(spans, current, version_base + batch_id, salt, base=reset_base(current))
             store.append(rows)
         batch.unpersist()
 
