@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import CONTEXT_BOOST, CONTEXT_WINDOW, DEFAULT_THRESHOLD, LEGACY_RULES, Rule, default_rules
 from shroud.functions.context import boosted_sql
-from shroud.functions.spans import digit_flag_sql, empty_spans_sql, matches_sql, str_sql
+from shroud.functions.spans import digit_flag_sql, empty_spans_sql, lit_sql, matches_sql, str_sql
 from shroud.functions.validators import VALIDATORS_SQL, mac_is_null_sql, mac_score_sql
 from shroud.operators.resolve import dedupe_contained_sql, resolve_overlaps_sql
 
@@ -90,6 +90,23 @@ def detect_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, threshol
     return arr
 
 
+def any_match_sql(text: str, rules: Iterable[Rule] | None = None, digit_flag: str | None = None) -> str:
+    """True when at least one rule's regex matches somewhere in ``text``.
+
+    Used as a document-level gate for per-segment plans: a match inside a
+    newline-separated segment is also a match candidate at the same place
+    in the whole text (the newline is a non-word character, so ``\\b`` and
+    the lookbehind guards hold there too), so a document without any raw
+    match has no segment with one."""
+    rules = tuple(default_rules() if rules is None else rules)
+    conds = []
+    for r in rules:
+        pre = prefilter_sql(text, r, digit_flag)
+        rx = f"{text} RLIKE {lit_sql(r.java)}"
+        conds.append(f"({pre} AND {rx})" if pre else f"({rx})")
+    return "(" + " OR ".join(conds) + ")" if conds else "false"
+
+
 DIGIT_COL = "_shroud_has_digit"
 
 

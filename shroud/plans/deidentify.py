@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD
 from shroud.functions.fakes import SPARK, map_key_sql
 from shroud.functions.spans import digit_flag_sql, explode_nonempty
-from shroud.operators.detect import DIGIT_COL, detect_spans_sql, with_digit_flag
+from shroud.operators.detect import DIGIT_COL, any_match_sql, detect_spans_sql, with_digit_flag
 from shroud.operators.mapping import broadcast_if_small, live_mapping
 from shroud.operators.replace import (
     REPL_DDL,
@@ -68,12 +68,16 @@ def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col: str, max_broadcast_
     return d.withColumn("spans", F.expr(merged)).drop("_cached")
 
 
-def _lines_sql(text_col: str, seg: str) -> str:
-    """Segments as structs (t = text, d = has a digit); the per-segment
-    digit test only runs when the document has a digit at all."""
-    doc_digit = digit_flag_sql(f"`{text_col}`")
-    return (f"CASE WHEN `{text_col}` IS NULL THEN NULL ELSE transform(split(`{text_col}`, '\\n', -1), {seg} -> "
-            f"named_struct('t', {seg}, 'd', {doc_digit} AND {digit_flag_sql(seg)})) END")
+def _with_lines(df: DataFrame, text_col: str, seg: str, rules) -> DataFrame:
+    """``_lines``: segments as structs (t = text, d = has a digit), or NULL
+    when no rule matches anywhere in the document (then no segment can
+    match either, see ``any_match_sql``).  Digit tests run per segment only
+    when the document has a digit at all."""
+    d = with_digit_flag(df, text_col)
+    gate = any_match_sql(f"`{text_col}`", rules, f"`{DIGIT_COL}`")
+    lines = (f"CASE WHEN `{text_col}` IS NULL OR NOT {gate} THEN NULL ELSE transform(split(`{text_col}`, '\\n', -1), "
+             f"{seg} -> named_struct('t', {seg}, 'd', `{DIGIT_COL}` AND {digit_flag_sql(seg)})) END")
+    return d.withColumn("_lines", F.expr(lines)).drop(DIGIT_COL)
 
 
 def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
@@ -86,9 +90,9 @@ def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, thres
                              digit_flag=f"{z}.d")
     body = apply_spans_sql(f"{z}.t", with_fakes_sql(spans, salt=salt, v="sg"), v="sa")
     blank = f"regexp_replace({z}.t, '(?U)^\\\\s+|\\\\s+$', '') = ''"
-    expr = f"array_join(transform(_lines, {z} -> CASE WHEN {blank} THEN {z}.t ELSE {body} END), '\\n')"
-    return (df.withColumn("_lines", F.expr(_lines_sql(text_col, "sgt"))).withColumn(out, F.expr(expr))
-            .drop("_lines"))
+    expr = (f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {z} -> "
+            f"CASE WHEN {blank} THEN {z}.t ELSE {body} END), '\\n') END")
+    return _with_lines(df, text_col, "sgt", rules).withColumn(out, F.expr(expr)).drop("_lines")
 
 
 def deidentify_layout(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
@@ -101,8 +105,9 @@ def deidentify_layout(df: DataFrame, text_col: str = "text", rules=None, thresho
     lines = f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {spans}))"
     w = "lyw"
     body = apply_spans_sql(f"{w}.t", length_preserving_sql(f"{w}.sp", salt, v="ly"), v="la")
-    return (df.withColumn("_lines", F.expr(_lines_sql(text_col, "lyt"))).withColumn("_lines", F.expr(lines))
-            .withColumn(out, F.expr(f"array_join(transform(_lines, {w} -> {body}), '\\n')")).drop("_lines"))
+    joined = f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {w} -> {body}), '\\n') END"
+    return (_with_lines(df, text_col, "lyt", rules).withColumn("_lines", F.expr(lines))
+            .withColumn(out, F.expr(joined)).drop("_lines"))
 
 
 def deidentify_html(pages: DataFrame, **kw) -> DataFrame:
