@@ -80,7 +80,7 @@ def gazetteer_sql() -> str:
              "UNION SELECT 'PERSON', c_name FROM customer")
     grams = ("SELECT a.id, a.s AS start, b.e AS \"end\", substring(a.text, a.s + 1, b.e - a.s) AS raw_txt "
              f"FROM ({pos}) a JOIN ({pos}) b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + 2")
-    return (f"SELECT g.id AS doc_id, n.entity_type, g.start, g.\"end\", {GAZETTEER_SCORE} AS score, g.raw_txt "
+    return (f"SELECT g.id AS doc_id, n.entity_type, g.start, g.\"end\", CAST({GAZETTEER_SCORE} AS DOUBLE) AS score, g.raw_txt "
             f"FROM ({grams}) g JOIN ({names}) n ON g.raw_txt = n.phrase")
 
 
@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
               f"substr(replace({norm_low}, '.', ''), 5, 2), substr(replace({norm_low}, '.', ''), 7, 2), "
               f"substr(replace({norm_low}, '.', ''), 9, 2), substr(replace({norm_low}, '.', ''), 11, 2))")
     d["normalize_mac"] = (f"SELECT doc_id, mac, CASE WHEN contains({norm_low}, '.') THEN {dotted} ELSE {norm_low} END AS normalized, "
-                          f"CASE WHEN {mac_null_duck('mac')} THEN 0.2 ELSE 0.9 END AS score "
+                          f"CAST(CASE WHEN {mac_null_duck('mac')} THEN 0.2 ELSE 0.9 END AS DOUBLE) AS score "
                           f"FROM (SELECT doc_id, regexp_extract(text, 'MAC (\\S+)', 1) AS mac FROM ({CUSTOMER_CORPUS_SQL}))")
     d["luhn_cards"] = (f"SELECT doc_id, digits, coalesce({luhn_duck('digits')}, false) AS luhn_ok FROM "
                        f"(SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{{13,19}}\\b')) AS digits FROM documents)")

@@ -122,7 +122,7 @@ def q_model_detect(spark, sf):
 # ---------------------------------------------------------------- validation
 def q_validate_ubn(spark, sf):
     c = cust(spark, sf).select("doc_id", F.regexp_extract("text", r"UBN (\d{8})", 1).alias("ubn"))
-    return c.select("doc_id", "ubn", F.expr(V.ubn_checksum_sql("ubn")).alias("checksum"), V.ubn_valid("ubn").alias("is_valid"))
+    return c.select("doc_id", "ubn", F.expr(V.ubn_checksum_sql("ubn")).cast("int").alias("checksum"), V.ubn_valid("ubn").alias("is_valid"))
 
 
 def q_normalize_mac(spark, sf):
@@ -234,7 +234,7 @@ def q_mask(spark, sf):
 
 def q_keep(spark, sf):
     d = _resolved(docs(spark, sf))
-    return d.select("doc_id", F.size("spans").alias("n_spans"), (F.col("text") == F.col("text")).alias("unchanged"))
+    return d.select("doc_id", F.size("spans").cast("long").alias("n_spans"), (F.col("text") == F.col("text")).alias("unchanged"))
 
 
 # ---------------------------------------------------------------- mapping
