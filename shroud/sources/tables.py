@@ -20,9 +20,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     is narrower (few, single-row-group files); otherwise keep the scan's own
     partitioning (no shuffle)."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism * 2
-    if df.rdd.getNumPartitions() >= target:
-        return df
+    target = min_partitions
+    if not target:
+        try:
+            target = spark.sparkContext.defaultParallelism * 2
+        except Exception:  # e.g. Spark Connect: no SparkContext on the client
+            target = int(spark.conf.get("spark.sql.shuffle.partitions", "16"))
+    try:
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # partition count not available: spread anyway
+        pass
     return df.repartition(target)
 
 
