@@ -181,13 +181,15 @@ def route_spans(span_table: DataFrame, mapping: DataFrame | None = None, salt: s
     return t.withColumn("route", route).withColumn("fake_value", value).drop("cached_value", "_h")
 
 
-def build_model_batches(pairs: DataFrame, batch_size: int = MODEL_BATCH_SIZE, buckets: int = 16) -> DataFrame:
+def build_model_batches(pairs: DataFrame, batch_size: int = MODEL_BATCH_SIZE, buckets: int | None = None) -> DataFrame:
     """A10: groups of ``batch_size`` (type, raw) pairs with their prompt.
 
     Pairs are spread over ``buckets`` by their key, numbered within a bucket
     in key order and cut into batches: every group is bounded by the batch
     size and no step needs a global order.  Output: batch_id, items
     (array<struct<pos,entity_type,raw>>), prompt."""
+    if buckets is None:  # scale the bucket count with the session's shuffle width
+        buckets = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     p = pairs if "map_key" in pairs.columns else with_map_key(pairs)
     p = p.withColumn("_bucket", F.expr(f"CAST(conv(substring(map_key, 1, 8), 16, 10) AS BIGINT) % {int(buckets)}"))
     w = Window.partitionBy("_bucket").orderBy("map_key")

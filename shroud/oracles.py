@@ -297,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         f") x ON x.id = c.conv_id * 100000 + c.turn")
     d["deidentify_segments"] = per_segment_sql(layout=False)
     d["deidentify_layout"] = per_segment_sql(layout=True)
+    d["deidentify_with_mapping"] = with_mapping_sql()
     d["document_status"] = "SELECT doc_id, CASE WHEN text IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN text IS NULL THEN 'no text' END AS error FROM documents"
     # text
     d["segments"] = ("SELECT doc_id, CAST(seg_no - 1 AS INTEGER) AS seg_no, CAST(length(seg) AS INTEGER) AS seg_len, "
@@ -402,3 +403,18 @@ def per_segment_sql(layout: bool) -> str:
         return agg
     return (f"SELECT a.doc_id, a.text_deid, length(a.text_deid) = length(d.text) AS same_length FROM ({agg}) a "
             f"JOIN documents d ON d.doc_id = a.doc_id")
+
+
+def with_mapping_sql() -> str:
+    """Stored values equal the generator's (they were made by it), so the
+    text equals the map-only result; spans whose key is stored count as
+    cached."""
+    both = ("(SELECT concat('documents:', CAST(doc_id AS VARCHAR)) AS id, text FROM documents UNION ALL "
+            f"SELECT concat('customer:', CAST(id AS VARCHAR)) AS id, text FROM {CUST})")
+    rel = detect_duck(both, C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True)
+    text = splice(both, with_fake(rel), "doc_id")
+    prev = f"SELECT DISTINCT {map_key('entity_type', 'raw_txt')} AS map_key FROM ({span_table('documents')})"
+    cached = (f"SELECT r.id, count(p.map_key) AS n FROM ({rel}) r LEFT JOIN ({prev}) p "
+              f"ON p.map_key = {map_key('r.entity_type', 'r.raw_txt')} GROUP BY r.id")
+    return (f"SELECT t.doc_id, t.text_deid, CAST(coalesce(c.n, 0) AS BIGINT) AS n_cached FROM ({text}) t "
+            f"LEFT JOIN ({cached}) c ON c.id = t.doc_id")

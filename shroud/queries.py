@@ -255,12 +255,12 @@ def q_route_counts(spark, sf):
 
 def model_pairs(spark, sf):
     spans = doc_span_table(spark, sf, "customer").unionByName(doc_span_table(spark, sf, "orders"))
-    routed = M.route_spans(spans)
-    return routed.filter("route = 'model'").select("entity_type", "raw_txt").distinct()
+    from shroud.operators.replace import route_sql
+    return spans.filter(F.expr(route_sql("entity_type")) == "model").select("entity_type", "raw_txt").distinct()
 
 
 def q_model_batches(spark, sf):
-    b = M.build_model_batches(model_pairs(spark, sf))
+    b = M.build_model_batches(model_pairs(spark, sf), buckets=16)
     return b.select("batch_id", F.explode("items").alias("it"), "prompt").select(
         "batch_id", F.col("it.pos").alias("pos"), F.col("it.entity_type").alias("entity_type"),
         F.col("it.raw").alias("raw_txt"), "prompt")
@@ -275,7 +275,7 @@ def offline_responses(batches: DataFrame) -> DataFrame:
 
 
 def q_parse_batches(spark, sf):
-    b = offline_responses(M.build_model_batches(model_pairs(spark, sf)))
+    b = offline_responses(M.build_model_batches(model_pairs(spark, sf), buckets=16))
     return M.parse_model_batches(b).select("batch_id", "pos", "entity_type", "raw_txt", "fake_value", "route")
 
 
@@ -285,7 +285,7 @@ def q_model_generate(spark, sf):
             lines = prompt.split("\n")[1:]
             return "\n".join(ln.split("; raw=", 1)[1][::-1] for ln in lines)
         return chat
-    b = M.model_generate(M.build_model_batches(model_pairs(spark, sf)), make_client)
+    b = M.model_generate(M.build_model_batches(model_pairs(spark, sf), buckets=16), make_client)
     return M.model_values(b)
 
 
@@ -317,6 +317,19 @@ def q_deidentify_conversations(spark, sf):
     return deidentify(c, id_col="conv_id").select("conv_id", "turn", "text_deid")
 
 
+def q_deidentify_with_mapping(spark, sf):
+    """L01 with a stored mapping: the mapping of a previous run over
+    ``documents`` is joined in while de-identifying documents and the
+    customer corpus; spans whose key is stored are routed ``cached``."""
+    prev = M.mapping_upsert(doc_span_table(spark, sf, "documents"), None, version=1)
+    both = docs(spark, sf).withColumn("corpus", F.lit("documents")).unionByName(
+        cust(spark, sf).withColumn("corpus", F.lit("customer")))
+    both = both.withColumn("doc_id", F.concat_ws(":", "corpus", F.col("doc_id").cast("string")))
+    out = deidentify(both, mapping=prev)
+    return out.select("doc_id", "text_deid",
+                      F.expr("CAST(size(filter(spans, s -> s.route = 'cached')) AS BIGINT)").alias("n_cached"))
+
+
 def q_status(spark, sf):
     d = with_status(deidentify(docs(spark, sf)))
     return d.select("doc_id", "status", "error")
@@ -453,6 +466,7 @@ def queries() -> dict[str, Query]:
         "deidentify_layout": q_deidentify_layout,
         "deidentify_pages": q_deidentify_pages,
         "deidentify_conversations": q_deidentify_conversations,
+        "deidentify_with_mapping": q_deidentify_with_mapping,
         "document_status": q_status,
         # text (T01-T04)
         "segments": q_segments,
