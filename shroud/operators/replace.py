@@ -105,13 +105,16 @@ def replace_per_type(df: DataFrame, text_col: str = "text", spans_col: str = "sp
                      id_col: str = "doc_id", salt: str = "") -> DataFrame:
     """A03 (legacy): one value per entity type per document -- the value made
     for the *last* span of that type in resolution (priority) order.
-    ``spans_col`` must hold the O01 result in resolution order."""
-    x, lst = "ptx", "ptl"
-    last = f"element_at(filter(`{spans_col}`, {lst} -> {lst}.entity_type = {x}.entity_type), -1)"
-    h = hash_sql(SPARK, f"{x}.entity_type", f"{last}.raw_txt", salt, f"CAST(`{id_col}` AS STRING)")
-    val = legacy_fake_sql(f"{x}.entity_type", f"{last}.raw_txt", h)
-    fk = (f"transform(`{spans_col}`, {x} -> named_struct('entity_type', {x}.entity_type, 'start', {x}.start, "
-          f"'end', {x}.`end`, 'score', {x}.score, 'raw_txt', {x}.raw_txt, 'fake_value', {val}))")
+    ``spans_col`` must hold the O01 result in resolution order.  The last
+    raw text and the hash are computed once per span, then the generators
+    read the struct fields."""
+    x, lst, y, z = "ptx", "ptl", "pty", "ptz"
+    last = f"element_at(filter(`{spans_col}`, {lst} -> {lst}.entity_type = {x}.entity_type), -1).raw_txt"
+    step1 = f"transform(`{spans_col}`, {x} -> named_struct({span_fields(x)}, 'last_raw', {last}))"
+    h = hash_sql(SPARK, f"{y}.entity_type", f"{y}.last_raw", salt, f"CAST(`{id_col}` AS STRING)")
+    step2 = f"transform({step1}, {y} -> named_struct({span_fields(y)}, 'last_raw', {y}.last_raw, 'h', {h}))"
+    val = legacy_fake_sql(f"{z}.entity_type", f"{z}.last_raw", f"{z}.h")
+    fk = f"transform({step2}, {z} -> named_struct({span_fields(z)}, 'fake_value', {val}))"
     return df.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", fk)))
 
 

@@ -214,11 +214,10 @@ def q_apply_spans(spark, sf):
 
 def q_replace_per_type(spark, sf):
     d = cust(spark, sf)
-    d = d.withColumn("spans", F.expr(detect_spans_sql("text", threshold=C.HANDLER_THRESHOLD, resolve=True)))
-    d = d.withColumn("spans", F.expr(
-        "array_sort(spans, (a, b) -> CASE WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1 ELSE 0 END)"))
-    # resolution (priority) order decides which span of a type is "last"
+    # resolution (priority) order decides which span of a type is "last",
+    # so the resolved spans are kept in that order (not sorted by start)
     from shroud.operators.resolve import resolve_overlaps_sql
+    d = d.withColumn("spans", F.expr(detect_spans_sql("text", threshold=C.HANDLER_THRESHOLD)))
     d = d.withColumn("spans", F.expr(resolve_overlaps_sql("spans", order_by_start=False)))
     return replace_per_type(d).select("doc_id", "text_deid")
 
