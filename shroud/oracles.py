@@ -218,6 +218,10 @@ def oracle_sql() -> dict[str, str]:
     d["detect_all_customer"] = spans_sql("customer", threshold=None)
     d["detect_legacy"] = f'SELECT id AS doc_id, entity_type, start, "end", score, raw_txt FROM ({LEGACY})'
     d["gazetteer_location"] = gazetteer_sql()
+    legacy_orders = " UNION ALL ".join(
+        f"(SELECT id AS doc_id, entity_type, start, \"end\", score, raw_txt FROM "
+        f"({detect_duck(ORDS, [r], threshold=None, context=False, dedupe=False)}))" for r in C.LEGACY_RULES)
+    d["detect_legacy_names"] = f"({gazetteer_sql()}) UNION ALL {legacy_orders}"
     # validation
     ubn = "regexp_extract(text, 'UBN ([0-9]{8})', 1)"
     from shroud.sqloracle import ubn_valid_duck as _uv

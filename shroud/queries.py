@@ -109,6 +109,14 @@ def q_detect_legacy(spark, sf):
     return explode_spans(detect_legacy(docs(spark, sf)), "doc_id")
 
 
+def q_detect_legacy_names(spark, sf):
+    """D26 with named entities: gazetteer hits (D48) + legacy regexes over
+    the orders corpus, ordered by start, duplicates kept."""
+    from shroud.operators.gazetteer import gazetteer_detect
+    d = gazetteer_detect(orders(spark, sf), names_table(spark, sf), out="name_spans")
+    return explode_spans(detect_legacy(d, names_col="name_spans"), "doc_id")
+
+
 def q_gazetteer(spark, sf):
     return gazetteer_spans(orders(spark, sf), names_table(spark, sf))
 
@@ -427,6 +435,7 @@ def queries() -> dict[str, Query]:
         "detect_all_customer": span_query("customer", threshold=None),
         "detect_legacy": q_detect_legacy,
         "gazetteer_location": q_gazetteer,
+        "detect_legacy_names": q_detect_legacy_names,
         "model_detect_python": q_model_detect,
         # validation, scoring, selection
         "validate_ubn": q_validate_ubn,
