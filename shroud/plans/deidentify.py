@@ -36,13 +36,14 @@ def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshol
                         ).drop(DIGIT_COL)
 
 
-def deidentify(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules=None,
+def deidentify(df: DataFrame, text_col: str = "text", id_col="doc_id", rules=None,
                threshold: float = HANDLER_THRESHOLD, entity_types=None, salt: str = "",
                mapping: DataFrame | None = None, max_broadcast_rows: int | None = None,
                out: str = "text_deid") -> DataFrame:
     """Whole-text de-identification.  Adds ``spans`` (with fake_value
     and route) and ``text_deid``; C03 ``entity_types`` limits what is
-    replaced."""
+    replaced.  ``id_col`` (name or list of names) must identify a row; it
+    is only used to fold stored-mapping values back."""
     d = with_digit_flag(df, text_col)
     d = d.withColumn("spans", F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
                                                       entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
@@ -53,13 +54,15 @@ def deidentify(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ru
     return d.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", "spans")))
 
 
-def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col: str, max_broadcast_rows: int) -> DataFrame:
-    keys = explode_nonempty(d, [id_col], "spans", alias="s", pos="pos").select(
-        id_col, "pos", F.expr(map_key_sql(SPARK, "s.entity_type", "s.raw_txt")).alias("map_key"))
+def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col, max_broadcast_rows: int | None) -> DataFrame:
+    """``id_col``: column name or list of names that identify a row."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    keys = explode_nonempty(d, ids, "spans", alias="s", pos="pos").select(
+        *ids, "pos", F.expr(map_key_sql(SPARK, "s.entity_type", "s.raw_txt")).alias("map_key"))
     m = broadcast_if_small(live_mapping(mapping).select("map_key", "fake_value"), max_broadcast_rows)
-    found = keys.join(m, "map_key").groupBy(id_col).agg(
+    found = keys.join(m, "map_key").groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "fake_value"))).alias("_cached"))
-    d = d.join(found, id_col, "left")
+    d = d.join(found, ids, "left")
     x = "mpx"
     merged = (f"transform(spans, ({x}, mpi) -> named_struct('entity_type', {x}.entity_type, 'start', {x}.start, "
               f"'end', {x}.`end`, 'score', {x}.score, 'raw_txt', {x}.raw_txt, "

@@ -321,7 +321,7 @@ def q_deidentify_pages(spark, sf):
 
 def q_deidentify_conversations(spark, sf):
     c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
-    return deidentify(c, id_col="conv_id").select("conv_id", "turn", "text_deid")
+    return deidentify(c, id_col=["conv_id", "turn"]).select("conv_id", "turn", "text_deid")
 
 
 def q_deidentify_with_mapping(spark, sf):
