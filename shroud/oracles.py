@@ -291,6 +291,7 @@ def oracle_sql() -> dict[str, str]:
     # plans
     d["detect_documents"] = spans_sql("documents", threshold=C.DEFAULT_THRESHOLD, resolve=True)
     d["deidentify_documents"] = splice(DOCS, with_fake(resolved("documents")), "doc_id")
+    d["deidentify_stream"] = d["deidentify_documents"]
     d["deidentify_pages"] = splice("(SELECT page_id AS id, html AS text FROM pages)",
                                    with_fake(detect_duck("(SELECT page_id AS id, html AS text FROM pages)", C.default_rules(),
                                                          threshold=C.HANDLER_THRESHOLD, resolve=True)), "page_id")

@@ -337,6 +337,13 @@ def q_deidentify_with_mapping(spark, sf):
                       F.expr("CAST(size(filter(spans, s -> s.route = 'cached')) AS BIGINT)").alias("n_cached"))
 
 
+def q_deidentify_stream(spark, sf):
+    """Documents arriving as files, de-identified by the stream; the
+    result must equal the batch plan (its oracle is the batch SQL)."""
+    from shroud.streaming.stream import stream_documents_once
+    return stream_documents_once(spark, docs(spark, sf))
+
+
 def q_status(spark, sf):
     d = with_status(deidentify(docs(spark, sf)))
     return d.select("doc_id", "status", "error")
@@ -475,6 +482,7 @@ def queries() -> dict[str, Query]:
         "deidentify_pages": q_deidentify_pages,
         "deidentify_conversations": q_deidentify_conversations,
         "deidentify_with_mapping": q_deidentify_with_mapping,
+        "deidentify_stream": q_deidentify_stream,
         "document_status": q_status,
         # text (T01-T04)
         "segments": q_segments,

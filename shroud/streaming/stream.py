@@ -23,8 +23,10 @@ from shroud.session import checkpoint_dir
 def deidentify_stream(spark: SparkSession, source_dir: str, output_dir: str, mapping_dir: str | None = None,
                       schema: str = "doc_id long, text string", fmt: str = "parquet", salt: str = "",
                       query_name: str = "shroud_deid", max_files_per_trigger: int = 64,
-                      checkpoint: str | None = None, version_base: int = 1_000_000):
-    """Start the stream; returns the ``StreamingQuery``."""
+                      checkpoint: str | None = None, version_base: int = 1_000_000,
+                      available_now: bool = False):
+    """Start the stream; returns the ``StreamingQuery``.  ``available_now``
+    processes what is in the folder (in bounded micro-batches) and stops."""
     stream = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
               .load(source_dir))
     out = deidentify(stream, salt=salt)
@@ -43,5 +45,21 @@ def deidentify_stream(spark: SparkSession, source_dir: str, output_dir: str, map
         batch.unpersist()
 
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
-    return (out.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-            .queryName(query_name).start())
+    writer = out.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).queryName(query_name)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def stream_documents_once(spark: SparkSession, docs: DataFrame, files: int = 8) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as files under the shared checkpoint
+    folder, run the stream over them once and return its output."""
+    import uuid
+
+    base = os.path.join(checkpoint_dir(spark), f"shroud-stream-{uuid.uuid4().hex}")
+    docs.select("doc_id", "text").repartition(files).write.parquet(os.path.join(base, "in"))
+    q = deidentify_stream(spark, os.path.join(base, "in"), os.path.join(base, "out"),
+                          query_name=f"shroud_{uuid.uuid4().hex[:8]}", checkpoint=os.path.join(base, "ckpt"),
+                          max_files_per_trigger=max(1, files // 2), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out")).select("doc_id", "text_deid")
