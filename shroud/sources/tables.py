@@ -7,6 +7,8 @@ scale the files are many and large, and the scan alone is wide enough).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +68,21 @@ ORDERS_CORPUS_SQL = (
 )
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=("customer", "orders", "nation", "region")) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+def sql_over_tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run ``sql`` with its ``FROM`` / ``JOIN`` tables bound to the driver's
+    parquet files as DataFrame parameters -- no temp views are registered,
+    so the caller's session catalog is left untouched."""
+    names = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", sql)))
+    bound = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m.group(1)} {{{m.group(2)}}}", sql)
+    return spark.sql(bound, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def customer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, ("customer",))
-    return spread(spark.sql(CUSTOMER_CORPUS_SQL))
+    return spread(sql_over_tables(spark, sf_dir, CUSTOMER_CORPUS_SQL))
 
 
 def orders_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, ("customer", "orders", "nation"))
-    return spread(spark.sql(ORDERS_CORPUS_SQL))
+    return spread(sql_over_tables(spark, sf_dir, ORDERS_CORPUS_SQL))
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
