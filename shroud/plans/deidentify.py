@@ -10,6 +10,7 @@ document rows on the document key: one shuffle of the documents.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from shroud.operators.replace import (
     route_sql,
     with_fakes_sql,
 )
+from shroud.session import checkpoint_dir
 
 
 def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshold: float = DEFAULT_THRESHOLD,
@@ -39,17 +41,27 @@ def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshol
 def deidentify(df: DataFrame, text_col: str = "text", id_col="doc_id", rules=None,
                threshold: float = HANDLER_THRESHOLD, entity_types=None, salt: str = "",
                mapping: DataFrame | None = None, max_broadcast_rows: int | None = None,
-               out: str = "text_deid") -> DataFrame:
+               out: str = "text_deid", materialize: str | None = None) -> DataFrame:
     """Whole-text de-identification.  Adds ``spans`` (with fake_value
     and route) and ``text_deid``; C03 ``entity_types`` limits what is
     replaced.  ``id_col`` (name or list of names) must identify a row; it
-    is only used to fold stored-mapping values back."""
+    is only used to fold stored-mapping values back.
+
+    With a stored mapping the detected table feeds two branches (span keys
+    and the join back), so detection runs twice unless ``materialize`` is
+    ``"checkpoint"`` (written once to the shared ``spark.checkpoint.dir``, a
+    reliable lineage cut) or ``"persist"`` (block manager, memory + disk)."""
     d = with_digit_flag(df, text_col)
     d = d.withColumn("spans", F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
                                                       entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
                      ).drop(DIGIT_COL)
     d = d.withColumn("spans", F.expr(with_fakes_sql("spans", salt=salt)).cast(REPL_DDL))
     if mapping is not None:
+        if materialize == "checkpoint":
+            checkpoint_dir(d.sparkSession)
+            d = d.checkpoint(eager=True)
+        elif materialize == "persist":
+            d = d.persist(StorageLevel.MEMORY_AND_DISK)
         d = _apply_mapping(d, mapping, id_col, max_broadcast_rows)
     return d.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", "spans")))
 
