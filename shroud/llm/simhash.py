@@ -167,6 +167,10 @@ def _plan(classes: DataFrame, corr: np.ndarray, m: int, budget: int) -> tuple[fl
     return sum(cost[i][x] for i, x in enumerate(t) if x >= 0), parts, t
 
 
+def _tagged(part: int):
+    return lambda v: F.struct(F.lit(part).alias("part"), v.alias("v"))
+
+
 def fingerprint_links(classes: DataFrame, scratch: Scratch, max_bits: int = 2, m: int | None = None, block_rows: int = 256) -> DataFrame:
     """Pairs (a, b) of class nodes within ``max_bits``; ``classes`` has long ``node`` and distinct ``fp``."""
     corr, budget = bit_correlation(classes), max_bits + 1
@@ -180,7 +184,7 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch, max_bits: int = 2, m
             flips = _flips(len(p), t[i]) if side == "probe" else [0]
             value = _piece(p)
             keys = F.array(*[value.bitwiseXOR(F.lit(f).cast("long")) for f in flips]) if len(flips) > 1 else F.array(value)
-            rows.append(F.transform(keys, lambda v, i=i: F.struct(F.lit(i).alias("part"), v.alias("v"))))
+            rows.append(F.transform(keys, _tagged(i)))
         key = F.explode(F.concat(*rows))
         return classes.select("node", "fp", key.alias("k")).select("node", "fp", F.xxhash64("k.part", "k.v").alias("key"), F.col("k.part").alias("part"))
 
