@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shroud.llm.decontam import op1_decontam
+from shroud.llm.langid import op2_langid
+from shroud.llm.mixing import op9_mix
+from shroud.llm.nndescent import op3_nndescent
+from shroud.llm.quality import op4_quality
+from shroud.llm.secrets import op8_secrets
 from shroud.llm.simhash import op10_simhash
+from shroud.llm.substrings import op7_substrings
+from shroud.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontam": op1_decontam,
+    "op2_langid": op2_langid,
+    "op3_nndescent": op3_nndescent,
+    "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
+    "op7_substrings": op7_substrings,
+    "op8_secrets": op8_secrets,
+    "op9_mix": op9_mix,
     "op10_simhash": op10_simhash,
 }
 

@@ -253,10 +253,16 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` without the documents that are not the smallest id of their group; all columns.
 
-    Rows of one id (repeats) are copies of each other: all but one go.  Rows with null id stay.
+    Only ids are moved: the texts are filtered by the written id lists, which
+    Spark broadcasts where their files are small.  Of rows with the same id one
+    stays; rows with null id all stay.
     """
-    groups = simhash_groups(docs, k, max_bits)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    cols = docs.columns
-    out = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return out.select(*cols).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "keep")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    groups = scratch.write(simhash_groups(docs, k, max_bits).where("doc_id is not null"), "groups")
+    gone = scratch.write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    repeated = scratch.write(groups.groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "again")
+    rest = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    once = rest.join(repeated, rest["doc_id"] == repeated["__again"], "left_anti")
+    again = rest.join(repeated, rest["doc_id"] == repeated["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*columns).unionByName(again.select(*columns))
