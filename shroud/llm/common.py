@@ -7,6 +7,7 @@ lost, they are compressed and column-pruned, and they cut the lineage.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,7 +18,21 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+def show_package(spark: SparkSession) -> None:
+    """Name this package's folder to the Python workers of a local run.
+
+    On a cluster the package comes with ``--py-files`` or the image, and a folder
+    that does not exist there does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +49,7 @@ class Scratch:
     """Named tables of one operator run under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        show_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/shroud-{name}-{uuid.uuid4().hex}"
 

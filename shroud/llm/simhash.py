@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import Scratch, project
+from shroud.llm.common import Scratch, project, read_table
 from shroud.llm.components import connected_components
 
 BITS = 64
@@ -245,8 +245,7 @@ def simhash_groups(docs: DataFrame, k: int = 3, max_bits: int = 2, block_rows: i
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = simhash_groups(docs)
+    out = simhash_groups(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
