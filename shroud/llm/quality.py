@@ -12,7 +12,9 @@ the log ratio of target to raw text; Gumbel top-k samples the documents to keep.
   corpus.  A bucket counts only where target and kind differ by ``min_z``
   standard errors; elsewhere the ratio is 1.
 * Labelled rows: at most ``sample_rows`` a kind, in hash order (the bound of what
-  is broadcast and of the fit).  Corpus counts and scores cover every document.
+  is broadcast, of the fit and of the one task that counts a kind).  An n-gram is
+  counted once per context of four tokens, so copies of one text do not pass for
+  evidence.  Corpus counts and scores cover every document.
 * The limit ``tau`` <= 0 gives the best balanced accuracy on those rows.  k is
   the number of documents at or above it.  Keys are (weight - tau) / temperature
   plus a Gumbel variate hashed from the id; the k largest are kept, found by
@@ -43,7 +45,7 @@ from shroud.llm.common import Scratch, project, read_table
 TOKEN = re.compile(r"\w+|[^\w\s]")
 KINDS = ("toxic", "junk")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 17
+_CONTEXT_BITS = 26
 
 
 class _Hashes(dict):
@@ -56,49 +58,74 @@ class _Hashes(dict):
         return h
 
 
-def ngram_buckets(text: str | None, buckets: int, hashes: _Hashes) -> Iterator[np.ndarray]:
-    """Buckets of all unigrams and bigrams of a text, in bounded pieces."""
-    words = TOKEN.findall((text or "").lower())
-    look = hashes.__getitem__
-    for lo in range(0, len(words), _CHUNK):
-        h = np.array(list(map(look, words[max(0, lo - 1) : lo + _CHUNK])), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            uni = (h * _MIX) >> np.uint64(40)
-            pair = np.where(h[1:] == h[:-1], np.uint64(1), h[:-1] * np.uint64(31) + h[1:] + np.uint64(7))
-            bi = (pair * _MIX) >> np.uint64(40)
-        if lo:
-            uni = uni[1:]
-        yield (np.concatenate([uni, bi]) % np.uint64(buckets)).astype(np.int64)
+def token_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
+    return np.array(list(map(hashes.__getitem__, TOKEN.findall((text or "").lower()))), dtype=np.uint64)
 
 
-def _counts(rows: DataFrame, buckets: int) -> dict[str, np.ndarray]:
-    """n-gram counts per ``kind`` of rows (kind, text); each task adds up before it sends."""
+def ngram_buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the unigrams and of the bigrams (one fewer) of a text's token hashes."""
+    with np.errstate(over="ignore"):
+        uni = (h * _MIX) >> np.uint64(40)
+        pair = np.where(h[1:] == h[:-1], np.uint64(1), h[:-1] * np.uint64(31) + h[1:] + np.uint64(7))
+        bi = (pair * _MIX) >> np.uint64(40)
+    return (uni % np.uint64(buckets)).astype(np.int64), (bi % np.uint64(buckets)).astype(np.int64)
+
+
+def contexts(h: np.ndarray) -> np.ndarray:
+    """A hash of each token with up to three before it, of ``_CONTEXT_BITS`` bits."""
+    out = h.copy()
+    with np.errstate(over="ignore"):
+        for j in range(1, min(4, len(h))):
+            out[j:] = out[j:] * _MIX + h[:-j]
+        return (out * _MIX) >> np.uint64(64 - _CONTEXT_BITS)
+
+
+def corpus_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n) of all n-grams of the column ``text``; each task adds up before it sends."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, hashes = np.zeros(buckets, dtype=np.int64), _Hashes()
+        for pdf in batches:
+            held, size = [], 0
+            for text in pdf["text"]:
+                held += ngram_buckets(token_hashes(text, hashes), buckets)
+                size += len(held[-1])
+                if size > 1 << 18:
+                    total += np.bincount(np.concatenate(held), minlength=buckets)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    return texts.select("text").mapInPandas(add, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def kind_counts(sample: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, n) of the bounded sample (kind, text): n-grams counted once per context."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
+        seen: dict[str, np.ndarray] = {}
         hashes = _Hashes()
         for pdf in batches:
             for kind, text in zip(pdf["kind"], pdf["text"]):
-                own = total.setdefault(kind, np.zeros(buckets, dtype=np.int64))
-                for b in ngram_buckets(text, buckets, hashes):
-                    own += np.bincount(b, minlength=buckets) if len(b) * 4 > buckets else _sparse(b, buckets)
+                if kind not in total:
+                    total[kind], seen[kind] = np.zeros(buckets, dtype=np.int64), np.zeros(1 << _CONTEXT_BITS, dtype=bool)
+                h = token_hashes(text, hashes)
+                if not len(h):
+                    continue
+                at = contexts(h)
+                new = ~seen[kind][at]
+                seen[kind][at] = True
+                uni, bi = ngram_buckets(h, buckets)
+                np.add.at(total[kind], uni[new], 1)
+                np.add.at(total[kind], bi[new[1:]], 1)
         for kind, own in total.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"kind": kind, "bucket": at, "n": own[at]})
 
-    sums = rows.select("kind", "text").mapInPandas(add, "kind string, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    out: dict[str, np.ndarray] = {}
-    pdf = sums.toPandas()  # at most kinds x buckets rows
-    for kind, part in pdf.groupby("kind"):
-        out[kind] = np.zeros(buckets)
-        out[kind][part["bucket"].to_numpy()] = part["n"].to_numpy()
-    return out
-
-
-def _sparse(b: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(buckets, dtype=np.int64)
-    np.add.at(out, b, 1)
-    return out
+    return sample.select("kind", "text").repartition("kind").mapInPandas(add, "kind string, bucket long, n long")
 
 
 def labelled_kinds(labels: DataFrame, sample_rows: int, seed: int = 42) -> DataFrame:
@@ -111,22 +138,31 @@ def labelled_kinds(labels: DataFrame, sample_rows: int, seed: int = 42) -> DataF
     return rows.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "kind").distinct()
 
 
-def log_ratios(counts: dict[str, np.ndarray], corpus: np.ndarray, prior: float, min_z: float) -> np.ndarray:
-    """(kinds, buckets) log target / raw; 0 where the evidence is weak."""
-    buckets = len(corpus)
-    background = (corpus + 1) / (corpus.sum() + buckets)
-    out = np.zeros((len(KINDS), buckets))
-    target = counts.get("target")
-    for k, kind in enumerate(KINDS):
-        raw = counts.get(kind)
-        if target is None or raw is None or not target.sum() or not raw.sum():
-            continue
-        nt, nr = target.sum(), raw.sum()
-        pooled = (target + raw) / (nt + nr)
-        se = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-300) * (1 / nt + 1 / nr))
-        z = np.abs(target / nt - raw / nr) / se
-        ratio = np.log((target + prior * background * buckets) / (nt + prior * buckets)) - np.log((raw + prior * background * buckets) / (nr + prior * buckets))
-        out[k] = np.where(z >= min_z, ratio, 0.0)
+def log_ratios(counts: DataFrame, corpus: DataFrame, buckets: int, coarse: int, prior: float, min_z: float) -> np.ndarray:
+    """(kinds, buckets) log target / raw; only buckets with evidence reach the driver.
+
+    ``corpus`` counts the low bits of the same hashes in ``coarse`` buckets; a
+    bucket's background is its share of them."""
+    out = np.zeros((len(KINDS), buckets), dtype=np.float64)
+    total = {r["kind"]: float(r["n"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    kinds = [k for k in KINDS if total.get(k)]
+    if not total.get("target") or not kinds:
+        return out
+    everything = float(corpus.agg(F.sum("n")).first()[0] or 0)
+    wide = counts.groupBy("bucket").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in ("target", *kinds)])
+    wide = wide.withColumn("low", F.col("bucket") % coarse).join(corpus.select(F.col("bucket").alias("low"), F.col("n").alias("all")), "low", "left")
+    share = (F.coalesce("all", F.lit(0)) + 1) / F.lit(everything + coarse) * F.lit(coarse)  # of an even spread
+    smooth = lambda k: F.log((F.col(k) + prior * share) / F.lit(total[k] + prior * buckets))
+    rows = []
+    for k in kinds:
+        nt, nk = total["target"], total[k]
+        pooled = (F.col("target") + F.col(k)) / (nt + nk)
+        error = F.sqrt(pooled * (1 - pooled) * F.lit(1 / nt + 1 / nk))
+        z = F.abs(F.col("target") / nt - F.col(k) / nk) / F.greatest(error, F.lit(1e-300))
+        rows.append(F.struct(F.lit(KINDS.index(k)).alias("kind"), z.alias("z"), (smooth("target") - smooth(k)).alias("ratio")))
+    found = wide.select("bucket", F.explode(F.array(*rows)).alias("r")).select("bucket", "r.*").where(F.col("z") >= min_z)
+    for r in found.collect():
+        out[r["kind"], r["bucket"]] = r["ratio"]
     return out
 
 
@@ -140,10 +176,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for s in batches:
             out = []
             for text in s:
-                total = np.zeros(len(w))
-                for b in ngram_buckets(text, w.shape[1], hashes):
-                    total += w[:, b].sum(axis=1)
-                out.append(float(total.min()))
+                b = np.concatenate(ngram_buckets(token_hashes(text, hashes), w.shape[1]))
+                out.append(float(min(row[b].sum() for row in w)))
             yield pd.Series(out, dtype=float)
 
     return docs.drop("log_weight").withColumn("log_weight", weigh("text"))
@@ -211,14 +245,15 @@ class Sampler:
         return F.lit(False) if self.least is None else _sortable(self.key()) >= F.lit(self.least)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, sample_rows: int = 8_000, prior: float = 0.5, min_z: float = 4.0, temperature: float = 0.1, seed: int = 42) -> tuple[Sampler, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 20, coarse: int = 1 << 16, sample_rows: int = 8_000, prior: float = 0.5, min_z: float = 6.0, temperature: float = 0.1, seed: int = 42) -> tuple[Sampler, DataFrame]:
     """The sampler, and (doc_id, text_hash, log_weight) of every document."""
     scratch = Scratch(docs.sparkSession, "quality")
     sample = scratch.write(labelled_kinds(labels, sample_rows, seed), "sample")
     slim = project(docs, doc_id="doc_id", text="text")
     shown = slim.join(F.broadcast(sample), "doc_id")  # sample_rows a kind
-    corpus = _counts(slim.select(F.lit("corpus").alias("kind"), "text"), buckets).get("corpus", np.zeros(buckets))
-    weights = log_ratios(_counts(shown, buckets), corpus, prior, min_z)
+    corpus = scratch.write(corpus_counts(slim, coarse), "corpus")
+    counts = scratch.write(kind_counts(shown, buckets), "kinds")
+    weights = log_ratios(counts, corpus, buckets, coarse, prior, min_z)
     scores = scratch.write(score(slim, weights).select("doc_id", F.xxhash64("text").alias("text_hash"), "log_weight"), "scores")
     tau = choose_limit(scores.join(F.broadcast(sample), "doc_id"))
     sampler = Sampler(weights, tau, temperature, seed)
