@@ -158,9 +158,9 @@ def _find(k: int, bands: int, rows: int, least: int):
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 over whole classes: (key, doc, no, begin, end, bands, members); one row with bands a class, and all members of larger ones."""
+    """Step 1 over whole classes: the rows that show bands, and all members of classes with several; ``members`` counts their places."""
     got = list(batches)
-    if not got:
+    if not any(b.num_rows for b in got):
         return
     table = pa.Table.from_batches(got).combine_chunks()
     key, doc, no = (table.column(i).to_numpy() for i in range(3))
@@ -172,30 +172,23 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(start, len(k)))
     real = np.add.reduceat((~same).astype(np.int64), start)
     members = np.repeat(real, size)
-    filled = np.diff(table.column("bands").combine_chunks().offsets.to_numpy()) > 0 if table.num_rows else np.zeros(0, dtype=bool)
-    # the row that shows the class's bands: any that has them
-    shown = np.zeros(len(order), dtype=bool)
-    with_bands = np.flatnonzero(filled[order])
-    group = np.cumsum(head) - 1
-    shown[with_bands[np.unique(group[with_bands], return_index=True)[1]]] = True
-    keep = ~same & ((members > 1) | shown) | shown
-    pick = order[keep]
-    out = table.take(pa.array(pick))
-    bands = out.column("bands").combine_chunks()
-    yield_bands = pa.array([b if s else None for b, s in zip(bands.to_pylist(), shown[keep].tolist())], type=pa.list_(pa.int64()))
-    cols = [out.column(i).combine_chunks() for i in range(5)]
-    yield pa.RecordBatch.from_arrays([*cols, yield_bands, pa.array(members[keep])], names=["key", "doc", "no", "begin", "end", "bands", "members"])
+    filled = np.diff(table.column("bands").combine_chunks().offsets.to_numpy()) > 0
+    keep = (~same & (members > 1)) | filled[order]
+    out = table.take(pa.array(order[keep])).combine_chunks()
+    yield pa.RecordBatch.from_arrays([*(out.column(i).combine_chunks() for i in range(6)), pa.array(members[keep])], names=["key", "doc", "no", "begin", "end", "bands", "members"])
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, key) of bands that several classes share."""
     got = list(batches)
-    if not got:
+    if not any(b.num_rows for b in got):
         return
     table = pa.Table.from_batches(got)
     band, key = table.column(0).to_numpy(), table.column(1).to_numpy()
     order = np.lexsort((key, band))
     band, key = band[order], key[order]
+    new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])])  # a class may show its bands twice
+    band, key = band[new], key[new]
     start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
     many = np.repeat(np.diff(np.append(start, len(band))) > 1, np.diff(np.append(start, len(band))))
     yield pa.RecordBatch.from_arrays([pa.array(band[many]), pa.array(key[many])], names=["band", "key"])
@@ -274,10 +267,10 @@ def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: flo
     found = base.mapInArrow(_find(k, bands, rows, least), schema)
     classes = scratch.write(found.repartition("key").mapInArrow(_classes, schema + ", members long"), "classes")
     scratch.release()
-    shared = classes.where("bands is not null").select(F.explode("bands").alias("band"), "key")
+    shared = classes.where("size(bands) > 0").select(F.explode("bands").alias("band"), "key")
     shared = scratch.write(shared.repartition("band").mapInArrow(_collide, "band long, key long"), "shared")
     scratch.release()
-    asked = classes.where("bands is not null").join(shared.select("key").distinct(), "key", "left_semi")
+    asked = classes.where("size(bands) > 0").join(shared.select("key").distinct(), "key", "left_semi")
     asked = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "begin", "end")).alias("asked"))
     sets = base.join(asked, "doc").select("text", "asked").mapInArrow(_read_sets(k), "key long, shingles array<long>")
     sets = scratch.write(sets.dropDuplicates(["key"]), "sets")

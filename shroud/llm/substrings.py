@@ -206,7 +206,7 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 over whole buckets: removed stretches, and the distinct runs of buckets that need refinement."""
     got = list(batches)
-    if not got:
+    if not any(b.num_rows for b in got):
         return
     table = pa.Table.from_batches(got)
     kind, anchor, ctx, doc, start, n = (c.to_numpy() for c in table.columns)
@@ -250,7 +250,7 @@ def refine(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray
 def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3 over rows (anchor, doc, start, n, bytes) of whole buckets, about 50,000 runs at a time."""
     got = list(batches)
-    if not got:
+    if not any(b.num_rows for b in got):
         return
     table = pa.Table.from_batches(got)
     anchor, doc, start, n = (table.column(i).to_numpy() for i in range(4))
