@@ -38,12 +38,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found in any layer is replaced by a mark; all documents stay (8)."""
-    found = scan_secrets(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    found = scan_secrets(rows, F.col("doc.text"))
     hit = F.col("secrets.redacted").isNotNull()
-    out = found.withColumn("text", F.when(hit, F.col("secrets.redacted")).otherwise(F.col("text")))
+    out = F.col("doc").withField("text", F.when(hit, F.col("secrets.redacted")).otherwise(F.col("doc.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        n = F.length("secrets.redacted").cast(docs.schema["n_chars"].dataType)
+        out = out.withField("n_chars", F.when(hit, n).otherwise(F.col("doc.n_chars")))
+    return found.select(out.alias("doc")).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
