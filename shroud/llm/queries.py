@@ -10,6 +10,7 @@ from shroud.llm.decontam import op1_decontam
 from shroud.llm.langid import op2_langid
 from shroud.llm.mixing import op9_mix
 from shroud.llm.nndescent import op3_nndescent
+from shroud.llm.paragraphs import op5_paragraphs
 from shroud.llm.quality import op4_quality
 from shroud.llm.secrets import op8_secrets
 from shroud.llm.simhash import op10_simhash
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_nndescent": op3_nndescent,
     "op4_quality": op4_quality,
+    "op5_paragraphs": op5_paragraphs,
     "op6_warc": op6_warc,
     "op7_substrings": op7_substrings,
     "op8_secrets": op8_secrets,
