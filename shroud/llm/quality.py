@@ -125,7 +125,8 @@ def kind_counts(sample: DataFrame, buckets: int) -> DataFrame:
             at = np.flatnonzero(own)
             yield pd.DataFrame({"kind": kind, "bucket": at, "n": own[at]})
 
-    return sample.select("kind", "text").repartition("kind").mapInPandas(add, "kind string, bucket long, n long")
+    rows = sample.select("kind", "text", F.xxhash64("text").alias("h")).repartition("kind").sortWithinPartitions("kind", "h")  # reruns agree
+    return rows.mapInPandas(add, "kind string, bucket long, n long")
 
 
 def labelled_kinds(labels: DataFrame, sample_rows: int, seed: int = 42) -> DataFrame:

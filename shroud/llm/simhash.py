@@ -10,8 +10,8 @@
    partitions by the candidate counts of their value histograms.
 4. Each class is indexed by its partition values and probes all values within
    ``t_i`` bits.  Posting lists longer than ``block_rows`` are split by the
-   same principle: three pieces of the bits not used so far, of which one must
-   agree; no pair is lost and no long list is compared with itself.
+   same principle: all bits are cut anew into pieces, one of which must agree, so
+   no pair is lost, while splitting lessens the work.
 5. Every candidate is verified by its bit distance; links give components.
 
 Null or empty texts and texts without a word have fingerprint zero and link as
@@ -186,21 +186,23 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch, max_bits: int = 2, m
             keys = F.array(*[value.bitwiseXOR(F.lit(f).cast("long")) for f in flips]) if len(flips) > 1 else F.array(value)
             rows.append(F.transform(keys, _tagged(i)))
         key = F.explode(F.concat(*rows))
-        return classes.select("node", "fp", key.alias("k")).select("node", "fp", F.xxhash64("k.part", "k.v").alias("key"), F.col("k.part").alias("part"))
+        return classes.select("node", "fp", key.alias("k")).select("node", "fp", F.xxhash64("k.part", "k.v").alias("key"))
 
-    return _join_lists(keyed("index"), keyed("probe"), parts, scratch, max_bits, block_rows)
+    return _join_lists(keyed("index"), keyed("probe"), scratch, max_bits, block_rows)
 
 
-def _join_lists(index: DataFrame, probe: DataFrame, parts: list[list[int]], scratch: Scratch, max_bits: int, block_rows: int) -> DataFrame:
-    """Verified pairs of two keyed sides; long lists go on with three pieces of their unused bits."""
-    found, level = None, 0
-    index = index.withColumn("used", F.array("part"))
-    probe = probe.withColumn("used", F.array("part"))
-    free = {(i,): [b for b in range(BITS) if b not in p] for i, p in enumerate(parts)}
+def _join_lists(index: DataFrame, probe: DataFrame, scratch: Scratch, max_bits: int, block_rows: int) -> DataFrame:
+    """Verified pairs of two keyed sides.
+
+    Lists of over ``block_rows`` entries are split: all bits are cut anew into
+    max_bits + 1 pieces, of which a pair within ``max_bits`` shares at least one.
+    Splitting goes on while it lessens the work of the long lists."""
+    found, level, before = None, 0, None
     while True:
         sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-        long_keys = scratch.write(sizes.where(F.col("n") > block_rows).select("key"), f"long-{level}")
-        more = bool(long_keys.head(1)) and min(map(len, free.values())) >= max_bits + 1
+        long_keys = scratch.write(sizes.where(F.col("n") > block_rows), f"long-{level}")
+        work = long_keys.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        more = work > 0 and (before is None or work < before)
         near = F.bit_count(F.col("i.fp").bitwiseXOR(F.col("p.fp"))) <= max_bits
         i, p = index, probe
         if more:
@@ -211,26 +213,16 @@ def _join_lists(index: DataFrame, probe: DataFrame, parts: list[list[int]], scra
         found = pairs if found is None else found.union(pairs)
         if not more:
             return found.distinct()
-        level += 1
-        pieces = {}
-        for used, bits in free.items():
-            cut = [bits[j :: max_bits + 1] for j in range(max_bits + 1)]
-            for j, c in enumerate(cut):
-                pieces[used + (j,)] = (c, [b for b in bits if b not in c])
-
-        def finer(side: DataFrame) -> DataFrame:
-            side = side.join(long_keys, "key", "left_semi")
-            out = None
-            for used, bits in free.items():
-                own = side.where(F.col("used") == F.array(*map(F.lit, used)))
-                subs = F.array(*[F.struct(F.lit(j).alias("j"), _piece(pieces[used + (j,)][0]).alias("v")) for j in range(max_bits + 1)])
-                own = own.select("node", "fp", "key", "part", "used", F.explode(subs).alias("s"))
-                own = own.select("node", "fp", F.xxhash64("key", "s.j", "s.v").alias("key"), "part", F.array_append("used", F.col("s.j")).alias("used"))
-                out = own if out is None else out.union(own)
-            return out
+        level, before = level + 1, work
+        order = np.random.default_rng(level).permutation(BITS).tolist()
+        cut = [sorted(order[j :: max_bits + 1]) for j in range(max_bits + 1)]
+
+        def finer(side: DataFrame, cut=cut, long_keys=long_keys) -> DataFrame:
+            pieces = F.array(*[F.struct(F.lit(j).alias("j"), _piece(c).alias("v")) for j, c in enumerate(cut)])
+            side = side.join(long_keys, "key", "left_semi").select("node", "fp", "key", F.explode(pieces).alias("s"))
+            return side.select("node", "fp", F.xxhash64("key", "s.j", "s.v").alias("key"))
 
         index, probe = scratch.write(finer(index), f"index-{level}"), scratch.write(finer(probe), f"probe-{level}")
-        free = {u: rest for u, (_, rest) in pieces.items()}
 
 
 def simhash_groups(docs: DataFrame, k: int = 3, max_bits: int = 2, block_rows: int = 256, seed: int = 42) -> DataFrame:
