@@ -38,9 +38,12 @@ UNSUPPORTED_PREFIX = "未支援標籤: "
 EMAIL_CONSTANT = "user@example.com"
 DATE_SPAN_DAYS = 20000  # fake dates fall in 1970-01-01 .. 2024-10-04
 
-# Relative-time words kept unchanged by the DATE_TIME replacer (G05), as in
-# the reference, English then Chinese; tested as substrings of the
-# lower-cased, stripped span.
+# ---------------------------------------------------------------------------
+# Fixed values that must equal the reference's: the relative-time words and
+# patterns that the DATE_TIME replacer keeps unchanged (G05; words are tested as
+# substrings of the lower-cased, stripped span), and the person-name form words
+# and form-field patterns.
+# ---------------------------------------------------------------------------
 RELATIVE_TIME_WORDS = (
     "today", "tomorrow", "yesterday", "now", "tonight",
     "this morning", "this afternoon", "this evening", "this noon",

@@ -1,21 +1,21 @@
-"""Detection: rule catalog -> ``array<span>`` column, in one projection.
+"""Detection: rule catalog -> ``array<span>`` column, in projections.
 
 ``detect`` = D* (regex + validation) -> C01 context boost -> duplicate removal
 -> C02 threshold -> (optionally) C03 type selection -> O01 overlap resolution.
-It is a pure projection: no shuffle, no Python worker, so it scales with the
-number of input partitions.
+It is a chain of projections: no shuffle, no Python worker, so it scales with
+the number of input partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.catalog import CONTEXT_BOOST, CONTEXT_WINDOW, DEFAULT_THRESHOLD, LEGACY_RULES, Rule, default_rules
 from shroud.functions.context import boosted_sql
-from shroud.functions.spans import digit_flag_sql, empty_spans_sql, lit_sql, matches_sql, str_sql
+from shroud.functions.spans import SPAN_DDL, digit_flag_sql, empty_spans_sql, lit_sql, matches_sql, str_sql
 from shroud.functions.validators import VALIDATORS_SQL, mac_is_null_sql, mac_score_sql
 from shroud.operators.resolve import dedupe_contained_sql, resolve_overlaps_sql
 
@@ -67,38 +67,54 @@ def select_types_sql(spans: str, entity_types: Iterable[str] | None, v: str = "s
     return f"filter({spans}, {v} -> {v}.entity_type IN ({inlist}))"
 
 
-def detect_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, threshold: float | None = DEFAULT_THRESHOLD,
-                     context: bool = True, dedupe: bool = True, resolve: bool = False,
-                     entity_types: Iterable[str] | None = None, window: int = CONTEXT_WINDOW,
-                     boost: float = CONTEXT_BOOST, digit_flag: str | None = None) -> str:
-    """``digit_flag`` names a boolean computed once per row (see
+def raw_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, context: bool = True, window: int = CONTEXT_WINDOW,
+                  boost: float = CONTEXT_BOOST, digit_flag: str | None = None, extra_spans: str | None = None) -> str:
+    """All spans of the rules, before duplicates, threshold and resolution.
+
+    ``digit_flag`` names a boolean computed once per row (see
     :func:`with_digit_flag`); rules that need a digit skip their regex when
-    it is false."""
+    it is false.  ``extra_spans`` is an array of spans found elsewhere (names
+    of a gazetteer, D48, or of a model, D49); they pass through duplicate
+    removal, threshold, type selection and resolution like any other."""
     rules = tuple(default_rules() if rules is None else rules)
-    if not rules:
-        return empty_spans_sql()
     parts = [rule_spans_sql(text, r, context, window, boost, digit_flag=digit_flag) for r in rules]
-    arr = parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
+    if extra_spans is not None:
+        parts.append(f"coalesce(CAST({extra_spans} AS {SPAN_DDL}), {empty_spans_sql()})")
+    if not parts:
+        return empty_spans_sql()
+    return parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
+
+
+def span_steps(threshold: float | None = DEFAULT_THRESHOLD, dedupe: bool = True, resolve: bool = False,
+               entity_types: Iterable[str] | None = None) -> list[Callable[[str], str]]:
+    """What happens to raw spans, as SQL builders to be applied one after the other.
+
+    Each goes into a column of its own: one expression of all steps nests so many
+    lambdas that the analyzer needs seconds, or gives up; the optimizer puts the
+    columns together again."""
+    types = None if entity_types is None else tuple(entity_types)
+    steps: list[Callable[[str], str]] = []
     if dedupe:
-        arr = dedupe_contained_sql(arr)
-    if threshold is not None:
-        arr = threshold_sql(arr, threshold)
-    if entity_types is not None:
-        arr = select_types_sql(arr, entity_types)
+        steps.append(dedupe_contained_sql)
+    if threshold is not None or types is not None:
+        steps.append(lambda arr: select_types_sql(arr if threshold is None else threshold_sql(arr, threshold), types))
     if resolve:
-        arr = resolve_overlaps_sql(arr)
-    return arr
+        steps.append(resolve_overlaps_sql)
+    return steps
 
 
 def any_match_sql(text: str, rules: Iterable[Rule] | None = None, digit_flag: str | None = None) -> str:
     """True when at least one rule's regex matches somewhere in ``text``.
 
-    Used as a document-level gate for per-segment plans: a match inside a
-    newline-separated segment is also a match candidate at the same place
-    in the whole text (the newline is a non-word character, so ``\\b`` and
-    the lookbehind guards hold there too), so a document without any raw
-    match has no segment with one."""
+    A document-level gate for per-segment plans, for rules of the catalog only:
+    they hold no anchors, and before a segment their guards see a newline, which
+    is as good to them as the start of the text.  So a match inside a segment is
+    a match in the whole text.  Nothing of that kind is known of other rules;
+    with any of them there is no gate."""
     rules = tuple(default_rules() if rules is None else rules)
+    known = {r.java for r in default_rules(include_disabled=True)}
+    if any(r.java not in known for r in rules):
+        return "true"
     conds = []
     for r in rules:
         pre = prefilter_sql(text, r, digit_flag)
@@ -114,15 +130,18 @@ def with_digit_flag(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn(DIGIT_COL, F.expr(digit_flag_sql(f"`{text_col}`")))
 
 
-def detect_spans(text_col: str = "text", rules: Iterable[Rule] | None = None, **kw) -> Column:
-    return F.expr(detect_spans_sql(f"`{text_col}`", rules, **kw))
-
-
-def detect(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] | None = None, *,
-           out: str = "spans", **kw) -> DataFrame:
+def detect(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] | None = None, *, out: str = "spans",
+           threshold: float | None = DEFAULT_THRESHOLD, context: bool = True, dedupe: bool = True, resolve: bool = False,
+           entity_types: Iterable[str] | None = None, window: int = CONTEXT_WINDOW, boost: float = CONTEXT_BOOST,
+           extra_spans: str | None = None) -> DataFrame:
     """Add an ``array<span>`` column holding the detected entities."""
     d = with_digit_flag(df, text_col)
-    return d.withColumn(out, detect_spans(text_col, rules, digit_flag=f"`{DIGIT_COL}`", **kw)).drop(DIGIT_COL)
+    extra = f"`{extra_spans}`" if extra_spans else None
+    d = d.withColumn(out, F.expr(raw_spans_sql(f"`{text_col}`", rules, context=context, window=window, boost=boost,
+                                               digit_flag=f"`{DIGIT_COL}`", extra_spans=extra))).drop(DIGIT_COL)
+    for step in span_steps(threshold, dedupe, resolve, entity_types):
+        d = d.withColumn(out, F.expr(step(f"`{out}`")))
+    return d
 
 
 def legacy_spans_sql(text: str, names_spans: str | None = None) -> str:

@@ -2,8 +2,9 @@
 
 ``predict_factory()`` runs once per task (load the model there) and returns
 ``predict(texts: list[str]) -> list[list[(entity_type, start, end, score)]]``
-with code-point offsets.  Failures are isolated per batch: the rows of a
-failing batch get no spans and an ``error`` message (L05).
+with code-point offsets.  Failures are isolated per document (L05): the texts of
+a failing batch are tried one by one, and only those that fail alone get no
+spans and an ``error`` message.
 """
 
 from __future__ import annotations
@@ -21,19 +22,26 @@ def model_detect(df: DataFrame, predict_factory: Callable[[], Callable], text_co
                  out: str = "model_spans") -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(out, SPAN_ARRAY), T.StructField("error", T.StringType())])
 
+    def spans_of(text, hits):
+        return [{"entity_type": e, "start": int(s), "end": int(n), "score": float(sc), "raw_txt": text[int(s):int(n)]}
+                for (e, s, n, sc) in hits]
+
     def run(it):
         predict = predict_factory()
         for pdf in it:
-            texts = pdf[text_col].tolist()
+            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
             try:
-                found = predict([t if isinstance(t, str) else "" for t in texts])
-                spans = [[{"entity_type": e, "start": int(s), "end": int(n), "score": float(sc),
-                           "raw_txt": (t or "")[int(s):int(n)]} for (e, s, n, sc) in hits]
-                         for t, hits in zip(texts, found)]
+                spans = [spans_of(t, hits) for t, hits in zip(texts, predict(texts), strict=True)]
                 err = [None] * len(texts)
-            except Exception as exc:  # isolate the batch, keep the job alive
-                spans = [[] for _ in texts]
-                err = [f"{type(exc).__name__}: {exc}"] * len(texts)
+            except Exception:  # find the document that fails, keep the others
+                spans, err = [], []
+                for t in texts:
+                    try:
+                        spans.append(spans_of(t, predict([t])[0]))
+                        err.append(None)
+                    except Exception as exc:
+                        spans.append([])
+                        err.append(f"{type(exc).__name__}: {exc}")
             yield pdf.assign(**{out: pd.Series(spans, dtype=object), "error": pd.Series(err, dtype=object)})
 
     return df.mapInPandas(run, schema)

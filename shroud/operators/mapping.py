@@ -7,18 +7,23 @@ job ever overwrites what another reads.  The live mapping is every row after
 the newest reset marker; if two runs raced on a key, the oldest version wins
 ("existing non-empty value wins").
 
-At scale: new keys come from a ``distinct`` over (type, raw) -- partial
-aggregation on the map side collapses hot values before the shuffle -- and a
-``left_anti`` join on the key, both hash-partitioned on ``map_key``.  The
-look-up join is broadcast only behind a proven row bound; beyond it Spark
-shuffles on the key and AQE splits skewed partitions.
+Versions: a reset marker opens a new epoch (the next multiple of 2**32), so
+every later append, by a batch job or by a stream, has a larger version.
+
+At scale: new keys are aggregated on the key itself, so one exchange serves
+both the distinct and the ``left_anti`` join.  Look-ups join a snapshot of one
+row per key (``MappingStore.snapshot``) read without window or aggregate: both
+sides of that join are plain exchanges, which adaptive execution can split
+when one value fills a large part of the spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,33 +42,19 @@ MAPPING_SCHEMA = T.StructType(
     ]
 )
 
-# The model prompt texts and batch size.
+# The model prompt texts, batch size and time limit in seconds.
 MODEL_SYSTEM_PROMPT = (
     "Replace each item with a fake value. Output only the replacement value for each item, one per line, "
     "without any type or raw label. Do not repeat the input format, just output the new value."
 )
 MODEL_PROMPT_HEADER = "Items to replace (one replacement per line, in order):"
 MODEL_BATCH_SIZE = 30
+MODEL_TIME_LIMIT = 10.0
 
 # Python's str.splitlines() boundaries, as a Java regex.
 SPLITLINES_RE = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most
-    ``max_rows`` rows; otherwise leave the join to shuffle (+ AQE).
-
-    ``None`` skips the count: AQE still turns the join into a broadcast at
-    run time when the measured shuffle output of this side is below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` -- the right choice
-    for derived (not yet materialised) tables, where a count would run
-    their whole lineage twice."""
-    if not max_rows or max_rows <= 0:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_map_key(df: DataFrame, entity_col: str = "entity_type", raw_col: str = "raw_txt") -> DataFrame:
     return df.withColumn("map_key", F.expr(map_key_sql(SPARK, f"`{entity_col}`", f"`{raw_col}`")))
 
@@ -72,29 +63,33 @@ def empty_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MAPPING_SCHEMA)
 
 
-def reset_base(mapping: DataFrame) -> int | None:
-    """Version of the newest reset marker (one scalar; cheap on a stored
-    table, where only the ``is_reset`` / ``version`` columns are read)."""
-    v = mapping.filter("is_reset").agg(F.max("version")).first()[0]
-    return None if v is None else int(v)
+EPOCH = 1 << 32
+
 
+def reset_marker(mapping: DataFrame) -> DataFrame:
+    """One row, ``base``: the version of the newest reset marker, or -1."""
+    return mapping.filter("is_reset").agg(F.coalesce(F.max("version"), F.lit(-1)).alias("base"))
 
-def live_mapping(mapping: DataFrame, base: int | None = None) -> DataFrame:
-    """Rows after reset marker ``base``; one row per key, oldest wins."""
-    rows = mapping.filter("NOT is_reset AND fake_value IS NOT NULL AND fake_value != ''")
-    if base is not None:
-        rows = rows.filter(F.col("version") > F.lit(int(base)))
-    w = Window.partitionBy("map_key").orderBy("version")
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
+def live_mapping(mapping: DataFrame) -> DataFrame:
+    """Rows after the newest reset marker, one per key, the oldest wins.
 
-def new_pairs(spans: DataFrame, mapping: DataFrame | None, base: int | None = None) -> DataFrame:
-    """Distinct (type, raw) of ``spans`` whose key is not in the mapping
-    (rows after reset marker ``base``)."""
-    pairs = with_map_key(spans.select("entity_type", "raw_txt").distinct())
+    A frame without ``is_reset`` is a snapshot: one row per key already."""
+    if "is_reset" not in mapping.columns:
+        return mapping
+    after = F.col("version") > reset_marker(mapping).scalar()
+    rows = mapping.filter("NOT is_reset AND fake_value IS NOT NULL AND fake_value != ''").filter(after)
+    oldest = F.min_by(F.struct("entity_type", "fake_value", "route", "version"), F.struct("version", "fake_value"))
+    return rows.groupBy("map_key").agg(oldest.alias("m")).select("map_key", "m.*")
+
+
+def new_pairs(spans: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """Distinct (type, raw) of ``spans`` whose key is not in the live mapping."""
+    pairs = with_map_key(spans.select("entity_type", "raw_txt"))
+    pairs = pairs.groupBy("map_key").agg(F.min(F.struct("entity_type", "raw_txt")).alias("p")).select("map_key", "p.*")
     if mapping is None:
         return pairs
-    return pairs.join(live_mapping(mapping, base).select("map_key"), "map_key", "left_anti")
+    return pairs.join(live_mapping(mapping).select("map_key"), "map_key", "left_anti")
 
 
 def generate_pairs(pairs: DataFrame, salt: str = "") -> DataFrame:
@@ -109,15 +104,21 @@ def generate_pairs(pairs: DataFrame, salt: str = "") -> DataFrame:
     )
 
 
-def mapping_upsert(spans: DataFrame, mapping: DataFrame | None = None, version: int = 1,
-                   salt: str = "", generated: DataFrame | None = None, base: int | None = None) -> DataFrame:
+def mapping_upsert(spans: DataFrame | None, mapping: DataFrame | None = None, version: int = 1,
+                   salt: str = "", generated: DataFrame | None = None) -> DataFrame:
     """Rows to append -- keys new to ``mapping`` with their values.
 
     ``generated`` may carry externally made values (e.g. A12 model output,
-    columns map_key, entity_type, fake_value, route); rows with route
-    ``fallback`` are never stored (fix F4)."""
-    fresh = generate_pairs(new_pairs(spans, mapping, base), salt) if generated is None else generated
-    fresh = fresh.filter("route != 'fallback'")
+    columns map_key, entity_type, fake_value, route).  Rows with route
+    ``fallback`` or ``kept`` hold the raw text, not a substitute, and are never
+    stored (fix F4); keys that are stored already stay as they are."""
+    if generated is None:
+        fresh = generate_pairs(new_pairs(spans, mapping), salt)
+    else:
+        fresh = generated.filter("route NOT IN ('fallback', 'kept')").groupBy("map_key").agg(
+            F.min(F.struct("entity_type", "fake_value", "route")).alias("m")).select("map_key", "m.*")
+        if mapping is not None:
+            fresh = fresh.join(live_mapping(mapping).select("map_key"), "map_key", "left_anti")
     return fresh.select(
         "map_key", "entity_type", "fake_value", "route",
         F.lit(int(version)).cast("long").alias("version"), F.lit(False).alias("is_reset"),
@@ -134,47 +135,56 @@ class MappingStore:
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(MAPPING_SCHEMA).parquet(self.path)
-        except Exception:  # no version written yet
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":  # an outage is not an empty mapping
+                raise
             return empty_mapping(self.spark)
 
     def next_version(self) -> int:
         v = self.read().agg(F.max("version")).first()[0]
         return 1 if v is None else int(v) + 1
 
+    def epoch(self) -> int:
+        """Version of the newest reset marker, 0 before the first: the base of stream versions."""
+        return max(0, int(reset_marker(self.read()).first()[0]))
+
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("version").parquet(self.path)
 
-    def upsert(self, spans: DataFrame, salt: str = "", generated: DataFrame | None = None) -> DataFrame:
+    def upsert(self, spans: DataFrame | None, salt: str = "", generated: DataFrame | None = None) -> DataFrame:
         version = self.next_version()
-        current = self.read()
-        rows = mapping_upsert(spans, current, version, salt, generated, base=reset_base(current))
-        self.append(rows)
+        self.append(mapping_upsert(spans, self.read(), version, salt, generated))
         return self.spark.read.schema(MAPPING_SCHEMA).parquet(self.path).filter(F.col("version") == version)
 
     def reset(self) -> None:
-        """Forget every value written so far."""
-        version = self.next_version()
+        """Forget every value written so far; later versions are larger."""
+        version = (self.next_version() // EPOCH + 1) * EPOCH
         marker = self.spark.createDataFrame([(None, None, None, None, version, True)], MAPPING_SCHEMA)
         self.append(marker)
 
     def live(self) -> DataFrame:
-        m = self.read()
-        return live_mapping(m, reset_base(m))
+        return live_mapping(self.read())
+
+    def snapshot(self) -> DataFrame:
+        """The live mapping written beside the table, one row per key: what look-ups should join."""
+        path = f"{self.path.rstrip('/')}_live/{self.next_version()}"
+        live = self.live()
+        live.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(live.schema).parquet(path)
 
 
-def lookup(span_table: DataFrame, mapping: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
+def lookup(span_table: DataFrame, mapping: DataFrame) -> DataFrame:
     """Attach ``cached_value`` to a span table (left join on the key)."""
     m = live_mapping(mapping).select("map_key", F.col("fake_value").alias("cached_value"))
-    return with_map_key(span_table).join(broadcast_if_small(m, max_broadcast_rows), "map_key", "left")
+    return with_map_key(span_table).join(m, "map_key", "left")
 
 
-def route_spans(span_table: DataFrame, mapping: DataFrame | None = None, salt: str = "",
-                max_broadcast_rows: int | None = None) -> DataFrame:
+def route_spans(span_table: DataFrame, mapping: DataFrame | None = None, salt: str = "") -> DataFrame:
     """Cached -> mapping value; local type -> generator; else model route."""
     if mapping is None:
         t = with_map_key(span_table).withColumn("cached_value", F.lit(None).cast("string"))
     else:
-        t = lookup(span_table, mapping, max_broadcast_rows)
+        t = lookup(span_table, mapping)
     t = t.withColumn("_h", F.expr(hash_sql(SPARK, "entity_type", "raw_txt", salt)))
     route = F.when(F.col("cached_value").isNotNull(), "cached").otherwise(F.expr(route_sql("entity_type")))
     value = F.coalesce(F.col("cached_value"), F.expr(routed_fake_sql("entity_type", "raw_txt", salt, h="_h")))
@@ -209,7 +219,8 @@ def parse_model_batches(batches: DataFrame, response_col: str = "response") -> D
     is stripped and split like ``str.splitlines``; missing lines count as
     blank; a blank line or one equal to the raw value keeps the raw value
     (route ``kept``)."""
-    items = batches.select("batch_id", F.posexplode("items").alias("_i", "it"), response_col)
+    carried = ["status"] if "status" in batches.columns else []
+    items = batches.select("batch_id", *carried, F.posexplode("items").alias("_i", "it"), response_col)
     stripped = F.regexp_replace(F.col(response_col), r"(?U)^\s+|\s+$", "")
     lines = F.split(stripped, SPLITLINES_RE, -1)
     pos = F.col("it.pos").cast("int")
@@ -218,6 +229,7 @@ def parse_model_batches(batches: DataFrame, response_col: str = "response") -> D
     keep_raw = line.isNull() | (line == "") | (line == F.col("it.raw"))
     return items.select(
         "batch_id",
+        *carried,
         pos.alias("pos"),
         F.col("it.map_key").alias("map_key"),
         F.col("it.entity_type").alias("entity_type"),
@@ -227,23 +239,32 @@ def parse_model_batches(batches: DataFrame, response_col: str = "response") -> D
     )
 
 
-def model_generate(batches: DataFrame, make_client: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+def model_generate(batches: DataFrame, make_client: Callable[[], Callable[[str, str], str]],
+                   time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
     """Call a user model per batch inside the executors.
 
     ``make_client()`` runs once per task and returns ``chat(system, user) ->
-    str``.  Any exception for a batch yields an empty reply with status
-    ``fallback``; its items keep their raw values and are never stored."""
+    str``.  An exception, or no reply within ``time_limit`` seconds, gives an
+    empty reply with status ``fallback``; its items keep their raw values and
+    are never stored.  A call that overran keeps its thread until it returns;
+    the next batch starts with a new one."""
     schema = T.StructType(batches.schema.fields + [T.StructField("response", T.StringType()),
                                                    T.StructField("status", T.StringType())])
 
     def run(it):
         chat = make_client()
+        pool = ThreadPoolExecutor(max_workers=1)
         for pdf in it:
             responses, status = [], []
             for prompt in pdf["prompt"]:
                 try:
-                    responses.append(str(chat(MODEL_SYSTEM_PROMPT, prompt)))
+                    responses.append(str(pool.submit(chat, MODEL_SYSTEM_PROMPT, prompt).result(time_limit)))
                     status.append("ok")
+                except TimeoutError:
+                    pool.shutdown(wait=False)
+                    pool = ThreadPoolExecutor(max_workers=1)
+                    responses.append("")
+                    status.append("fallback")
                 except Exception:  # one bad batch must not fail the job
                     responses.append("")
                     status.append("fallback")
@@ -253,11 +274,13 @@ def model_generate(batches: DataFrame, make_client: Callable[[], Callable[[str,
 
 
 def model_values(batches_with_response: DataFrame) -> DataFrame:
-    """A11 + F4: parsed values; items of failed batches become ``fallback``."""
+    """A11 + F4: parsed values; items of failed batches become ``fallback``.
+
+    The status travels with the reply, so the model runs once per batch."""
     parsed = parse_model_batches(batches_with_response)
-    status = batches_with_response.select("batch_id", "status")
-    return parsed.join(status, "batch_id").select(
+    failed = F.col("status") == "fallback"
+    return parsed.select(
         "map_key", "entity_type", "raw_txt",
-        F.when(F.col("status") == "fallback", F.col("raw_txt")).otherwise(F.col("fake_value")).alias("fake_value"),
-        F.when(F.col("status") == "fallback", F.lit("fallback")).otherwise(F.col("route")).alias("route"),
+        F.when(failed, F.col("raw_txt")).otherwise(F.col("fake_value")).alias("fake_value"),
+        F.when(failed, F.lit("fallback")).otherwise(F.col("route")).alias("route"),
     )

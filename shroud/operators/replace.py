@@ -1,7 +1,7 @@
 """Replacement strategies (A01-A06) on the document's span array.
 
 Everything is a projection over the document row: spans carry their fake
-value, and ``apply_spans`` splices them right-to-left with one ``aggregate``.
+value, and ``apply_spans`` joins them with the gaps between them.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import LOCAL_TYPES, ENTITY_ALIASES
 from shroud.functions.fakes import SPARK, fake_value_sql, hash_sql, tagmap_fake_sql
+from shroud.functions.spans import let_sql
 from shroud.operators.resolve import order_spans_sql
 
-# Types the legacy per-type replacer generates values for; any other type is
-# replaced by the raw text of its last span.
+# Types the legacy per-type replacer generates values for; any
+# other type is replaced by the raw text of its last span.
 LEGACY_GENERATED_TYPES = (
     "EMAIL_ADDRESS", "PHONE_NUMBER", "UK_NHS", "TW_ID_NUMBER", "UNIFIED_BUSINESS_NO", "CREDIT_CARD",
     "LOCATION", "IP_ADDRESS", "URL", "MAC_ADDRESS", "TW_PHONE_NUMBER", "TW_HEALTH_INSURANCE", "TW_PASSPORT_NUMBER",
@@ -25,13 +26,18 @@ REPL_DDL = ("array<struct<entity_type:string,start:int,`end`:int,score:double,ra
 
 
 def apply_spans_sql(text: str, spans: str, v: str = "ap") -> str:
-    """Splice ``fake_value`` of non-overlapping spans into ``text``,
-    right to left so earlier offsets stay valid."""
-    ordered = order_spans_sql(spans, descending=True, v=f"{v}o")
-    t, x = f"{v}t", f"{v}x"
-    step = (f"({t}, {x}) -> concat(substring({t}, 1, {x}.start), coalesce({x}.fake_value, {x}.raw_txt), "
-            f"substring({t}, {x}.`end` + 1))")
-    return f"CASE WHEN {text} IS NULL THEN NULL ELSE aggregate({ordered}, {text}, {step}) END"
+    """Splice ``fake_value`` of non-overlapping spans into ``text``.
+
+    The text is split into characters once; the gaps between the spans and the
+    values are joined, so the cost grows with text and spans, not their product."""
+    s, c, x, i = f"{v}s", f"{v}c", f"{v}x", f"{v}i"
+    prev = f"CASE WHEN {i} = 0 THEN 0 ELSE {s}[greatest({i} - 1, 0)].`end` END"
+    gap = f"array_join(slice({c}, {prev} + 1, greatest({x}.start - {prev}, 0)), '')"
+    pieces = f"transform({s}, ({x}, {i}) -> concat({gap}, coalesce({x}.fake_value, {x}.raw_txt)))"
+    tail = f"array_join(slice({c}, element_at({s}, -1).`end` + 1, size({c})), '')"
+    spliced = let_sql(f"split({text}, '', -1)", c, f"concat(array_join({pieces}, ''), {tail})")
+    body = let_sql(order_spans_sql(spans, v=f"{v}o"), s, f"CASE WHEN size({s}) = 0 THEN {text} ELSE {spliced} END")
+    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {body} END"
 
 
 def route_sql(entity: str) -> str:
@@ -77,17 +83,6 @@ def replace_per_span(df: DataFrame, text_col: str = "text", spans_col: str = "sp
     return df.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", fk)))
 
 
-def replace_deterministic(df: DataFrame, text_col: str = "text", spans_col: str = "spans",
-                          out: str = "text_deid", salt: str = "", keep_spans: str | None = None) -> DataFrame:
-    """Same (type, raw) -> same value everywhere: a pure projection."""
-    fk = with_fakes_sql(f"`{spans_col}`", salt=salt)
-    df = df.withColumn("_repl", F.expr(fk))
-    df = df.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", "_repl")))
-    if keep_spans:
-        return df.withColumnRenamed("_repl", keep_spans)
-    return df.drop("_repl")
-
-
 def legacy_fake_sql(entity: str, raw: str, h: str) -> str:
     """Generators of the legacy per-type replacer: as the local ones, except
     DATE_TIME (G22), PERSON without the name check, everything unknown keeps

@@ -18,12 +18,22 @@ def entities_per_document(df: DataFrame, id_col: str = "doc_id", spans_col: str
     return df.select(id_col, F.size(spans_col).cast("long").alias("n_entities"))
 
 
-def entities_by_type(span_table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per entity type -- spans, documents, mean score."""
-    return span_table.groupBy("entity_type").agg(
-        F.count(F.lit(1)).alias("n_spans"),
-        F.countDistinct(id_col).alias("n_docs"),
-        F.round(F.avg("score"), 6).alias("avg_score"),
+def entities_by_type(df: DataFrame, spans_col: str = "spans") -> DataFrame:
+    """Per entity type -- spans, documents, mean score.
+
+    Each row first counts its own spans by type, so no document key reaches the
+    shuffle and a type is one partial row per task."""
+    t, x = "ebt", "ebx"
+    own = f"filter(`{spans_col}`, {x} -> {x}.entity_type = {t})"
+    per_doc = (f"transform(array_distinct(transform(`{spans_col}`, {x} -> {x}.entity_type)), {t} -> named_struct("
+               f"'entity_type', {t}, 'n', size({own}), "
+               f"'score', aggregate({own}, CAST(0 AS decimal(38, 10)), (eba, {x}) -> CAST(eba + CAST({x}.score AS decimal(20, 10)) AS decimal(38, 10)))))")
+    rows = explode_nonempty(df, [], F.expr(per_doc), alias="r").select("r.*")
+    n = F.sum(F.col("n").cast("long"))
+    return rows.groupBy("entity_type").agg(
+        n.alias("n_spans"),
+        F.count(F.lit(1)).alias("n_docs"),
+        F.round(F.sum("score").cast("double") / n, 6).alias("avg_score"),
     )
 
 
@@ -33,7 +43,7 @@ def overlap_report(df: DataFrame, raw_col: str = "spans_raw", id_col: str = "doc
     Counted by (outcome, entity_type, blocked_by)."""
     from shroud.operators.resolve import greedy_sql, resolution_order_sql
 
-    accepted = greedy_sql(resolution_order_sql(f"`{raw_col}`"))
+    accepted = resolution_order_sql(greedy_sql(f"`{raw_col}`"))
     x, a, b = "orx", "ora", "orb"
     blocker = (f"element_at(filter(_acc, {a} -> NOT ({x}.`end` <= {a}.start OR {x}.start >= {a}.`end`) "
                f"AND NOT ({a}.entity_type = {x}.entity_type AND {a}.start = {x}.start AND {a}.`end` = {x}.`end`)), 1)")

@@ -1,8 +1,9 @@
 """Conflict resolution and span de-duplication.
 
-All of it runs inside a row on the document's own span array
-(``array_sort`` + ``aggregate``), so there is no shuffle: the number of spans
-per document is small and bounded by the document, never by the corpus.
+All of it runs inside a row on the document's own span array, so there is no
+shuffle.  Spans are cut into chains that overlap, and only inside a chain is a
+span compared with others: the work grows with the number of spans, not with its
+square.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroud.catalog import DEFAULT_PRIORITY, PRIORITY
-from shroud.functions.spans import empty_spans_sql
+from shroud.functions.spans import SPAN_DDL, empty_spans_sql, let_sql, scan_sql
 
 
 def priority_sql(entity: str) -> str:
@@ -47,12 +48,31 @@ def _overlaps(x: str, a: str) -> str:
     return f"NOT ({x}.`end` <= {a}.start OR {x}.start >= {a}.`end`)"
 
 
-def greedy_sql(ordered: str, v: str = "gr") -> str:
+def clusters_sql(spans: str, v: str = "cl") -> str:
+    """The spans cut into maximal chains of overlapping ones, in start order.
+
+    Whether a span is kept depends only on spans that it overlaps, so every
+    decision stays inside one chain; chains are short however many spans a
+    document has."""
+    s, m, k, i = f"{v}s", f"{v}m", f"{v}k", f"{v}i"
+    ordered = order_spans_sql(spans, v=f"{v}o")
+    reach = scan_sql(f"transform({s}, {v}e -> {v}e.`end`)", f"greatest({v}ml, {v}mr)", "0", f"{v}m")
+    heads = f"filter(sequence(0, size({s}) - 1), {i} -> {i} = 0 OR {s}[{i}].start >= {m}a[greatest({i} - 1, 0)])"
+    cut = (f"transform({k}, ({v}h, {v}n) -> slice({s}, {v}h + 1, "
+           f"CASE WHEN {v}n + 1 < size({k}) THEN {k}[{v}n + 1] ELSE size({s}) END - {v}h))")
+    body = let_sql(reach, f"{m}a", let_sql(heads, k, cut))
+    return let_sql(ordered, s, f"CASE WHEN size({s}) = 0 THEN CAST(array() AS array<{SPAN_DDL}>) ELSE {body} END")
+
+
+def greedy_sql(spans: str, v: str = "gr") -> str:
+    """Accepted spans: per chain, in resolution order, all that overlap no accepted one."""
     acc, x, a = f"{v}acc", f"{v}x", f"{v}a"
-    return (
-        f"aggregate({ordered}, {empty_spans_sql()}, ({acc}, {x}) -> CASE WHEN exists({acc}, {a} -> {_overlaps(x, a)}) "
-        f"THEN {acc} ELSE concat({acc}, array({x})) END)"
+    chain = (
+        f"aggregate({resolution_order_sql(f'{v}c', v=f'{v}r')}, {empty_spans_sql()}, ({acc}, {x}) -> "
+        f"CASE WHEN exists({acc}, {a} -> {_overlaps(x, a)}) THEN {acc} ELSE concat({acc}, array({x})) END)"
     )
+    single = f"CASE WHEN size({v}c) = 1 THEN {v}c ELSE {chain} END"
+    return f"flatten(transform({clusters_sql(spans, f'{v}k')}, {v}c -> {single}))"
 
 
 def order_spans_sql(spans: str, descending: bool = False, v: str = "os") -> str:
@@ -65,8 +85,8 @@ def order_spans_sql(spans: str, descending: bool = False, v: str = "os") -> str:
 def resolve_overlaps_sql(spans: str, order_by_start: bool = True) -> str:
     """Greedy accept in resolution order, skipping anything that overlaps
     an accepted span.  Result sorted by start (O03) unless told otherwise."""
-    g = greedy_sql(resolution_order_sql(spans))
-    return order_spans_sql(g) if order_by_start else g
+    g = greedy_sql(spans)
+    return order_spans_sql(g) if order_by_start else resolution_order_sql(g)
 
 
 def dedupe_contained_sql(spans: str, v: str = "dd") -> str:
@@ -74,18 +94,17 @@ def dedupe_contained_sql(spans: str, v: str = "dd") -> str:
     first) order, drop a span contained in an already kept span of the same
     type."""
     a, b = f"{v}a", f"{v}b"
-    ordered = (
-        f"array_sort({spans}, ({a}, {b}) -> "
-        + _cmp_sql((f"{b}.score", f"{a}.score"), (f"{a}.start", f"{b}.start"), (_len(b), _len(a)),
+    cmp = _cmp_sql((f"{b}.score", f"{a}.score"), (f"{a}.start", f"{b}.start"), (_len(b), _len(a)),
                    (f"{a}.entity_type", f"{b}.entity_type"))
-        + ")"
-    )
     acc, x, k = f"{v}acc", f"{v}x", f"{v}k"
     contained = f"{k}.entity_type = {x}.entity_type AND {k}.start <= {x}.start AND {x}.`end` <= {k}.`end`"
-    return (
-        f"aggregate({ordered}, {empty_spans_sql()}, ({acc}, {x}) -> CASE WHEN exists({acc}, {k} -> {contained}) "
-        f"THEN {acc} ELSE concat({acc}, array({x})) END)"
+    chain = (
+        f"aggregate(array_sort({v}c, ({a}, {b}) -> {cmp}), {empty_spans_sql()}, ({acc}, {x}) -> "
+        f"CASE WHEN exists({acc}, {k} -> {contained}) THEN {acc} ELSE concat({acc}, array({x})) END)"
     )
+    single = f"CASE WHEN size({v}c) = 1 THEN {v}c ELSE {chain} END"
+    kept = f"flatten(transform({clusters_sql(spans, f'{v}q')}, {v}c -> {single}))"
+    return f"array_sort({kept}, ({a}, {b}) -> {cmp})"
 
 
 def _c(name: str) -> str:
@@ -105,11 +124,12 @@ def order_spans(spans_col: str, descending: bool = False) -> Column:
 
 
 def best_per_raw_text(span_table: DataFrame, doc_cols=("doc_id",), pos_col: str = "start") -> DataFrame:
-    """Per (document, raw_txt) keep the highest score; first wins ties.
+    """Per (document, raw_txt) keep the highest score; ties go to the first
+    start, then the longer span, then the type by name.
 
     Partitioned by the document key: a document's spans are bounded by the
     document itself, so no group grows with the corpus.
     """
     keys = list(doc_cols) + ["raw_txt"]
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(pos_col).asc())
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(pos_col).asc(), F.col("end").desc(), "entity_type")
     return span_table.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

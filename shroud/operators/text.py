@@ -42,12 +42,12 @@ def preview(df: DataFrame, text_col: str = "text", out: str = "preview", max_cha
 
 
 def line_count(df: DataFrame, text_col: str = "text", out: str = "line_count",
-               capped_out: str = "line_count_capped", cap: int = LINE_COUNT_CAP) -> DataFrame:
+               capped_out: str = "line_count_capped", cap: int | None = None) -> DataFrame:
     """Viewer count = newlines + 1 (empty -> 1); capped count = lines as
     read from a file (a trailing newline adds none, empty -> 0), at most
-    ``cap``."""
+    ``cap`` where one is given (the viewer's is ``LINE_COUNT_CAP``)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     nl = F.length(t) - F.length(F.regexp_replace(t, "\n", ""))
     viewer = F.when(t == "", F.lit(1)).otherwise(nl + 1)
     read = F.when(t == "", F.lit(0)).otherwise(nl + F.when(t.endswith("\n"), 0).otherwise(1))
-    return df.withColumn(out, viewer.cast("int")).withColumn(capped_out, F.least(read, F.lit(cap)).cast("int"))
+    return df.withColumn(out, viewer.cast("int")).withColumn(capped_out, (read if cap is None else F.least(read, F.lit(cap))).cast("int"))

@@ -8,21 +8,25 @@ value lists are the only things shared with the Spark side.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from shroud import catalog as C
 from shroud.functions.fakes import DUCK, fake_value_sql, is_likely_person_name_sql, is_relative_time_sql
 from shroud.functions.validators import UBN_WEIGHTS  # noqa: F401  (documented dependency)
 from shroud.operators.gazetteer import GAZETTEER_SCORE, TOKEN_RE
 from shroud.operators.text import BLANK_MARK, LINE_COUNT_CAP, PREVIEW_CHARS, TRUNCATED_MARK
-from shroud.queries import COMMON_OPTIONS, option_types
+from shroud.queries import ALL_RULE_IDS, COMMON_OPTIONS, DATE_RULE_IDS, option_types
 from shroud.sources.files import ACCEPTED_EXTENSIONS, LEGACY_TEXT_EXTENSIONS, MAX_FILES
-from shroud.sources.tables import CUSTOMER_CORPUS_SQL, ORDERS_CORPUS_SQL
+from shroud.sources.tables import CUSTOMER_CORPUS_SQL, FORMS_CORPUS_SQL, LONG_NAMES_SQL, ORDERS_CORPUS_SQL
 from shroud.sqloracle import detect_duck, luhn_duck, mac_null_duck, q, resolve_duck, ubn_valid_duck
 
 DOCS = "(SELECT doc_id AS id, text FROM documents)"
 CUST = f"(SELECT doc_id AS id, text FROM ({CUSTOMER_CORPUS_SQL}))"
 ORDS = f"(SELECT doc_id AS id, text FROM ({ORDERS_CORPUS_SQL}))"
 URLS = "(SELECT page_id AS id, url AS text FROM pages)"
-SRC = {"documents": DOCS, "customer": CUST, "orders": ORDS, "urls": URLS}
+FRMS = "(SELECT doc_id AS id, text FROM forms_corpus)"  # see with_forms
+SRC = {"documents": DOCS, "customer": CUST, "orders": ORDS, "urls": URLS, "forms": FRMS}
+DATED = f"(SELECT id, text FROM {ORDS} UNION ALL SELECT -id, text FROM {FRMS})"
 SPANS_OUT = 'SELECT id AS doc_id, entity_type, start, "end", score, raw_txt FROM ({})'
 ST = 'STRUCT(entity_type VARCHAR, start INTEGER, "end" INTEGER, score DOUBLE, raw_txt VARCHAR, fake_value VARCHAR)'
 
@@ -64,30 +68,40 @@ def with_fake(rel: str, n: str | None = None) -> str:
 
 
 # ---------------------------------------------------------------- pieces
-LEGACY = " UNION ALL ".join(
-    f"(SELECT id, entity_type, start, \"end\", score, raw_txt, {k} AS k FROM ({detect_duck(DOCS, [r], threshold=None, context=False, dedupe=False)}))"
-    for k, r in enumerate(C.LEGACY_RULES, start=1)
-)
+def legacy_sql(src: str) -> str:
+    return " UNION ALL ".join(
+        f"(SELECT id AS doc_id, entity_type, start, \"end\", score, raw_txt FROM "
+        f"({detect_duck(src, [r], threshold=None, context=False, dedupe=False)}))" for r in C.LEGACY_RULES)
+
+
+NAMES_SQL = ("SELECT 'LOCATION' AS entity_type, n_name AS phrase FROM nation UNION SELECT 'LOCATION', r_name FROM region "
+             "UNION SELECT 'PERSON', c_name FROM customer")
+ALL_NAMES_SQL = " UNION ".join([NAMES_SQL, *LONG_NAMES_SQL])
 
 
-def gazetteer_sql() -> str:
+def gazetteer_sql(src: str = ORDS, names: str = NAMES_SQL, longest: int = 3) -> str:
     rx = q(TOKEN_RE)
-    toks = (f"SELECT id, text, regexp_extract_all(text, {rx}) AS ms, regexp_split_to_array(text, {rx}) AS gs FROM {ORDS}")
+    toks = (f"SELECT id, text, regexp_extract_all(text, {rx}) AS ms, regexp_split_to_array(text, {rx}) AS gs FROM {src}")
     pos = ("SELECT id, text, i, CAST(length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS INTEGER) AS s, "
            "CAST(length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i], '')) AS INTEGER) AS e "
            f"FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({toks}))")
-    names = ("SELECT 'LOCATION' AS entity_type, n_name AS phrase FROM nation UNION SELECT 'LOCATION', r_name FROM region "
-             "UNION SELECT 'PERSON', c_name FROM customer")
     grams = ("SELECT a.id, a.s AS start, b.e AS \"end\", substring(a.text, a.s + 1, b.e - a.s) AS raw_txt "
-             f"FROM ({pos}) a JOIN ({pos}) b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + 2")
+             f"FROM ({pos}) a JOIN ({pos}) b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + {longest - 1}")
     return (f"SELECT g.id AS doc_id, n.entity_type, g.start, g.\"end\", CAST({GAZETTEER_SCORE} AS DOUBLE) AS score, g.raw_txt "
             f"FROM ({grams}) g JOIN ({names}) n ON g.raw_txt = n.phrase")
 
 
+def named_spans(source: str) -> str:
+    """(id, ...) spans of L00 with the names of the gazetteer."""
+    extra = f"SELECT doc_id AS id, * EXCLUDE (doc_id) FROM ({gazetteer_sql(SRC[source], ALL_NAMES_SQL, 4)})"
+    return detect_duck(SRC[source], C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True, extra=extra)
+
+
 def fakes_sql(kind: str) -> str:
     parts = " UNION ALL ".join(
         f"(SELECT '{name}' AS corpus, id AS doc_id, start, entity_type, raw_txt FROM ({resolved(name)}))"
-        for name in ("documents", "customer", "orders"))
+        for name in ("documents", "customer", "orders", "forms"))
+    parts += f" UNION ALL (SELECT 'names' AS corpus, id AS doc_id, start, entity_type, raw_txt FROM ({named_spans('forms')}))"
     return (f"SELECT corpus, doc_id, start, entity_type, raw_txt, "
             f"{fake_value_sql(DUCK, 'entity_type', 'raw_txt', kind=kind)} AS fake_value FROM ({parts})")
 
@@ -163,7 +177,7 @@ def classify_expr(variant: str) -> str:
 
 
 def manifest_sql() -> str:
-    files = f"SELECT arrival AS id, path, text FROM ({file_listing_sql()})"
+    files = f"SELECT arrival AS id, path, CASE WHEN arrival % 23 = 5 THEN NULL ELSE text END AS text FROM ({file_listing_sql()})"
     deid = splice(f"({files})", with_fake(detect_duck(f"({files})", C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True)))
     failed = "d.text_deid IS NULL"
     return (f"SELECT f.path AS src, CASE WHEN {failed} THEN {NAME.replace('path', 'f.path')} ELSE {output_name_expr().replace('path', 'f.path')} END AS file_name, "
@@ -211,17 +225,30 @@ def oracle_sql() -> dict[str, str]:
     d["detect_ip"] = spans_sql("documents", ["D32", "D32b"], threshold=None)
     d["detect_url"] = spans_sql("urls", ["D33"], threshold=None)
     d["detect_phone"] = spans_sql("documents", ["D34"], threshold=None)
-    d["detect_date_time"] = spans_sql("orders", ["D35a", "D35b", "D35c", "D35d", "D35e", "D35f", "D35g", "D35h"],
-                                      threshold=None)
+    d["detect_date_time"] = spans_sql("orders", DATE_RULE_IDS, threshold=None)
     d["detect_us_ids"] = spans_sql("documents", ["D38", "D39", "D40", "D41", "D42"], threshold=None)
     d["detect_intl_ids"] = spans_sql("documents", ["D36", "D37", "D43", "D44", "D45", "D46"], threshold=None)
     d["detect_all_customer"] = spans_sql("customer", threshold=None)
-    d["detect_legacy"] = f'SELECT id AS doc_id, entity_type, start, "end", score, raw_txt FROM ({LEGACY})'
+    d["detect_forms"] = spans_sql("forms", ALL_RULE_IDS, threshold=None)
+    d["detect_forms_resolved"] = spans_sql("forms", threshold=C.HANDLER_THRESHOLD, resolve=True)
+    d["detect_url_documents"] = spans_sql("documents", ["D33"], threshold=None)
+    d["detect_legacy"] = legacy_sql(DOCS)
+    d["detect_legacy_forms"] = legacy_sql(FRMS)
     d["gazetteer_location"] = gazetteer_sql()
-    legacy_orders = " UNION ALL ".join(
-        f"(SELECT id AS doc_id, entity_type, start, \"end\", score, raw_txt FROM "
-        f"({detect_duck(ORDS, [r], threshold=None, context=False, dedupe=False)}))" for r in C.LEGACY_RULES)
-    d["detect_legacy_names"] = f"({gazetteer_sql()}) UNION ALL {legacy_orders}"
+    d["gazetteer_forms"] = gazetteer_sql(FRMS, ALL_NAMES_SQL, 4)
+    for source in ("orders", "forms"):
+        d[f"detect_{source}_names"] = SPANS_OUT.format(named_spans(source))
+        d[f"deidentify_{source}_names"] = splice(SRC[source], with_fake(named_spans(source)), "doc_id")
+    d["detect_legacy_names"] = f"({gazetteer_sql()}) UNION ALL {legacy_sql(ORDS)}"
+    mail = replace(C.rules_by_id("D24")[0], entity="EMAIL_ADDRESS")
+    d["model_detect_python"] = SPANS_OUT.format(detect_duck(DOCS, [mail], threshold=None, context=False, dedupe=False))
+    reply = "CASE WHEN reverse(raw_txt) = raw_txt THEN 'kept' ELSE 'model' END"
+    d["model_generate_offline"] = (f"SELECT {map_key('entity_type', 'raw_txt')} AS map_key, entity_type, raw_txt, "
+                                   f"reverse(raw_txt) AS fake_value, {reply} AS route FROM ({model_pairs_sql()})")
+    modelled = (f"SELECT *, CASE WHEN {route_duck('entity_type')} = 'model' AND reverse(raw_txt) <> raw_txt "
+                f"THEN reverse(raw_txt) ELSE {routed_duck('entity_type', 'raw_txt')} END AS fake_value FROM ({named_spans('forms')})")
+    d["deidentify_model_route"] = splice(FRMS, modelled, "doc_id")
+    d["deidentify_forms"] = splice(FRMS, with_fake(resolved("forms")), "doc_id")
     # validation
     ubn = "regexp_extract(text, 'UBN ([0-9]{8})', 1)"
     from shroud.sqloracle import ubn_valid_duck as _uv
@@ -251,9 +278,9 @@ def oracle_sql() -> dict[str, str]:
     d["select_all_common"] = spans_sql("documents", threshold=C.HANDLER_THRESHOLD, resolve=True,
                                        entity_types=option_types(list(COMMON_OPTIONS)))
     d["resolve_overlaps"] = spans_sql("customer", threshold=C.HANDLER_THRESHOLD, resolve=True)
-    allc = detect_duck(CUST, C.default_rules(), threshold=None)
+    allc = detect_duck(FRMS, C.default_rules(), threshold=None)
     d["best_per_raw_text"] = (f"SELECT id AS doc_id, entity_type, start, \"end\", score, raw_txt FROM (SELECT *, row_number() OVER "
-                              f"(PARTITION BY id, raw_txt ORDER BY score DESC, start) AS rn FROM ({allc})) WHERE rn = 1")
+                              f"(PARTITION BY id, raw_txt ORDER BY score DESC, start, \"end\" DESC, entity_type) AS rn FROM ({allc})) WHERE rn = 1")
     d["span_order"] = (f"SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY start DESC, \"end\" - start DESC, "
                        f"entity_type) - 1 AS INTEGER) AS ordinal, start, \"end\" FROM ({resolved('documents')})")
     # generators
@@ -261,18 +288,18 @@ def oracle_sql() -> dict[str, str]:
     d["fake_tagmap"] = fakes_sql("tagmap")
     dt = C.rules_for_entities(["DATE_TIME", "DURATION_TIME"])
     d["fake_legacy_date"] = (f"SELECT id AS doc_id, start, raw_txt, {fake_value_sql(DUCK, 'entity_type', 'raw_txt', kind='legacy_date')} "
-                             f"AS fake_value FROM ({detect_duck(ORDS, dt, threshold=C.HANDLER_THRESHOLD, resolve=True)})")
+                             f"AS fake_value FROM ({detect_duck(DATED, dt, threshold=C.HANDLER_THRESHOLD, resolve=True)})")
     cands = ("SELECT DISTINCT candidate FROM (SELECT n_name AS candidate FROM nation UNION ALL SELECT r_name FROM region "
              "UNION ALL SELECT c_name FROM customer UNION ALL SELECT c_mktsegment FROM customer)")
     d["person_name_check"] = (f"SELECT candidate, {is_likely_person_name_sql(DUCK, 'candidate')} AS likely, "
                               f"{is_likely_person_name_sql(DUCK, 'candidate', strict=True)} AS likely_strict FROM ({cands})")
     d["relative_time_check"] = (f"SELECT id AS doc_id, start, raw_txt, {is_relative_time_sql(DUCK, 'raw_txt')} AS is_relative "
-                                f"FROM ({detect_duck(ORDS, dt, threshold=None)})")
+                                f"FROM ({detect_duck(DATED, dt, threshold=None)})")
     # replacement
     d["apply_spans"] = splice(DOCS, with_fake(resolved("documents"), n="concat(CAST(id AS VARCHAR), ':', start)"), "doc_id")
     d["mask"] = splice(DOCS, f"SELECT *, repeat('★', \"end\" - start) AS fake_value FROM ({resolved('documents')})", "doc_id")
-    d["keep_dry_run"] = (f"SELECT s.id AS doc_id, coalesce(c.n, 0) AS n_spans, s.text = s.text AS unchanged FROM {DOCS} s "
-                         f"LEFT JOIN (SELECT id, count(*) AS n FROM ({resolved('documents')}) GROUP BY id) c ON c.id = s.id")
+    d["keep_dry_run"] = (f"SELECT s.id AS doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(c.n, 0) END AS n_spans, true AS unchanged "
+                         f"FROM {FRMS} s LEFT JOIN (SELECT id, count(*) AS n FROM ({resolved('forms')}) GROUP BY id) c ON c.id = s.id")
     d["replace_per_type"] = replace_per_type_sql()
     d["replace_length_preserving"] = length_preserving_sql()
     # mapping
@@ -301,9 +328,10 @@ def oracle_sql() -> dict[str, str]:
         f"{splice(conv, with_fake(detect_duck(conv, C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True)), 'id')}"
         f") x ON x.id = c.conv_id * 100000 + c.turn")
     d["deidentify_segments"] = per_segment_sql(layout=False)
+    d["deidentify_segments_mapping"] = per_segment_sql(layout=False, stored=True)
     d["deidentify_layout"] = per_segment_sql(layout=True)
     d["deidentify_with_mapping"] = with_mapping_sql()
-    d["document_status"] = "SELECT doc_id, CASE WHEN text IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN text IS NULL THEN 'no text' END AS error FROM documents"
+    d["document_status"] = "SELECT doc_id, CASE WHEN text IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN text IS NULL THEN 'no text' END AS error FROM forms_corpus"
     # text
     d["segments"] = ("SELECT doc_id, CAST(seg_no - 1 AS INTEGER) AS seg_no, CAST(length(seg) AS INTEGER) AS seg_len, "
                      "regexp_replace(seg, '^\\s+|\\s+$', '', 'g') = '' AS is_blank FROM (SELECT doc_id, "
@@ -326,8 +354,8 @@ def oracle_sql() -> dict[str, str]:
     named = f"SELECT arrival, path, {NAME} AS name FROM ({fl})"
     ok = (f"SELECT * FROM ({named}) WHERE NOT starts_with(name, '~$') AND "
           f"lower(string_split(name, '.')[-1]) IN ({acc})")
-    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY arrival) AS rn FROM ({ok})) WHERE rn = 1"
-    d["select_input_files"] = f"SELECT arrival, path, name FROM ({first}) ORDER BY arrival LIMIT {MAX_FILES}"
+    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY arrival, path) AS rn FROM ({ok})) WHERE rn = 1"
+    d["select_input_files"] = f"SELECT arrival, path, name FROM ({first}) ORDER BY arrival, path LIMIT {MAX_FILES}"
     d["output_name"] = f"SELECT arrival, path, {output_name_expr()} AS output_name FROM ({fl})"
     d["manifest"] = manifest_sql()
     d["export_list"] = (f"SELECT DISTINCT regexp_extract(output_path, '([^/\\\\]*)$', 1) AS file, output_path AS src "
@@ -339,7 +367,12 @@ def oracle_sql() -> dict[str, str]:
     d["entities_per_document"] = (f"SELECT s.id AS doc_id, coalesce(c.n, 0) AS n_entities FROM {DOCS} s LEFT JOIN "
                                   f"(SELECT id, count(*) AS n FROM ({resolved('documents')}) GROUP BY id) c ON c.id = s.id")
     d["overlap_report"] = overlap_sql()
-    return d
+    return {name: with_forms(sql) for name, sql in d.items()}
+
+
+def with_forms(sql: str) -> str:
+    """The forms corpus as one common table: written out per rule it would be planned fifty times."""
+    return f"WITH forms_corpus AS MATERIALIZED ({FORMS_CORPUS_SQL}) {sql}" if "forms_corpus" in sql else sql
 
 
 def replace_per_type_sql() -> str:
@@ -381,7 +414,7 @@ def length_preserving_sql() -> str:
             f"JOIN ({CUSTOMER_CORPUS_SQL}) c ON c.doc_id = x.doc_id")
 
 
-def per_segment_sql(layout: bool) -> str:
+def per_segment_sql(layout: bool, stored: bool = False) -> str:
     """Detection and replacement per newline-separated segment,
     reassembled in order (segment id = doc_id * 100000 + seg_no)."""
     from shroud.functions.fakes import hash_sql, tagmap_fake_sql
@@ -401,6 +434,12 @@ def per_segment_sql(layout: bool) -> str:
                  f"JOIN ({best}) b ON b.id = s.id AND b.raw_txt = s.raw_txt")
     else:
         spans = with_fake(rel)
+    if stored:  # the whole-document spans of the same table made the mapping
+        key = map_key("f.entity_type", "f.raw_txt")
+        known = f"SELECT DISTINCT {map_key('entity_type', 'raw_txt')} AS k FROM ({span_table('documents')})"
+        spans = (f"SELECT f.id, f.entity_type, f.start, f.\"end\", f.score, f.raw_txt, CASE WHEN m.k IS NOT NULL THEN "
+                 f"'<' || substring(m.k, 1, 6) || '>' ELSE f.fake_value END AS fake_value FROM ({spans}) f "
+                 f"LEFT JOIN ({known}) m ON m.k = {key}")
     done = splice(src, spans, "id")
     joined = f"SELECT g.doc_id, g.seg_no, x.text_deid FROM ({segs}) g JOIN ({done}) x ON x.id = g.id"
     agg = f"SELECT doc_id, string_agg(text_deid, chr(10) ORDER BY seg_no) AS text_deid FROM ({joined}) GROUP BY doc_id"

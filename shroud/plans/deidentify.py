@@ -3,131 +3,196 @@
 Default path (no stored mapping): detection, resolution, value generation
 and splicing are one projection over the document table -- a map-only job
 whose cost grows linearly with the input and has no shuffle.  With a stored
-mapping, the span keys are exploded (key + position only, never the text),
-joined with the mapping, folded back per document and joined to the
-document rows on the document key: one shuffle of the documents.
+mapping, the detected table is written once to the shared folder; the distinct
+span keys of its documents (never the text) are joined with the mapping, and
+only documents that have spans meet them again on the document key.
+
+``extra_spans`` names an ``array<span>`` column of names (D48, D49).
+``salt`` must be given: without a secret, anyone can recompute which value
+stands for a known datum.  Tests pass an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD
 from shroud.functions.fakes import SPARK, map_key_sql
 from shroud.functions.spans import digit_flag_sql, explode_nonempty
-from shroud.operators.detect import DIGIT_COL, any_match_sql, detect_spans_sql, with_digit_flag
-from shroud.operators.mapping import broadcast_if_small, live_mapping
+from shroud.operators.detect import DIGIT_COL, any_match_sql, detect, raw_spans_sql, span_steps, with_digit_flag
+from shroud.operators.mapping import (
+    MODEL_TIME_LIMIT,
+    MappingStore,
+    build_model_batches,
+    live_mapping,
+    model_generate,
+    model_values,
+    new_pairs,
+)
 from shroud.operators.replace import (
     REPL_DDL,
     apply_spans_sql,
     length_preserving_sql,
     route_sql,
+    span_fields,
     with_fakes_sql,
 )
 from shroud.session import checkpoint_dir
 
 
 def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshold: float = DEFAULT_THRESHOLD,
-                     entity_types=None, out: str = "spans") -> DataFrame:
-    """D* -> C01 -> C02 -> O01 (all languages)."""
-    d = with_digit_flag(df, text_col)
-    return d.withColumn(out, F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
-                                                     entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
-                        ).drop(DIGIT_COL)
+                     entity_types=None, out: str = "spans", extra_spans: str | None = None) -> DataFrame:
+    """D* (and names) -> C01 -> C02 -> O01 (all languages)."""
+    return detect(df, text_col, rules, out=out, threshold=threshold, resolve=True, entity_types=entity_types,
+                  extra_spans=extra_spans)
 
 
 def deidentify(df: DataFrame, text_col: str = "text", id_col="doc_id", rules=None,
-               threshold: float = HANDLER_THRESHOLD, entity_types=None, salt: str = "",
-               mapping: DataFrame | None = None, max_broadcast_rows: int | None = None,
-               out: str = "text_deid", materialize: str | None = None) -> DataFrame:
+               threshold: float = HANDLER_THRESHOLD, entity_types=None, *, salt: str,
+               mapping: DataFrame | None = None, out: str = "text_deid", extra_spans: str | None = None) -> DataFrame:
     """Whole-text de-identification.  Adds ``spans`` (with fake_value
     and route) and ``text_deid``; C03 ``entity_types`` limits what is
     replaced.  ``id_col`` (name or list of names) must identify a row; it
-    is only used to fold stored-mapping values back.
-
-    With a stored mapping the detected table feeds two branches (span keys
-    and the join back), so detection runs twice unless ``materialize`` is
-    ``"checkpoint"`` (written once to the shared ``spark.checkpoint.dir``, a
-    reliable lineage cut) or ``"persist"`` (block manager, memory + disk)."""
-    d = with_digit_flag(df, text_col)
-    d = d.withColumn("spans", F.expr(detect_spans_sql(f"`{text_col}`", rules, threshold=threshold, resolve=True,
-                                                      entity_types=entity_types, digit_flag=f"`{DIGIT_COL}`"))
-                     ).drop(DIGIT_COL)
+    is only used to fold stored-mapping values back."""
+    d = detect_documents(df, text_col, rules, threshold, entity_types, extra_spans=extra_spans)
     d = d.withColumn("spans", F.expr(with_fakes_sql("spans", salt=salt)).cast(REPL_DDL))
     if mapping is not None:
-        if materialize == "checkpoint":
-            checkpoint_dir(d.sparkSession)
-            d = d.checkpoint(eager=True)
-        elif materialize == "persist":
-            d = d.persist(StorageLevel.MEMORY_AND_DISK)
-        d = _apply_mapping(d, mapping, id_col, max_broadcast_rows)
+        d = _apply_mapping(d, mapping, id_col)
     return d.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", "spans")))
 
 
-def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col, max_broadcast_rows: int | None) -> DataFrame:
-    """``id_col``: column name or list of names that identify a row."""
+def _written(d: DataFrame) -> DataFrame:
+    """``d`` written once to the shared folder, so that both branches read it."""
+    path = f"{checkpoint_dir(d.sparkSession)}/shroud-detected-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    return d.sparkSession.read.schema(d.schema).parquet(path)
+
+
+def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col, spans: str = "spans") -> DataFrame:
+    """Values of the stored mapping replace generated ones (``id_col``: the columns that identify a row).
+
+    The key of a span is joined once per document and key, and rows without a
+    span go past the join."""
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    keys = explode_nonempty(d, ids, "spans", alias="s", pos="pos").select(
-        *ids, "pos", F.expr(map_key_sql(SPARK, "s.entity_type", "s.raw_txt")).alias("map_key"))
-    m = broadcast_if_small(live_mapping(mapping).select("map_key", "fake_value"), max_broadcast_rows)
-    found = keys.join(m, "map_key").groupBy(*ids).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "fake_value"))).alias("_cached"))
-    d = d.join(found, ids, "left")
+    d = _written(d)
+    some = F.coalesce(F.size(spans), F.lit(0)) > 0
+    key = F.expr(f"transform(`{spans}`, kx -> {map_key_sql(SPARK, 'kx.entity_type', 'kx.raw_txt')})")
+    hit, rest = d.where(some), d.where(~some)
+    keys = explode_nonempty(hit.select(*ids, F.array_distinct(key).alias("_keys")), ids, "_keys", alias="map_key")
+    found = keys.join(live_mapping(mapping).select("map_key", "fake_value"), "map_key").groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.struct("map_key", "fake_value"))).alias("_cached"))
+    hit = hit.join(found, ids, "left")
     x = "mpx"
-    merged = (f"transform(spans, ({x}, mpi) -> named_struct('entity_type', {x}.entity_type, 'start', {x}.start, "
-              f"'end', {x}.`end`, 'score', {x}.score, 'raw_txt', {x}.raw_txt, "
-              f"'fake_value', coalesce(try_element_at(_cached, mpi), {x}.fake_value), "
-              f"'route', CASE WHEN try_element_at(_cached, mpi) IS NOT NULL THEN 'cached' ELSE {x}.route END))")
-    return d.withColumn("spans", F.expr(merged)).drop("_cached")
+    cached = f"try_element_at(_cached, {map_key_sql(SPARK, f'{x}.entity_type', f'{x}.raw_txt')})"
+    merged = (f"transform(`{spans}`, {x} -> named_struct({span_fields(x)}, "
+              f"'fake_value', coalesce({cached}, {x}.fake_value), "
+              f"'route', CASE WHEN {cached} IS NOT NULL THEN 'cached' ELSE {x}.route END))")
+    hit = hit.withColumn(spans, F.expr(merged)).drop("_cached").select(*d.columns)
+    return hit.unionByName(rest)
 
 
-def _with_lines(df: DataFrame, text_col: str, seg: str, rules) -> DataFrame:
+def _with_lines(df: DataFrame, text_col: str, rules) -> DataFrame:
     """``_lines``: segments as structs (t = text, d = has a digit), or NULL
     when no rule matches anywhere in the document (then no segment can
     match either, see ``any_match_sql``).  Digit tests run per segment only
     when the document has a digit at all."""
     d = with_digit_flag(df, text_col)
     gate = any_match_sql(f"`{text_col}`", rules, f"`{DIGIT_COL}`")
+    seg = "wlt"
     lines = (f"CASE WHEN `{text_col}` IS NULL OR NOT {gate} THEN NULL ELSE transform(split(`{text_col}`, '\\n', -1), "
              f"{seg} -> named_struct('t', {seg}, 'd', `{DIGIT_COL}` AND {digit_flag_sql(seg)})) END")
     return d.withColumn("_lines", F.expr(lines)).drop(DIGIT_COL)
 
 
+def _line_spans(d: DataFrame, rules, threshold: float, entity_types) -> DataFrame:
+    """``_lines`` as (t, sp): every line with its own resolved spans."""
+    z = "lsz"
+    raw = raw_spans_sql(f"{z}.t", rules, digit_flag=f"{z}.d")
+    d = d.withColumn("_lines", F.expr(f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {raw}))"))
+    for step in span_steps(threshold, resolve=True, entity_types=entity_types):
+        one = f"CASE WHEN size({z}.sp) = 0 THEN {z}.sp ELSE {step(f'{z}.sp')} END"
+        d = d.withColumn("_lines", F.expr(f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {one}))"))
+    return d
+
+
 def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
-                        entity_types=None, salt: str = "", out: str = "text_deid") -> DataFrame:
+                        entity_types=None, *, salt: str, out: str = "text_deid", mapping: DataFrame | None = None,
+                        id_col="doc_id") -> DataFrame:
     """Per newline-separated segment (no match crosses a segment),
     blank segments untouched, reassembled in order.  Runs inside the row
-    (``transform`` over the segments): no explode, no regroup, no shuffle."""
+    (``transform`` over the segments): no explode, no regroup, no shuffle.
+    With a stored mapping, one mapping holds for all segments (see L01)."""
+    d = _line_spans(_with_lines(df, text_col, rules), rules, threshold, entity_types)
     z = "sgz"
-    spans = detect_spans_sql(f"{z}.t", rules, threshold=threshold, resolve=True, entity_types=entity_types,
-                             digit_flag=f"{z}.d")
-    body = apply_spans_sql(f"{z}.t", with_fakes_sql(spans, salt=salt, v="sg"), v="sa")
     blank = f"regexp_replace({z}.t, '(?U)^\\\\s+|\\\\s+$', '') = ''"
-    expr = (f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {z} -> "
-            f"CASE WHEN {blank} THEN {z}.t ELSE {body} END), '\\n') END")
-    return _with_lines(df, text_col, "sgt", rules).withColumn(out, F.expr(expr)).drop("_lines")
+    fakes = with_fakes_sql(f"{z}.sp", salt=salt, v="sg")
+    lines = (f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', CASE WHEN size({z}.sp) = 0 OR {blank} THEN "
+             f"CAST(array() AS {REPL_DDL}) ELSE CAST({fakes} AS {REPL_DDL}) END))")
+    d = d.withColumn("_lines", F.expr(lines))
+    if mapping is not None:
+        d = _map_lines(d, mapping, id_col)
+    w = "sgw"
+    body = apply_spans_sql(f"{w}.t", f"{w}.sp", v="sa")
+    joined = f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {w} -> {body}), '\\n') END"
+    return d.withColumn(out, F.expr(joined)).drop("_lines")
+
+
+def _map_lines(d: DataFrame, mapping: DataFrame, id_col) -> DataFrame:
+    """Stored values for the spans of every line: the lines' spans are numbered, mapped as one list, and dealt back."""
+    flat = (f"flatten(transform(_lines, (ml, mi) -> transform(ml.sp, ms -> named_struct({span_fields('ms')}, "
+            f"'fake_value', ms.fake_value, 'route', ms.route, 'line', mi))))")
+    columns = d.columns
+    d = d.withColumn("_all", F.expr(f"coalesce({flat}, array())"))
+    d = d.withColumn("_mapped", F.expr(f"CAST(transform(_all, ms -> named_struct({span_fields('ms')}, "
+                                       f"'fake_value', ms.fake_value, 'route', ms.route)) AS {REPL_DDL})"))
+    d = _apply_mapping(d, mapping, id_col, "_mapped")
+    back = ("transform(_lines, (ml, mi) -> named_struct('t', ml.t, 'sp', transform(filter(zip_with(_all, _mapped, "
+            "(za, zm) -> named_struct('line', za.line, 'm', zm)), zx -> zx.line = mi), zx -> zx.m)))")
+    return d.withColumn("_lines", F.expr(back)).select(*columns)
 
 
 def deidentify_layout(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
-                      salt: str = "", out: str = "text_deid") -> DataFrame:
+                      *, salt: str, out: str = "text_deid") -> DataFrame:
     """Per line, tag-map generators, length preserving (A04): every
     output line has the length of its input line.  Lines and their spans
     are materialised first, so each later step reads a struct field."""
-    z = "lyz"
-    spans = detect_spans_sql(f"{z}.t", rules, threshold=threshold, resolve=True, digit_flag=f"{z}.d")
-    lines = f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {spans}))"
+    d = _line_spans(_with_lines(df, text_col, rules), rules, threshold, None)
     w = "lyw"
     body = apply_spans_sql(f"{w}.t", length_preserving_sql(f"{w}.sp", salt, v="ly"), v="la")
     joined = f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {w} -> {body}), '\\n') END"
-    return (_with_lines(df, text_col, "lyt", rules).withColumn("_lines", F.expr(lines))
-            .withColumn(out, F.expr(joined)).drop("_lines"))
+    return d.withColumn(out, F.expr(joined)).drop("_lines")
 
 
-def deidentify_html(pages: DataFrame, **kw) -> DataFrame:
+def deidentify_html(pages: DataFrame, *, salt: str, **kw) -> DataFrame:
     """Pages are treated as plain text (the html column)."""
-    return deidentify(pages.withColumnRenamed("html", "text"), id_col="page_id", **kw)
+    return deidentify(pages, text_col="html", id_col="page_id", salt=salt, **kw)
+
+
+def model_values_for(df: DataFrame, make_client: Callable, *, salt: str, mapping: DataFrame | None = None,
+                     text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
+                     extra_spans: str | None = None, time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
+    """The model's values (map_key, entity_type, raw_txt, fake_value, route) for the spans of ``df`` that take the
+    model route and are not in ``mapping``: L00 -> A10 -> A12 -> A11.  Write them once, e.g. with
+    ``MappingStore.upsert(None, generated=...)``, and de-identify with the store."""
+    found = detect_documents(df, text_col, rules, threshold, extra_spans=extra_spans)
+    spans = explode_nonempty(found, [], "spans", alias="s").select("s.entity_type", "s.raw_txt")
+    pairs = new_pairs(spans.where(F.expr(route_sql("entity_type")) == "model"), mapping)
+    return model_values(model_generate(build_model_batches(pairs), make_client, time_limit))
+
+
+def deidentify_with_model(df: DataFrame, store: MappingStore, make_client: Callable, *, salt: str, text_col: str = "text",
+                          id_col="doc_id", rules=None, threshold: float = HANDLER_THRESHOLD,
+                          extra_spans: str | None = None, time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
+    """The model route end to end: the model's values for new data are stored (each batch is asked once), then L01
+    runs with the store.  Items whose batch failed keep the generated default."""
+    values = model_values_for(df, make_client, salt=salt, mapping=store.live(), text_col=text_col, rules=rules,
+                              threshold=threshold, extra_spans=extra_spans, time_limit=time_limit)
+    store.upsert(None, salt, generated=values)
+    return deidentify(df, text_col, id_col, rules, threshold, salt=salt, mapping=store.snapshot(), extra_spans=extra_spans)
 
 
 def with_status(df: DataFrame, text_col: str = "text", out_col: str = "text_deid") -> DataFrame:
@@ -140,4 +205,4 @@ def with_status(df: DataFrame, text_col: str = "text", out_col: str = "text_deid
 
 
 __all__ = ["detect_documents", "deidentify", "deidentify_segments", "deidentify_layout", "deidentify_html",
-           "with_status", "route_sql"]
+           "model_values_for", "deidentify_with_model", "with_status", "route_sql"]

@@ -8,7 +8,9 @@ in full.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,21 +21,34 @@ from shroud.functions.fakes import SPARK, fake_value_sql, hash_sql, is_likely_pe
 from shroud.functions.spans import explode_nonempty, explode_spans
 from shroud.operators import mapping as M
 from shroud.operators import reports as R
-from shroud.operators.detect import detect, detect_legacy, detect_spans_sql
-from shroud.operators.gazetteer import gazetteer_spans, names_table
+from shroud.operators.detect import detect, detect_legacy
+from shroud.operators.gazetteer import gazetteer_detect, gazetteer_spans, names_table
 from shroud.operators.hooks import model_detect, python_regex_predictor
-from shroud.operators.replace import mask, replace_length_preserving, replace_per_span, replace_per_type
+from shroud.operators.replace import keep, mask, replace_length_preserving, replace_per_span, replace_per_type
 from shroud.operators.resolve import best_per_raw_text, order_spans_sql
-from shroud.operators.text import line_count, preview, reassemble_segments, segment_text
+from shroud.operators.text import LINE_COUNT_CAP, line_count, preview, reassemble_segments, segment_text
 from shroud.plans.deidentify import (
     deidentify,
+    deidentify_html,
     deidentify_layout,
     deidentify_segments,
+    deidentify_with_model,
     detect_documents,
     with_status,
 )
+from shroud.session import checkpoint_dir
 from shroud.sources import files as S
-from shroud.sources.tables import customer_corpus, file_listing, orders_corpus, read_table_documents, spread, table
+from shroud.sources.tables import (
+    customer_corpus,
+    file_listing,
+    forms_corpus,
+    long_names,
+    orders_corpus,
+    read_table_documents,
+    scan_width,
+    spread,
+    table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,21 +73,28 @@ KNOWN_TYPES = tuple(sorted({r.entity for r in C.default_rules(True)} | {"PERSON"
 
 
 def option_types(options) -> tuple[str, ...] | None:
-    """Selected option keys -> entity types; empty / None -> all."""
+    """Selected option keys -> entity types; empty / None -> all.
+
+    Aliases stand for their detector type (D47).  Unknown keys are dropped, but a
+    list of nothing else is an error: it would replace nothing."""
     if not options:
         return None
+    alias = {v: k for k, v in C.ENTITY_ALIASES.items()}
     out = []
     for k in options:
+        k = alias.get(k, k)
         if k in OPTION_TYPES:
             out.extend(OPTION_TYPES[k])
         elif k in KNOWN_TYPES:
             out.append(k)
+    if not out:
+        raise ValueError(f"no known option among {sorted(options)}")
     return tuple(dict.fromkeys(out))
 
 
 # ---------------------------------------------------------------- sources
 def docs(spark, sf):
-    return read_table_documents(spark, sf, "documents")
+    return read_table_documents(spark, sf, "documents", partitions=scan_width(spark))
 
 
 def cust(spark, sf):
@@ -84,14 +106,20 @@ def orders(spark, sf):
 
 
 def urls(spark, sf):
-    return spread(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")))
+    return spread(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")), scan_width(spark))
 
 
 def pages(spark, sf):
-    return spread(table(spark, sf, "pages").select("page_id", "html"))
+    return spread(table(spark, sf, "pages").select("page_id", "html"), scan_width(spark))
+
 
+def forms(spark, sf):
+    return forms_corpus(spark, sf)
 
-SOURCES = {"documents": docs, "customer": cust, "orders": orders, "urls": urls}
+
+SOURCES = {"documents": docs, "customer": cust, "orders": orders, "urls": urls, "forms": forms}
+ALL_RULE_IDS = tuple(r.rule_id for r in C.default_rules(include_disabled=True))
+DATE_RULE_IDS = tuple(r for r in ALL_RULE_IDS if r.startswith("D35"))
 
 
 # ---------------------------------------------------------------- detection
@@ -109,10 +137,55 @@ def q_detect_legacy(spark, sf):
     return explode_spans(detect_legacy(docs(spark, sf)), "doc_id")
 
 
+def q_detect_legacy_forms(spark, sf):
+    return explode_spans(detect_legacy(forms(spark, sf)), "doc_id")
+
+
+def all_names(spark, sf) -> DataFrame:
+    return names_table(spark, sf).unionByName(long_names(spark, sf))
+
+
+def named(source: str, spark, sf) -> DataFrame:
+    """A corpus with the gazetteer's hits as the column ``name_spans``."""
+    return gazetteer_detect(SOURCES[source](spark, sf), all_names(spark, sf), out="name_spans")
+
+
+def q_gazetteer_forms(spark, sf):
+    return gazetteer_spans(forms(spark, sf), all_names(spark, sf))
+
+
+def q_detect_names(source: str) -> Query:
+    """L00 with names: gazetteer spans compete with the rules' by priority."""
+    def run(spark, sf):
+        d = detect_documents(named(source, spark, sf), threshold=C.HANDLER_THRESHOLD, extra_spans="name_spans")
+        return explode_spans(d, "doc_id")
+    return run
+
+
+def q_deidentify_names(source: str) -> Query:
+    def run(spark, sf):
+        return deidentify(named(source, spark, sf), salt="", extra_spans="name_spans").select("doc_id", "text_deid")
+    return run
+
+
+def reversing_client():
+    """A stand-in for a chat model: every item's raw text, reversed."""
+    def chat(system, prompt):
+        lines = prompt.split("\n")[1:]
+        return "\n".join(ln.split("; raw=", 1)[1][::-1] for ln in lines)
+    return chat
+
+
+def q_deidentify_model_route(spark, sf):
+    """The model route end to end: names -> L00 -> A10 -> A12 -> A11 -> A08 -> A01."""
+    store = M.MappingStore(spark, f"{checkpoint_dir(spark)}/shroud-mapping-{uuid.uuid4().hex}")
+    out = deidentify_with_model(named("forms", spark, sf), store, reversing_client, salt="", extra_spans="name_spans")
+    return out.select("doc_id", "text_deid")
+
+
 def q_detect_legacy_names(spark, sf):
     """D26 with named entities: gazetteer hits (D48) + legacy regexes over
     the orders corpus, ordered by start, duplicates kept."""
-    from shroud.operators.gazetteer import gazetteer_detect
     d = gazetteer_detect(orders(spark, sf), names_table(spark, sf), out="name_spans")
     return explode_spans(detect_legacy(d, names_col="name_spans"), "doc_id")
 
@@ -160,7 +233,7 @@ def q_context_boost(spark, sf):
 
 
 def q_best_per_raw(spark, sf):
-    d = detect(cust(spark, sf), threshold=None)
+    d = detect(forms(spark, sf), threshold=None)
     return best_per_raw_text(explode_spans(d, "doc_id"))
 
 
@@ -174,10 +247,12 @@ def q_span_order(spark, sf):
 # ---------------------------------------------------------------- generators
 def all_spans(spark, sf) -> DataFrame:
     parts = []
-    for name in ("documents", "customer", "orders"):
+    for name in ("documents", "customer", "orders", "forms"):
         d = detect(SOURCES[name](spark, sf), threshold=C.HANDLER_THRESHOLD, resolve=True)
         parts.append(explode_spans(d, "doc_id").withColumn("corpus", F.lit(name)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = detect_documents(named("forms", spark, sf), threshold=C.HANDLER_THRESHOLD, extra_spans="name_spans")
+    parts.append(explode_spans(names, "doc_id").withColumn("corpus", F.lit("names")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def q_fakes(kind: str) -> Query:
@@ -189,8 +264,13 @@ def q_fakes(kind: str) -> Query:
     return run
 
 
+def dated(spark, sf) -> DataFrame:
+    """Orders and forms, each document under an id of its own."""
+    return orders(spark, sf).unionByName(forms(spark, sf).withColumn("doc_id", -F.col("doc_id")))
+
+
 def q_legacy_date(spark, sf):
-    s = explode_spans(detect(orders(spark, sf), rules=C.rules_for_entities(["DATE_TIME", "DURATION_TIME"]),
+    s = explode_spans(detect(dated(spark, sf), rules=C.rules_for_entities(["DATE_TIME", "DURATION_TIME"]),
                              threshold=C.HANDLER_THRESHOLD, resolve=True), "doc_id")
     return s.select("doc_id", "start", "raw_txt",
                     F.expr(fake_value_sql(SPARK, "entity_type", "raw_txt", kind="legacy_date")).alias("fake_value"))
@@ -206,7 +286,7 @@ def q_person_names(spark, sf):
 
 
 def q_relative_time(spark, sf):
-    s = explode_spans(detect(orders(spark, sf), rules=C.rules_for_entities(["DATE_TIME", "DURATION_TIME"]),
+    s = explode_spans(detect(dated(spark, sf), rules=C.rules_for_entities(["DATE_TIME", "DURATION_TIME"]),
                              threshold=None), "doc_id")
     return s.select("doc_id", "start", "raw_txt", F.expr(is_relative_time_sql(SPARK, "raw_txt")).alias("is_relative"))
 
@@ -225,7 +305,7 @@ def q_replace_per_type(spark, sf):
     # resolution (priority) order decides which span of a type is "last",
     # so the resolved spans are kept in that order (not sorted by start)
     from shroud.operators.resolve import resolve_overlaps_sql
-    d = d.withColumn("spans", F.expr(detect_spans_sql("text", threshold=C.HANDLER_THRESHOLD)))
+    d = detect(d, threshold=C.HANDLER_THRESHOLD)
     d = d.withColumn("spans", F.expr(resolve_overlaps_sql("spans", order_by_start=False)))
     return replace_per_type(d).select("doc_id", "text_deid")
 
@@ -240,8 +320,8 @@ def q_mask(spark, sf):
 
 
 def q_keep(spark, sf):
-    d = _resolved(docs(spark, sf))
-    return d.select("doc_id", F.size("spans").cast("long").alias("n_spans"), (F.col("text") == F.col("text")).alias("unchanged"))
+    d = keep(_resolved(forms(spark, sf)))
+    return d.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.col("text_deid").eqNullSafe(F.col("text")).alias("unchanged"))
 
 
 # ---------------------------------------------------------------- mapping
@@ -287,13 +367,7 @@ def q_parse_batches(spark, sf):
 
 
 def q_model_generate(spark, sf):
-    def make_client():
-        def chat(system, prompt):
-            lines = prompt.split("\n")[1:]
-            return "\n".join(ln.split("; raw=", 1)[1][::-1] for ln in lines)
-        return chat
-    b = M.model_generate(M.build_model_batches(model_pairs(spark, sf), buckets=16), make_client)
-    return M.model_values(b)
+    return M.model_values(M.model_generate(M.build_model_batches(model_pairs(spark, sf), buckets=16), reversing_client))
 
 
 # ---------------------------------------------------------------- plans
@@ -302,26 +376,25 @@ def q_detect_documents(spark, sf):
 
 
 def q_deidentify_documents(spark, sf):
-    return deidentify(docs(spark, sf)).select("doc_id", "text_deid")
+    return deidentify(docs(spark, sf), salt="").select("doc_id", "text_deid")
 
 
 def q_deidentify_segments(spark, sf):
-    return deidentify_segments(docs(spark, sf)).select("doc_id", "text_deid")
+    return deidentify_segments(docs(spark, sf), salt="").select("doc_id", "text_deid")
 
 
 def q_deidentify_layout(spark, sf):
-    d = deidentify_layout(docs(spark, sf))
+    d = deidentify_layout(docs(spark, sf), salt="")
     return d.select("doc_id", "text_deid", (F.length("text_deid") == F.length("text")).alias("same_length"))
 
 
 def q_deidentify_pages(spark, sf):
-    p = pages(spark, sf).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return deidentify(p).select(F.col("doc_id").alias("page_id"), "text_deid")
+    return deidentify_html(pages(spark, sf), salt="").select("page_id", "text_deid")
 
 
 def q_deidentify_conversations(spark, sf):
-    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
-    return deidentify(c, id_col=["conv_id", "turn"]).select("conv_id", "turn", "text_deid")
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), scan_width(spark))
+    return deidentify(c, id_col=["conv_id", "turn"], salt="").select("conv_id", "turn", "text_deid")
 
 
 def q_deidentify_with_mapping(spark, sf):
@@ -332,20 +405,31 @@ def q_deidentify_with_mapping(spark, sf):
     both = docs(spark, sf).withColumn("corpus", F.lit("documents")).unionByName(
         cust(spark, sf).withColumn("corpus", F.lit("customer")))
     both = both.withColumn("doc_id", F.concat_ws(":", "corpus", F.col("doc_id").cast("string")))
-    out = deidentify(both, mapping=prev)
+    out = deidentify(both, salt="", mapping=prev)
     return out.select("doc_id", "text_deid",
                       F.expr("CAST(size(filter(spans, s -> s.route = 'cached')) AS BIGINT)").alias("n_cached"))
 
 
+def q_deidentify_forms(spark, sf):
+    return deidentify(forms(spark, sf), salt="").select("doc_id", "text_deid")
+
+
+def q_deidentify_segments_mapping(spark, sf):
+    """L02 with a stored mapping whose values differ from the generated ones."""
+    prev = M.mapping_upsert(doc_span_table(spark, sf, "documents"), None, version=1)
+    prev = prev.withColumn("fake_value", F.concat(F.lit("<"), F.substring("map_key", 1, 6), F.lit(">")))
+    return deidentify_segments(docs(spark, sf), salt="", mapping=prev).select("doc_id", "text_deid")
+
+
 def q_deidentify_stream(spark, sf):
     """Documents arriving as files, de-identified by the stream; the
     result must equal the batch plan (its oracle is the batch SQL)."""
     from shroud.streaming.stream import stream_documents_once
-    return stream_documents_once(spark, docs(spark, sf))
+    return stream_documents_once(spark, docs(spark, sf), salt="")
 
 
 def q_status(spark, sf):
-    d = with_status(deidentify(docs(spark, sf)))
+    d = with_status(deidentify(forms(spark, sf), salt=""))
     return d.select("doc_id", "status", "error")
 
 
@@ -366,7 +450,7 @@ def q_preview(spark, sf):
 
 
 def q_line_count(spark, sf):
-    return line_count(docs(spark, sf)).select("doc_id", "line_count", "line_count_capped")
+    return line_count(docs(spark, sf), cap=LINE_COUNT_CAP).select("doc_id", "line_count", "line_count_capped")
 
 
 # ---------------------------------------------------------------- files
@@ -377,7 +461,7 @@ def q_classify(variant):
 
 
 def q_select_files(spark, sf):
-    return S.select_input_files(file_listing(spark, sf)).select("arrival", "path", "name")
+    return S.select_input_files(file_listing(spark, sf), max_files=S.MAX_FILES).select("arrival", "path", "name")
 
 
 def q_output_name(spark, sf):
@@ -385,8 +469,10 @@ def q_output_name(spark, sf):
 
 
 def _manifest(spark, sf):
+    """Every 23rd file has no text, as a file that could not be read."""
     files = file_listing(spark, sf).withColumnRenamed("arrival", "doc_id")
-    return S.result_manifest(deidentify(files, text_col="text"))
+    files = files.withColumn("text", F.expr("CASE WHEN doc_id % 23 = 5 THEN NULL ELSE text END"))
+    return S.result_manifest(deidentify(files, text_col="text", salt=""))
 
 
 def q_manifest(spark, sf):
@@ -403,7 +489,7 @@ def q_run_summary(spark, sf):
 
 # ---------------------------------------------------------------- reports
 def q_entities_by_type(spark, sf):
-    return R.entities_by_type(explode_spans(detect_documents(docs(spark, sf), threshold=C.HANDLER_THRESHOLD), "doc_id"))
+    return R.entities_by_type(detect_documents(docs(spark, sf), threshold=C.HANDLER_THRESHOLD))
 
 
 def q_entities_per_document(spark, sf):
@@ -415,9 +501,6 @@ def q_overlap_report(spark, sf):
     return R.overlap_report(d)
 
 
-_TW = ("D01", "D02", "D03", "D04", "D05", "D06")
-
-
 def queries() -> dict[str, Query]:
     return {
         # detection
@@ -435,12 +518,18 @@ def queries() -> dict[str, Query]:
         "detect_ip": span_query("documents", ["D32", "D32b"], threshold=None),
         "detect_url": span_query("urls", ["D33"], threshold=None),
         "detect_phone": span_query("documents", ["D34"], threshold=None),
-        "detect_date_time": span_query("orders", ["D35a", "D35b", "D35c", "D35d", "D35e", "D35f", "D35g", "D35h"],
-                                       threshold=None),
+        "detect_date_time": span_query("orders", DATE_RULE_IDS, threshold=None),
         "detect_us_ids": span_query("documents", ["D38", "D39", "D40", "D41", "D42"], threshold=None),
         "detect_intl_ids": span_query("documents", ["D36", "D37", "D43", "D44", "D45", "D46"], threshold=None),
         "detect_all_customer": span_query("customer", threshold=None),
+        "detect_forms": span_query("forms", ALL_RULE_IDS, threshold=None),
+        "detect_forms_resolved": span_query("forms", threshold=C.HANDLER_THRESHOLD, resolve=True),
+        "detect_url_documents": span_query("documents", ["D33"], threshold=None),
         "detect_legacy": q_detect_legacy,
+        "detect_legacy_forms": q_detect_legacy_forms,
+        "gazetteer_forms": q_gazetteer_forms,
+        "detect_orders_names": q_detect_names("orders"),
+        "detect_forms_names": q_detect_names("forms"),
         "gazetteer_location": q_gazetteer,
         "detect_legacy_names": q_detect_legacy_names,
         "model_detect_python": q_model_detect,
@@ -481,6 +570,11 @@ def queries() -> dict[str, Query]:
         "deidentify_layout": q_deidentify_layout,
         "deidentify_pages": q_deidentify_pages,
         "deidentify_conversations": q_deidentify_conversations,
+        "deidentify_forms": q_deidentify_forms,
+        "deidentify_orders_names": q_deidentify_names("orders"),
+        "deidentify_forms_names": q_deidentify_names("forms"),
+        "deidentify_model_route": q_deidentify_model_route,
+        "deidentify_segments_mapping": q_deidentify_segments_mapping,
         "deidentify_with_mapping": q_deidentify_with_mapping,
         "deidentify_stream": q_deidentify_stream,
         "document_status": q_status,

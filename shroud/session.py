@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    local = tempfile.mkdtemp(prefix="shroud-ckpt-", dir="/tmp")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    local = tempfile.mkdtemp(prefix="shroud-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

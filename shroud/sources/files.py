@@ -29,8 +29,8 @@ def read_text_documents(spark: SparkSession, path: str, lenient: bool = False) -
 
 
 def _decode_ignore(content: pd.Series) -> pd.Series:
-    """UTF-8 decoding that drops undecodable bytes (``errors='ignore'``);
-    Spark's ``decode`` raises on them under ANSI mode.  Arrow-batched."""
+    """UTF-8 decoding that drops undecodable bytes but keeps a U+FFFD that the
+    file holds, which Spark's ``make_valid_utf8`` cannot tell apart.  Arrow-batched."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
 
@@ -59,16 +59,22 @@ def classify_file_type(df: DataFrame, path_col: str = "path", out: str = "type",
 
 
 def select_input_files(df: DataFrame, path_col: str = "path", order_col: str = "arrival",
-                       max_files: int = MAX_FILES) -> DataFrame:
-    """Drop '~$' temp files and unaccepted extensions, keep the first
-    file per name, then the first ``max_files`` in arrival order (the cap is
-    the upload limit itself)."""
+                       max_files: int | None = None, by: str = "name") -> DataFrame:
+    """Drop '~$' temp files and unaccepted extensions, keep the first file
+    per name (``by="name"``, the upload page) or per path (``by="path"``, the
+    backend), in arrival order; ``max_files`` is the upload limit, where wanted.
+
+    Equal arrivals are decided by the path.  The first row of a name is a
+    grouped minimum, so a name that fills the listing is combined map-side."""
     name = file_name(F.col(path_col))
     ext = F.lower(F.element_at(F.split(name, r"\.", -1), -1))
     ok = df.withColumn("name", name).filter(~F.col("name").startswith("~$")).filter(ext.isin(*ACCEPTED_EXTENSIONS))
-    w = Window.partitionBy("name").orderBy(order_col)
-    first = ok.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return first.orderBy(order_col).limit(max_files)
+    row = F.struct(*[F.col(f"`{c}`") for c in ok.columns])
+    key = F.col("name") if by == "name" else F.col(path_col)
+    first = ok.groupBy(key.alias("_key")).agg(F.min_by(row, F.struct(order_col, path_col)).alias("_row")).select("_row.*")
+    if max_files is None:
+        return first
+    return first.orderBy(order_col, path_col).limit(max_files)
 
 
 def output_name(df: DataFrame, path_col: str = "path", out: str = "output_name") -> DataFrame:
@@ -80,10 +86,15 @@ def output_name(df: DataFrame, path_col: str = "path", out: str = "output_name")
     return df.withColumn(out, F.concat(stem, F.lit("_deid"), ext))
 
 
-def write_deidentified(df: DataFrame, path: str, fmt: str = "parquet", text_col: str = "text_deid") -> None:
-    """Write the cleaned documents (create target, overwrite)."""
+def write_deidentified(df: DataFrame, path: str, fmt: str = "parquet", text_col: str = "text_deid",
+                       path_col: str | None = None) -> None:
+    """Write the cleaned documents (create target, overwrite).
+
+    ``fmt="text"`` writes one folder per document, named as S05 says
+    (``path_col`` holds the source path), with the text as its only content."""
     if fmt == "text":
-        df.select(text_col).write.mode("overwrite").text(path)
+        named = output_name(df, path_col or "path", "_name")
+        (named.select("_name", text_col).write.mode("overwrite").option("lineSep", "").partitionBy("_name").text(path))
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 
@@ -108,3 +119,9 @@ def export_list(manifest: DataFrame) -> DataFrame:
     """S07 export part: ``{file: basename, src: path}`` de-duplicated by source."""
     ok = manifest.filter("status = 'ok'")
     return ok.select(file_name(F.col("output_path")).alias("file"), F.col("output_path").alias("src")).dropDuplicates(["src"])
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """S07 as JSON lines, with the ``fileUrl`` of each output."""
+    url = F.when(F.col("output_path").isNotNull(), F.concat(F.lit("file:///"), F.regexp_replace("output_path", "^/+", "")))
+    manifest.withColumn("fileUrl", url).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

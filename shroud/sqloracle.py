@@ -116,9 +116,12 @@ def priority_duck(col: str) -> str:
 
 
 def detect_duck(src: str, rules, *, threshold: float | None = 0.5, context: bool = True, dedupe: bool = True,
-                resolve: bool = False, entity_types=None) -> str:
-    """Span table (id, entity_type, start, "end", score, raw_txt)."""
+                resolve: bool = False, entity_types=None, extra: str | None = None) -> str:
+    """Span table (id, entity_type, start, "end", score, raw_txt); ``extra`` is
+    a relation of further spans (names)."""
     union = " UNION ALL ".join(f"({rule_spans_duck(src, r, context)})" for r in rules)
+    if extra is not None:
+        union += f" UNION ALL (SELECT id, entity_type, start, \"end\", score, raw_txt FROM ({extra}))"
     rel = f"SELECT * FROM ({union})"
     if dedupe:
         # a span is dropped when an earlier span (score desc, start asc,

@@ -1,11 +1,12 @@
 """Streaming de-identification.
 
 New document files arrive in a folder; each micro-batch runs the same
-stateless L01 expressions, and ``foreachBatch`` appends the output and the
-new mapping keys.  Writes are keyed by the batch id (mapping ``version`` =
-batch id + offset, output partition ``batch_id``), so a replayed batch after
-a failure rewrites the same rows instead of adding different ones.  The
-checkpoint lives under the shared ``spark.checkpoint.dir``.
+L01 plan inside ``foreachBatch``, with the stored mapping where there is one,
+and appends the output and the new mapping keys.  Writes are keyed by the batch
+id (output partition ``batch_id``; mapping ``version`` = epoch of the last reset
++ offset + batch id), so a replayed batch after a failure adds the same values
+again, of which the oldest counts.  The checkpoint lives under the shared
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.operators.mapping import MappingStore, mapping_upsert, reset_base
+from shroud.operators.mapping import MappingStore, mapping_upsert
 from shroud.plans.deidentify import deidentify
 from shroud.session import checkpoint_dir
 
 
 def deidentify_stream(spark: SparkSession, source_dir: str, output_dir: str, mapping_dir: str | None = None,
-                      schema: str = "doc_id long, text string", fmt: str = "parquet", salt: str = "",
+                      schema: str = "doc_id long, text string", fmt: str = "parquet", *, salt: str,
                       query_name: str = "shroud_deid", max_files_per_trigger: int = 64,
                       checkpoint: str | None = None, version_base: int = 1_000_000,
                       available_now: bool = False):
@@ -29,37 +30,36 @@ def deidentify_stream(spark: SparkSession, source_dir: str, output_dir: str, map
     processes what is in the folder (in bounded micro-batches) and stops."""
     stream = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
               .load(source_dir))
-    out = deidentify(stream, salt=salt)
     store = MappingStore(spark, mapping_dir) if mapping_dir else None
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        (batch.select("doc_id", "text_deid", F.lit(batch_id).alias("batch_id"))
+        current = store.live() if store is not None else None
+        out = deidentify(batch, salt=salt, mapping=current).persist()
+        (out.select("doc_id", "text_deid", F.lit(batch_id).alias("batch_id"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(output_dir))
         if store is not None:
-            spans = batch.select(F.explode("spans").alias("s")).select("s.entity_type", "s.raw_txt")
-            current = store.read()
-            rows = mapping_upsert(spans, current, version_base + batch_id, salt, base=reset_base(current))
-            store.append(rows)
-        batch.unpersist()
+            spans = out.select(F.explode("spans").alias("s")).select("s.entity_type", "s.raw_txt")
+            store.append(mapping_upsert(spans, store.read(), store.epoch() + version_base + batch_id, salt))
+        out.unpersist()
 
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), query_name)
-    writer = out.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).queryName(query_name)
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).queryName(query_name)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-def stream_documents_once(spark: SparkSession, docs: DataFrame, files: int = 8) -> DataFrame:
+def stream_documents_once(spark: SparkSession, docs: DataFrame, *, salt: str) -> DataFrame:
     """Write ``docs`` (doc_id, text) as files under the shared checkpoint
-    folder, run the stream over them once and return its output."""
+    folder (as many as the frame has partitions), run the stream over them once
+    and return its output."""
     import uuid
 
     base = os.path.join(checkpoint_dir(spark), f"shroud-stream-{uuid.uuid4().hex}")
-    docs.select("doc_id", "text").repartition(files).write.parquet(os.path.join(base, "in"))
+    docs.select("doc_id", "text").write.parquet(os.path.join(base, "in"))
     q = deidentify_stream(spark, os.path.join(base, "in"), os.path.join(base, "out"),
                           query_name=f"shroud_{uuid.uuid4().hex[:8]}", checkpoint=os.path.join(base, "ckpt"),
-                          max_files_per_trigger=max(1, files // 2), available_now=True)
+                          available_now=True, salt=salt)
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "out")).select("doc_id", "text_deid")
