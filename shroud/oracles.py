@@ -298,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
     # replacement
     d["apply_spans"] = splice(DOCS, with_fake(resolved("documents"), n="concat(CAST(id AS VARCHAR), ':', start)"), "doc_id")
     d["mask"] = splice(DOCS, f"SELECT *, repeat('★', \"end\" - start) AS fake_value FROM ({resolved('documents')})", "doc_id")
-    d["keep_dry_run"] = (f"SELECT s.id AS doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(c.n, 0) END AS n_spans, true AS unchanged "
+    d["keep_dry_run"] = (f"SELECT s.id AS doc_id, coalesce(c.n, 0) AS n_spans, true AS unchanged "
                          f"FROM {FRMS} s LEFT JOIN (SELECT id, count(*) AS n FROM ({resolved('forms')}) GROUP BY id) c ON c.id = s.id")
     d["replace_per_type"] = replace_per_type_sql()
     d["replace_length_preserving"] = length_preserving_sql()
