@@ -15,15 +15,20 @@
    compared in blocks that emit only counts per vector, never pairs; then the
    search is repeated for neighbours outside the component, until no link joins
    two components any more.
-5. Audit: ``audit`` vectors, drawn by a hash, against all vectors in blocks give
-   the recall of links; while it is below ``recall`` the search goes on with new
-   hyperplanes.  The recall is a column of the result.
-
-Cosines are computed in double precision.  Work grows with n * k * rounds.
+5. Audit: vectors drawn by a hash (``audit``, or 16 * sqrt(n) where that is more)
+   against all vectors in blocks give each one's share of its links that was found.
+   The shares are averaged a vector, so a large group counts by its vectors, not by
+   its links, and apart for vectors of at most ``k`` links and of more, so neither
+   hides the other.  While the lower average is below ``recall`` the search goes on
+   with new hyperplanes.  That average is a column of the result.
+
+Cosines are computed in double precision.  Work grows with n * k * rounds, that of
+the audit with n * sqrt(n).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,30 +222,40 @@ def count_links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def audit_truth(nodes: DataFrame, threshold: float, audit: int) -> DataFrame:
-    """(node, n): links of ``audit`` nodes counted against all vectors."""
+    """(node, n): links of ``audit`` nodes, or 16 * sqrt(n) if more, counted against all vectors."""
+    audit = max(audit, math.ceil(16 * math.sqrt(nodes.count())))
     sample = nodes.select("node", "vec").orderBy(F.xxhash64(F.lit(7), "node"), "node").limit(audit).toPandas()
-    asked = nodes.sparkSession.sparkContext.broadcast((sample["node"].tolist(), [list(v) for v in sample["vec"]]))
+    q = unit(pa.array(sample["vec"].tolist(), type=pa.list_(pa.float64()))) if len(sample) else np.zeros((0, 1))
+    asked = nodes.sparkSession.sparkContext.broadcast((sample["node"].to_numpy(dtype=np.int64), q))
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs = asked.value
-        q = unit(pa.array(vecs, type=pa.list_(pa.float64())))
+        ids, q = asked.value
         n = np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                near = (q @ unit(batch.column("vec")).T >= threshold) & (np.array(ids)[:, None] != batch.column("node").to_numpy()[None, :])
-                n += (near * batch.column("weight").to_numpy()[None, :]).sum(axis=1)
+                x, own, weight = unit(batch.column("vec")), batch.column("node").to_numpy(), batch.column("weight").to_numpy()
+                for a in range(0, len(ids), 256):
+                    near = (q[a : a + 256] @ x.T >= threshold) & (ids[a : a + 256, None] != own[None, :])
+                    n[a : a + 256] += near @ weight
         yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(n)], names=["node", "n"])
 
     return nodes.select("node", "vec", "weight").mapInArrow(against, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def audited_recall(truth: DataFrame, counts: DataFrame, k: int) -> float:
+    """The mean share of links found a vector, over vectors of at most ``k`` links and over those of more: the lower one."""
+    seen = truth.where("n > 0").join(counts.select("node", F.col("n").alias("have")), "node", "left")
+    share = F.coalesce("have", F.lit(0)) / F.col("n")
+    return min((r["r"] for r in seen.groupBy((F.col("n") > k).alias("many")).agg(F.avg(share).alias("r")).collect()), default=1.0)
+
+
 def _relabel(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.drop("component").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def link_vectors(classes: DataFrame, dim: int, scratch: Scratch, threshold: float, k: int, tables: int, leaf: int, group: int, block: int, audit: int, recall: float, seed: int) -> tuple[DataFrame, float]:
     """(node, component, n) of classes (node, vec, weight) of one length, and the audited recall."""
-    nodes, links, turn, name = classes.withColumn("component", F.col("node")), None, 0, f"d{dim}"
+    nodes, links, truth, turn, name = classes.withColumn("component", F.col("node")), None, None, 0, f"d{dim}"
     while True:
         # search for links between components until there are none
         found = descend(nodes, dim, scratch, f"{name}-graph-{turn}", threshold, k, tables, leaf, group, seed + turn)
@@ -256,9 +271,8 @@ def link_vectors(classes: DataFrame, dim: int, scratch: Scratch, threshold: floa
         else:
             turn += 1
         counts = scratch.write(count_links(nodes, threshold, block), f"{name}-counts-{turn}")
-        truth = audit_truth(nodes, threshold, audit)
-        seen = truth.join(counts.select("node", F.col("n").alias("have")), "node", "left").agg(F.sum("n").alias("n"), F.sum(F.coalesce("have", F.lit(0))).alias("have")).first()
-        got = 1.0 if not seen["n"] else seen["have"] / seen["n"]
+        truth = scratch.write(audit_truth(classes, threshold, audit), f"{name}-truth") if truth is None else truth
+        got = audited_recall(truth, counts, k)
         if got >= recall:
             return nodes.select("node", "component").join(counts, "node", "left").select("node", "component", F.coalesce("n", F.lit(0)).alias("n")), got
 
