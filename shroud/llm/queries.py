@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shroud.llm.decontam import op1_decontam
+from shroud.llm.exactdup import OP12_SQL, op12_exactdup
 from shroud.llm.langid import op2_langid
 from shroud.llm.mixing import op9_mix
 from shroud.llm.nndescent import op3_nndescent
@@ -28,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_mix": op9_mix,
     "op10_simhash": op10_simhash,
+    "op12_exactdup": op12_exactdup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_exactdup": OP12_SQL,
+}
