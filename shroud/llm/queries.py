@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shroud.llm.conversations import op13_conversations
 from shroud.llm.decontam import op1_decontam
 from shroud.llm.exactdup import OP12_SQL, op12_exactdup
 from shroud.llm.langid import op2_langid
@@ -17,6 +18,7 @@ from shroud.llm.secrets import op8_secrets
 from shroud.llm.simhash import op10_simhash
 from shroud.llm.substrings import op7_substrings
 from shroud.llm.warc import op6_warc
+from shroud.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_mix": op9_mix,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
     "op12_exactdup": op12_exactdup,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
