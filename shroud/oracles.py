@@ -13,11 +13,11 @@ from dataclasses import replace
 from shroud import catalog as C
 from shroud.functions.fakes import DUCK, fake_value_sql, is_likely_person_name_sql, is_relative_time_sql
 from shroud.functions.validators import UBN_WEIGHTS  # noqa: F401  (documented dependency)
-from shroud.operators.gazetteer import GAZETTEER_SCORE, TOKEN_RE
+from shroud.operators.gazetteer import GAZETTEER_SCORE, UNSPACED
 from shroud.operators.text import BLANK_MARK, LINE_COUNT_CAP, PREVIEW_CHARS, TRUNCATED_MARK
 from shroud.queries import ALL_RULE_IDS, COMMON_OPTIONS, DATE_RULE_IDS, option_types
 from shroud.sources.files import ACCEPTED_EXTENSIONS, LEGACY_TEXT_EXTENSIONS, MAX_FILES
-from shroud.sources.tables import CUSTOMER_CORPUS_SQL, FORMS_CORPUS_SQL, LONG_NAMES_SQL, ORDERS_CORPUS_SQL
+from shroud.sources.tables import CUSTOMER_CORPUS_SQL, FORMS_CORPUS_SQL, LONG_NAMES_SQL, LONG_TEXTS_SQL, ORDERS_CORPUS_SQL
 from shroud.sqloracle import detect_duck, luhn_duck, mac_null_duck, q, resolve_duck, ubn_valid_duck
 
 DOCS = "(SELECT doc_id AS id, text FROM documents)"
@@ -79,21 +79,28 @@ NAMES_SQL = ("SELECT 'LOCATION' AS entity_type, n_name AS phrase FROM nation UNI
 ALL_NAMES_SQL = " UNION ".join([NAMES_SQL, *LONG_NAMES_SQL])
 
 
-def gazetteer_sql(src: str = ORDS, names: str = NAMES_SQL, longest: int = 3) -> str:
-    rx = q(TOKEN_RE)
-    toks = (f"SELECT id, text, regexp_extract_all(text, {rx}) AS ms, regexp_split_to_array(text, {rx}) AS gs FROM {src}")
-    pos = ("SELECT id, text, i, CAST(length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS INTEGER) AS s, "
-           "CAST(length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i], '')) AS INTEGER) AS e "
-           f"FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({toks}))")
-    grams = ("SELECT a.id, a.s AS start, b.e AS \"end\", substring(a.text, a.s + 1, b.e - a.s) AS raw_txt "
-             f"FROM ({pos}) a JOIN ({pos}) b ON a.id = b.id AND b.i BETWEEN a.i AND a.i + {longest - 1}")
-    return (f"SELECT g.id AS doc_id, n.entity_type, g.start, g.\"end\", CAST({GAZETTEER_SCORE} AS DOUBLE) AS score, g.raw_txt "
-            f"FROM ({grams}) g JOIN ({names}) n ON g.raw_txt = n.phrase")
+def gazetteer_sql(src: str = ORDS, names: str = NAMES_SQL) -> str:
+    """Every place of every name: the lengths of the pieces between its occurrences, summed."""
+    unspaced = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED) + "]"
+
+    def inside(a: str, b: str) -> str:
+        word = " AND ".join(f"regexp_matches({x}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]') AND NOT regexp_matches({x}, '{unspaced}')" for x in (a, b))
+        return f"({word})"
+
+    parts = f"SELECT d.id, n.entity_type, n.phrase, string_split(d.text, n.phrase) AS p FROM {src} d JOIN ({names}) n ON contains(d.text, n.phrase)"
+    piece = ("{'i': i, 'n': length(p[i]), 'before': right(CASE WHEN i > 1 THEN concat(phrase, p[i]) ELSE p[i] END, 1), "
+             "'after': left(CASE WHEN i + 1 < len(p) THEN concat(p[i + 1], phrase) ELSE p[i + 1] END, 1)}")
+    rows = f"SELECT id, entity_type, phrase, unnest([{piece} for i in range(1, len(p))]) AS x FROM ({parts})"
+    pos = ("SELECT id, entity_type, phrase, x, CAST(sum(x.n) OVER (PARTITION BY id, entity_type, phrase ORDER BY x.i) "
+           f"+ (x.i - 1) * length(phrase) AS INTEGER) AS s FROM ({rows})")
+    return (f"SELECT id AS doc_id, entity_type, s AS start, CAST(s + length(phrase) AS INTEGER) AS \"end\", "
+            f"CAST({GAZETTEER_SCORE} AS DOUBLE) AS score, phrase AS raw_txt FROM ({pos}) "
+            f"WHERE NOT {inside('x.before', 'left(phrase, 1)')} AND NOT {inside('right(phrase, 1)', 'x.after')}")
 
 
 def named_spans(source: str) -> str:
     """(id, ...) spans of L00 with the names of the gazetteer."""
-    extra = f"SELECT doc_id AS id, * EXCLUDE (doc_id) FROM ({gazetteer_sql(SRC[source], ALL_NAMES_SQL, 4)})"
+    extra = f"SELECT doc_id AS id, * EXCLUDE (doc_id) FROM ({gazetteer_sql(SRC[source], ALL_NAMES_SQL)})"
     return detect_duck(SRC[source], C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True, extra=extra)
 
 
@@ -235,7 +242,8 @@ def oracle_sql() -> dict[str, str]:
     d["detect_legacy"] = legacy_sql(DOCS)
     d["detect_legacy_forms"] = legacy_sql(FRMS)
     d["gazetteer_location"] = gazetteer_sql()
-    d["gazetteer_forms"] = gazetteer_sql(FRMS, ALL_NAMES_SQL, 4)
+    d["gazetteer_forms"] = gazetteer_sql(FRMS, ALL_NAMES_SQL)
+    d["gazetteer_long_texts"] = gazetteer_sql(f"(SELECT doc_id AS id, text FROM ({LONG_TEXTS_SQL}))", ALL_NAMES_SQL)
     for source in ("orders", "forms"):
         d[f"detect_{source}_names"] = SPANS_OUT.format(named_spans(source))
         d[f"deidentify_{source}_names"] = splice(SRC[source], with_fake(named_spans(source)), "doc_id")

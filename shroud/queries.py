@@ -43,6 +43,7 @@ from shroud.sources.tables import (
     file_listing,
     forms_corpus,
     long_names,
+    long_texts,
     orders_corpus,
     read_table_documents,
     scan_width,
@@ -154,6 +155,10 @@ def q_gazetteer_forms(spark, sf):
     return gazetteer_spans(forms(spark, sf), all_names(spark, sf))
 
 
+def q_gazetteer_long(spark, sf):
+    return gazetteer_spans(long_texts(spark, sf), all_names(spark, sf))
+
+
 def q_detect_names(source: str) -> Query:
     """L00 with names: gazetteer spans compete with the rules' by priority."""
     def run(spark, sf):
@@ -528,6 +533,7 @@ def queries() -> dict[str, Query]:
         "detect_legacy": q_detect_legacy,
         "detect_legacy_forms": q_detect_legacy_forms,
         "gazetteer_forms": q_gazetteer_forms,
+        "gazetteer_long_texts": q_gazetteer_long,
         "detect_orders_names": q_detect_names("orders"),
         "detect_forms_names": q_detect_names("forms"),
         "gazetteer_location": q_gazetteer,

@@ -8,6 +8,7 @@ the files are many and large, and the scan alone is wide enough.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,11 @@ def _nhs_sql() -> str:
     return f"concat({nine}, cast((11 - ({total}) % 11) % 11 as string))"
 
 
+# Chinese names, which stand in running text without spaces.
+CJK_PERSON = ("concat(substring('王李張陳林黃吳劉', cast(n_nationkey % 8 + 1 as int), 1), '小', "
+              "substring('明華美強芳玲偉', cast(n_nationkey % 7 + 1 as int), 1))")
+CJK_PLACE = "concat(substring('東西南北中', cast(r_regionkey % 5 + 1 as int), 1), '城市')"
+
 # Forms corpus: one shape per customer in turn -- phones, durations, ids with
 # computed check digits, dates, names, and texts that are null, empty or blank.
 FORMS = (
@@ -108,6 +114,9 @@ FORMS = (
     f"concat('NHI card 0000', {_n(8)}, ' 健保 end')",
     "concat('signed Anna Maria van ', n_name, ' of Bank of ', r_name, ' in ', n_name, ' .')",
     "concat('mail ', n_name, '@example.com or Anna Maria van ', n_name, ' today')",
+    "concat('paid to Granite Works ', cast(r_regionkey as string), ' by Quiet River Trust , not by Granite Works ', cast(r_regionkey as string), '7 .')",
+    f"concat('昨天', {CJK_PERSON}, '在', {CJK_PLACE}, '與北方電子公司的代表見面,', {CJK_PERSON}, '說再見。')",
+    f"concat('Sato met ', {CJK_PERSON}, 'さん and ', {CJK_PERSON}, ' of ', n_name, '及', {CJK_PLACE}, n_name, 'x')",
     "concat('in ', cast(1 + c_custkey % 9 as string), ' days , ', cast(1 + c_custkey % 9 as string), ' weeks from now , this coming month')",
     "cast(null as string)",
     "''",
@@ -145,12 +154,27 @@ def forms_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_NAMES_SQL = (
     "SELECT 'PERSON' AS entity_type, concat('Anna Maria van ', n_name) AS phrase FROM nation",
     "SELECT 'ORGANIZATION' AS entity_type, concat('Bank of ', r_name) AS phrase FROM region",
+    "SELECT 'ORGANIZATION' AS entity_type, concat('Granite Works ', cast(r_regionkey as string)) AS phrase FROM region",
+    "SELECT DISTINCT 'ORGANIZATION' AS entity_type, 'Quiet River Trust' AS phrase FROM region",
+    "SELECT DISTINCT 'ORGANIZATION' AS entity_type, '北方電子公司' AS phrase FROM region",
+    f"SELECT 'PERSON' AS entity_type, {CJK_PERSON} AS phrase FROM nation",
+    f"SELECT 'LOCATION' AS entity_type, {CJK_PLACE} AS phrase FROM region",
 )
 
 
 def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = (sql_over_tables(spark, sf_dir, q) for q in LONG_NAMES_SQL)
-    return first.unionByName(second)
+    return reduce(DataFrame.unionByName, (sql_over_tables(spark, sf_dir, q) for q in LONG_NAMES_SQL))
+
+
+# Texts of over 200,000 words with names all through them, in Latin script and without spaces.
+LONG_TEXTS_SQL = (
+    "SELECT r_regionkey AS doc_id, repeat(concat('the ', lower(r_name), ' way to ', r_name, ' with Bank of ', r_name, "
+    f"' or ', r_name, 's , Quiet River Trust ', {CJK_PLACE}, '說 '), 14500) AS text FROM region"
+)
+
+
+def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(sql_over_tables(spark, sf_dir, LONG_TEXTS_SQL), scan_width(spark))
 
 
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
