@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 from shroud.catalog import CONTEXT_BOOST, CONTEXT_WINDOW
-from shroud.functions.spans import lit_sql
+from shroud.functions.spans import PIECE_CHARS, lit_sql
 
 _META = re.compile(r"([\\.^$|?*+()\[\]{}])")
 
@@ -38,18 +38,26 @@ def context_regex(words, java: bool = True) -> str | None:
     return flags + "(?:" + "|".join(parts) + ")"
 
 
-def window_before_sql(text: str, start: str, window: int = CONTEXT_WINDOW) -> str:
-    """The ``window`` characters before a 0-based ``start`` offset."""
+def window_before_sql(pieces: str, start: str, window: int = CONTEXT_WINDOW) -> str:
+    """The ``window`` characters before a 0-based ``start`` offset, from the text's pieces
+    (:func:`pieces_sql`): they lie in two neighbouring ones, wherever in the text that is."""
+    n = piece_chars(window)
     lo = f"greatest({start} - {int(window)}, 0)"
-    return f"substring({text}, {lo} + 1, {start} - {lo})"
+    first, last = f"CAST({lo} DIV {n} AS int)", f"CAST({start} DIV {n} AS int)"
+    near = f"concat(get({pieces}, {first}), CASE WHEN {last} > {first} THEN get({pieces}, {last}) ELSE '' END)"
+    return f"substring({near}, {lo} - {first} * {n} + 1, {start} - {lo})"
 
 
-def boosted_sql(score: str, text: str, start: str, words, window: int = CONTEXT_WINDOW,
+def piece_chars(window: int) -> int:
+    return max(PIECE_CHARS, int(window))
+
+
+def boosted_sql(score: str, pieces: str, start: str, words, window: int = CONTEXT_WINDOW,
                 boost: float = CONTEXT_BOOST, allow: str | None = None) -> str:
     rx = context_regex(words)
     if rx is None:
         return score
-    hit = f"{window_before_sql(text, start, window)} RLIKE {lit_sql(rx)}"
+    hit = f"{window_before_sql(pieces, start, window)} RLIKE {lit_sql(rx)}"
     if allow is not None:
         hit = f"({hit}) AND ({allow})"
     return f"CASE WHEN {hit} THEN round(least({score} + {float(boost)}D, 1.0D), 2) ELSE {score} END"

@@ -2,19 +2,18 @@
 
 Spark has no "regexp with positions".  ``regexp_extract_all(text, re, 0)``
 returns the matches and ``split(text, re, -1)`` the gaps between them; both
-walk the same ``Matcher.find()`` sequence, so
-
-    start_i = sum(len(gap_0..gap_i)) + sum(len(match_0..match_{i-1}))
-
-computed by one ``aggregate`` fold.  The whole thing sits behind an ``rlike``
-guard, so documents without a hit pay one regex scan only.  (The fold appends,
-which copies references: some seconds at 100,000 matches of one rule in one
-document.  Running sums as in ``scan_sql`` would avoid that, but in fifty rules
-they multiply the time to plan.)  Everything stays
-a JVM expression (no Python worker); patterns must not match the empty string.
+walk the same ``Matcher.find()`` sequence, so a match ends where the lengths of
+the gaps and matches up to it sum to.  ``pairs_sql`` keeps these lengths, and
+``positions_sql`` turns them into offsets with running sums in short pieces
+(``scan_sql``): the work grows with the number of matches.  The whole thing sits
+behind an ``rlike`` guard, so documents without a hit pay one regex scan only.
+Everything stays a JVM expression (no Python worker); patterns must not match the
+empty string.
 
 Offsets are 0-based, end exclusive, in code points -- the same as Python
-slicing and Spark's ``substring``/``length``.
+slicing and Spark's ``substring``/``length``.  ``substring`` walks a text from its
+start; ``pieces_sql`` cuts it once into pieces of equal length, in which any
+position is found in constant time.
 
 Expressions are produced as Spark SQL text and parsed once with ``F.expr``:
 building a catalog-sized expression tree through the Python ``Column`` API
@@ -105,35 +104,37 @@ def scan_sql(values: str, op: str, zero: str, v: str) -> str:
     return let_sql(values, arr, f"CASE WHEN size({arr}) <= 1 THEN {arr} ELSE {long} END")
 
 
-def matches_sql(text: str, pattern: str, guard: bool = True, v: str = "m", pre: str | None = None) -> str:
-    """SQL for ``array<struct<start,end,raw>>`` of every match of ``pattern``
-    in the SQL expression ``text``.  ``v`` prefixes the lambda variables;
-    ``pre`` is a cheap boolean checked before the regex guard."""
+PAIR_DDL = "array<struct<n:int,m:string>>"
+
+
+def pairs_sql(text: str, pattern: str, v: str = "m", pre: str | None = None) -> str:
+    """SQL for ``array<struct<n,m>>``: every match ``m`` of ``pattern`` in the SQL
+    expression ``text``, ``n`` being its length and that of the gap before it.
+    ``v`` prefixes the lambda variables; ``pre`` is a cheap boolean checked before
+    the regex guard."""
     p = lit_sql(pattern)
-    pairs = (
-        f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), "
-        f"({v}m, {v}g) -> named_struct('m', {v}m, 'g', {v}g)), {v}p -> {v}p.m IS NOT NULL)"
-    )
-    init = f"named_struct('pos', 0, 'out', {empty_matches_sql()})"
-    s = f"({v}a.pos + length({v}x.g))"
-    e = f"({v}a.pos + length({v}x.g) + length({v}x.m))"
-    step = (
-        f"({v}a, {v}x) -> named_struct('pos', {e}, 'out', concat({v}a.out, "
-        f"array(named_struct('start', {s}, 'end', {e}, 'raw', {v}x.m))))"
-    )
-    folded = f"aggregate({pairs}, {init}, {step}, {v}a -> {v}a.out)"
-    if not guard:
-        return f"coalesce({folded}, {empty_matches_sql()})"
+    pairs = (f"filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), ({v}m, {v}g) -> "
+             f"named_struct('n', length({v}g) + length({v}m), 'm', {v}m)), {v}p -> {v}p.m IS NOT NULL)")
     cond = f"{text} RLIKE {p}" if pre is None else f"({pre}) AND {text} RLIKE {p}"
-    return f"CASE WHEN {cond} THEN {folded} ELSE {empty_matches_sql()} END"
+    return f"CASE WHEN {cond} THEN {pairs} ELSE CAST(array() AS {PAIR_DDL}) END"
 
 
-DIGIT_RE = r"(?U)\d"
+def positions_sql(pairs: str, v: str = "ps") -> str:
+    """``array<struct<start,end,raw>>`` of the matches in ``pairs``."""
+    ends = scan_sql(f"transform({pairs}, {v}x -> {v}x.n)", f"{v}sl + {v}sr", "0", f"{v}s")
+    placed = f"zip_with({pairs}, {ends}, ({v}x, {v}e) -> named_struct('start', {v}e - length({v}x.m), 'end', {v}e, 'raw', {v}x.m))"
+    return f"CASE WHEN size({pairs}) = 0 THEN {empty_matches_sql()} ELSE {placed} END"
+
+
+PIECE_CHARS = 64
 
 
-def digit_flag_sql(text: str) -> str:
-    """True when ``text`` holds a (Unicode) decimal digit."""
-    return f"({text} RLIKE {lit_sql(DIGIT_RE)})"
+def pieces_sql(text: str, chars: int = PIECE_CHARS) -> str:
+    """The text in pieces of ``chars`` code points."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{chars}}}', 0)"
+
+
+DIGIT_RE = r"(?U)\d"
 
 
 def explode_nonempty(df, keep_cols, array_col, alias: str = "s", pos: str | None = None):

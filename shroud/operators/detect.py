@@ -1,9 +1,11 @@
 """Detection: rule catalog -> ``array<span>`` column, in projections.
 
-``detect`` = D* (regex + validation) -> C01 context boost -> duplicate removal
--> C02 threshold -> (optionally) C03 type selection -> O01 overlap resolution.
-It is a chain of projections: no shuffle, no Python worker, so it scales with
-the number of input partitions.
+``detect`` = trigger -> D* (regex + validation) -> C01 context boost -> duplicate
+removal -> C02 threshold -> (optionally) C03 type selection -> O01 overlap
+resolution.  It is a chain of projections: no shuffle, no Python worker, so it
+scales with the number of input partitions.  Every step of a rule's matches goes
+into a column of all rules, so that what the rules share -- the trigger, the offsets
+of the matches, the text cut into pieces -- is planned and computed once.
 """
 
 from __future__ import annotations
@@ -14,27 +16,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.catalog import CONTEXT_BOOST, CONTEXT_WINDOW, DEFAULT_THRESHOLD, LEGACY_RULES, Rule, default_rules
-from shroud.functions.context import boosted_sql
-from shroud.functions.spans import SPAN_DDL, digit_flag_sql, empty_spans_sql, lit_sql, matches_sql, str_sql
+from shroud.functions.context import boosted_sql, piece_chars
+from shroud.functions.spans import PAIR_DDL, SPAN_DDL, empty_spans_sql, lit_sql, pairs_sql, pieces_sql, positions_sql
+from shroud.functions.trigger import may_match_sql, trigger_sql
 from shroud.functions.validators import VALIDATORS_SQL, mac_is_null_sql, mac_score_sql
 from shroud.operators.resolve import dedupe_contained_sql, resolve_overlaps_sql
 
+TRIGGER_COL, PAIRS_COL, MATCHES_COL, PIECES_COL = "_shroud_trigger", "_shroud_pairs", "_shroud_matches", "_shroud_pieces"
 
-def prefilter_sql(text: str, rule: Rule, digit_flag: str | None) -> str | None:
-    """Cheap conditions without which the rule cannot match."""
-    conds = []
-    if rule.needs_digit and digit_flag:
-        conds.append(digit_flag)
-    if rule.literals:
-        conds.append("(" + " OR ".join(f"instr({text}, {str_sql(x)}) > 0" for x in rule.literals) + ")")
-    return " AND ".join(conds) if conds else None
-
-
-def rule_spans_sql(text: str, rule: Rule, context: bool = True, window: int = CONTEXT_WINDOW,
-                   boost: float = CONTEXT_BOOST, v: str = "r", digit_flag: str | None = None) -> str:
-    """Spans of one rule: matches -> validator -> context boost."""
-    m = matches_sql(text, rule.java, v=v, pre=prefilter_sql(text, rule, digit_flag))
-    x = f"{v}s"
+
+def all_pairs_sql(text: str, rules: tuple[Rule, ...], trigger: str | None = None) -> str:
+    """One array of matches for each rule (see ``pairs_sql``)."""
+    pairs = [pairs_sql(text, r.java, v=f"r{i}", pre=may_match_sql(text, r, trigger)) for i, r in enumerate(rules)]
+    return f"array({', '.join(pairs)})" if pairs else f"CAST(array() AS array<{PAIR_DDL}>)"
+
+
+def all_positions_sql(pairs: str) -> str:
+    """The matches of each rule with their offsets."""
+    return f"transform({pairs}, rp -> {positions_sql('rp')})"
+
+
+def all_pieces_sql(text: str, pairs: str, window: int = CONTEXT_WINDOW) -> str:
+    """The text in pieces, where anything matched at all."""
+    return f"CASE WHEN exists({pairs}, rp -> size(rp) > 0) THEN {pieces_sql(text, piece_chars(window))} ELSE CAST(array() AS array<string>) END"
+
+
+def rule_spans_sql(matches: str, pieces: str, rule: Rule, context: bool = True, window: int = CONTEXT_WINDOW,
+                   boost: float = CONTEXT_BOOST, v: str = "r") -> str:
+    """Spans of one rule from its matches: validator -> context boost."""
+    m, x = matches, f"{v}s"
     if rule.validator in VALIDATORS_SQL:
         m = f"filter({m}, {x} -> {VALIDATORS_SQL[rule.validator](f'{x}.raw')})"
     score = "0.98D" if rule.validator == "ubn" else f"{float(rule.score)}D"
@@ -43,7 +53,7 @@ def rule_spans_sql(text: str, rule: Rule, context: bool = True, window: int = CO
         score = mac_score_sql(f"{x}.raw", score)
         allow = f"NOT {mac_is_null_sql(f'{x}.raw')}"
     if context and rule.context:
-        score = boosted_sql(score, text, f"{x}.start", rule.context, window, boost, allow)
+        score = boosted_sql(score, pieces, f"{x}.start", rule.context, window, boost, allow)
     span = (
         f"named_struct('entity_type', '{rule.entity}', 'start', {x}.start, 'end', {x}.`end`, "
         f"'score', CAST({score} AS double), 'raw_txt', {x}.raw)"
@@ -67,17 +77,18 @@ def select_types_sql(spans: str, entity_types: Iterable[str] | None, v: str = "s
     return f"filter({spans}, {v} -> {v}.entity_type IN ({inlist}))"
 
 
-def raw_spans_sql(text: str, rules: Iterable[Rule] | None = None, *, context: bool = True, window: int = CONTEXT_WINDOW,
-                  boost: float = CONTEXT_BOOST, digit_flag: str | None = None, extra_spans: str | None = None) -> str:
+def raw_spans_sql(matches: str, pieces: str, rules: tuple[Rule, ...], *, context: bool = True, window: int = CONTEXT_WINDOW,
+                  boost: float = CONTEXT_BOOST, extra_spans: str | None = None) -> str:
     """All spans of the rules, before duplicates, threshold and resolution.
 
-    ``digit_flag`` names a boolean computed once per row (see
-    :func:`with_digit_flag`); rules that need a digit skip their regex when
-    it is false.  ``extra_spans`` is an array of spans found elsewhere (names
+    ``matches`` and ``pieces`` are the arrays of :func:`all_positions_sql` and
+    :func:`all_pieces_sql`.  ``extra_spans`` is an array of spans found elsewhere (names
     of a gazetteer, D48, or of a model, D49); they pass through duplicate
     removal, threshold, type selection and resolution like any other."""
-    rules = tuple(default_rules() if rules is None else rules)
-    parts = [rule_spans_sql(text, r, context, window, boost, digit_flag=digit_flag) for r in rules]
+    parts = [rule_spans_sql(f"{matches}[{i}]", pieces, r, context, window, boost, v=f"r{i}") for i, r in enumerate(rules)]
+    if parts:
+        all_rules = parts[0] if len(parts) == 1 else "concat(" + ", ".join(parts) + ")"
+        parts = [f"CASE WHEN exists({matches}, rp -> size(rp) > 0) THEN {all_rules} ELSE {empty_spans_sql()} END"]
     if extra_spans is not None:
         parts.append(f"coalesce(CAST({extra_spans} AS {SPAN_DDL}), {empty_spans_sql()})")
     if not parts:
@@ -103,7 +114,7 @@ def span_steps(threshold: float | None = DEFAULT_THRESHOLD, dedupe: bool = True,
     return steps
 
 
-def any_match_sql(text: str, rules: Iterable[Rule] | None = None, digit_flag: str | None = None) -> str:
+def any_match_sql(text: str, rules: tuple[Rule, ...], trigger: str | None = None) -> str:
     """True when at least one rule's regex matches somewhere in ``text``.
 
     A document-level gate for per-segment plans, for rules of the catalog only:
@@ -111,23 +122,19 @@ def any_match_sql(text: str, rules: Iterable[Rule] | None = None, digit_flag: st
     is as good to them as the start of the text.  So a match inside a segment is
     a match in the whole text.  Nothing of that kind is known of other rules;
     with any of them there is no gate."""
-    rules = tuple(default_rules() if rules is None else rules)
     known = {r.java for r in default_rules(include_disabled=True)}
     if any(r.java not in known for r in rules):
         return "true"
     conds = []
     for r in rules:
-        pre = prefilter_sql(text, r, digit_flag)
+        pre = may_match_sql(text, r, trigger)
         rx = f"{text} RLIKE {lit_sql(r.java)}"
         conds.append(f"({pre} AND {rx})" if pre else f"({rx})")
     return "(" + " OR ".join(conds) + ")" if conds else "false"
 
 
-DIGIT_COL = "_shroud_has_digit"
-
-
-def with_digit_flag(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn(DIGIT_COL, F.expr(digit_flag_sql(f"`{text_col}`")))
+def with_trigger(df: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    return df.withColumn(TRIGGER_COL, F.expr(trigger_sql(f"`{text_col}`", rules)))
 
 
 def detect(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] | None = None, *, out: str = "spans",
@@ -135,16 +142,19 @@ def detect(df: DataFrame, text_col: str = "text", rules: Iterable[Rule] | None =
            entity_types: Iterable[str] | None = None, window: int = CONTEXT_WINDOW, boost: float = CONTEXT_BOOST,
            extra_spans: str | None = None) -> DataFrame:
     """Add an ``array<span>`` column holding the detected entities."""
-    d = with_digit_flag(df, text_col)
-    extra = f"`{extra_spans}`" if extra_spans else None
-    d = d.withColumn(out, F.expr(raw_spans_sql(f"`{text_col}`", rules, context=context, window=window, boost=boost,
-                                               digit_flag=f"`{DIGIT_COL}`", extra_spans=extra))).drop(DIGIT_COL)
+    rules = tuple(default_rules() if rules is None else rules)
+    text, extra = f"`{text_col}`", f"`{extra_spans}`" if extra_spans else None
+    d = with_trigger(df, text_col, rules)
+    d = d.withColumn(PAIRS_COL, F.expr(all_pairs_sql(text, rules, TRIGGER_COL)))
+    d = d.withColumns({MATCHES_COL: F.expr(all_positions_sql(PAIRS_COL)), PIECES_COL: F.expr(all_pieces_sql(text, PAIRS_COL, window))})
+    d = d.withColumn(out, F.expr(raw_spans_sql(MATCHES_COL, PIECES_COL, rules, context=context, window=window, boost=boost, extra_spans=extra)))
+    d = d.drop(TRIGGER_COL, PAIRS_COL, MATCHES_COL, PIECES_COL)
     for step in span_steps(threshold, dedupe, resolve, entity_types):
         d = d.withColumn(out, F.expr(step(f"`{out}`")))
     return d
 
 
-def legacy_spans_sql(text: str, names_spans: str | None = None) -> str:
+def legacy_spans_sql(matches: str, names_spans: str | None = None) -> str:
     """Union of the legacy regexes (+ optional named-entity spans),
     ordered by start; score 1.0, no overlap resolution, duplicates kept.
     Ties on ``start`` keep the reference's insertion order (named entities,
@@ -153,7 +163,7 @@ def legacy_spans_sql(text: str, names_spans: str | None = None) -> str:
     if names_spans is not None:
         parts.append(f"transform({names_spans}, (lz, li) -> named_struct('s', lz, 'k', 0, 'i', li))")
     for k, rule in enumerate(LEGACY_RULES, start=1):
-        spans = rule_spans_sql(text, rule, context=False, v=f"l{k}")
+        spans = rule_spans_sql(f"{matches}[{k - 1}]", "", rule, context=False, v=f"l{k}")
         parts.append(f"transform({spans}, (lz, li) -> named_struct('s', lz, 'k', {k}, 'i', li))")
     allp = "concat(" + ", ".join(parts) + ")"
     cmp = ("CASE WHEN la.s.start < lb.s.start THEN -1 WHEN la.s.start > lb.s.start THEN 1 "
@@ -163,4 +173,6 @@ def legacy_spans_sql(text: str, names_spans: str | None = None) -> str:
 
 def detect_legacy(df: DataFrame, text_col: str = "text", out: str = "spans", names_col: str | None = None) -> DataFrame:
     names = f"`{names_col}`" if names_col else None
-    return df.withColumn(out, F.expr(legacy_spans_sql(f"`{text_col}`", names)))
+    d = with_trigger(df, text_col, LEGACY_RULES)
+    d = d.withColumn(MATCHES_COL, F.expr(all_positions_sql(all_pairs_sql(f"`{text_col}`", LEGACY_RULES, TRIGGER_COL))))
+    return d.withColumn(out, F.expr(legacy_spans_sql(MATCHES_COL, names))).drop(TRIGGER_COL, MATCHES_COL)

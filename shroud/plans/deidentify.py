@@ -20,10 +20,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD
+from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD, default_rules
 from shroud.functions.fakes import SPARK, map_key_sql
-from shroud.functions.spans import digit_flag_sql, explode_nonempty
-from shroud.operators.detect import DIGIT_COL, any_match_sql, detect, raw_spans_sql, span_steps, with_digit_flag
+from shroud.functions.spans import explode_nonempty
+from shroud.functions.trigger import trigger_sql
+from shroud.operators.detect import (
+    TRIGGER_COL,
+    all_pairs_sql,
+    all_pieces_sql,
+    all_positions_sql,
+    any_match_sql,
+    detect,
+    raw_spans_sql,
+    span_steps,
+    with_trigger,
+)
 from shroud.operators.mapping import (
     MODEL_TIME_LIMIT,
     MappingStore,
@@ -95,27 +106,25 @@ def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col, spans: str = "spans
     return hit.unionByName(rest)
 
 
-def _with_lines(df: DataFrame, text_col: str, rules) -> DataFrame:
-    """``_lines``: segments as structs (t = text, d = has a digit), or NULL
-    when no rule matches anywhere in the document (then no segment can
-    match either, see ``any_match_sql``).  Digit tests run per segment only
-    when the document has a digit at all."""
-    d = with_digit_flag(df, text_col)
-    gate = any_match_sql(f"`{text_col}`", rules, f"`{DIGIT_COL}`")
-    seg = "wlt"
-    lines = (f"CASE WHEN `{text_col}` IS NULL OR NOT {gate} THEN NULL ELSE transform(split(`{text_col}`, '\\n', -1), "
-             f"{seg} -> named_struct('t', {seg}, 'd', `{DIGIT_COL}` AND {digit_flag_sql(seg)})) END")
-    return d.withColumn("_lines", F.expr(lines)).drop(DIGIT_COL)
-
-
-def _line_spans(d: DataFrame, rules, threshold: float, entity_types) -> DataFrame:
-    """``_lines`` as (t, sp): every line with its own resolved spans."""
-    z = "lsz"
-    raw = raw_spans_sql(f"{z}.t", rules, digit_flag=f"{z}.d")
-    d = d.withColumn("_lines", F.expr(f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {raw}))"))
-    for step in span_steps(threshold, resolve=True, entity_types=entity_types):
-        one = f"CASE WHEN size({z}.sp) = 0 THEN {z}.sp ELSE {step(f'{z}.sp')} END"
-        d = d.withColumn("_lines", F.expr(f"transform(_lines, {z} -> named_struct('t', {z}.t, 'sp', {one}))"))
+def _line_spans(df: DataFrame, text_col: str, rules, threshold: float, entity_types) -> DataFrame:
+    """``_lines``: segments as structs (t = text, sp = resolved spans), or NULL when no rule
+    matches anywhere in the document (then no segment can match either, see ``any_match_sql``)."""
+    rules = tuple(default_rules() if rules is None else rules)
+    text, z = f"`{text_col}`", "lsz"
+    d = with_trigger(df, text_col, rules)
+    lines = (f"CASE WHEN {text} IS NULL OR NOT {any_match_sql(text, rules, TRIGGER_COL)} THEN NULL ELSE "
+             f"transform(split({text}, '\\n', -1), {z} -> named_struct('t', {z}, 'g', {trigger_sql(z, rules)})) END")
+    d = d.withColumn("_lines", F.expr(lines)).drop(TRIGGER_COL)
+
+    def step(frame: DataFrame, **fields: str) -> DataFrame:
+        named = ", ".join(f"'{k}', {v}" for k, v in {"t": f"{z}.t", **fields}.items())
+        return frame.withColumn("_lines", F.expr(f"transform(_lines, {z} -> named_struct({named}))"))
+
+    d = step(d, p=all_pairs_sql(f"{z}.t", rules, f"{z}.g"))
+    d = step(d, m=all_positions_sql(f"{z}.p"), w=all_pieces_sql(f"{z}.t", f"{z}.p"))
+    d = step(d, sp=raw_spans_sql(f"{z}.m", f"{z}.w", rules))
+    for nxt in span_steps(threshold, resolve=True, entity_types=entity_types):
+        d = step(d, sp=f"CASE WHEN size({z}.sp) = 0 THEN {z}.sp ELSE {nxt(f'{z}.sp')} END")
     return d
 
 
@@ -126,7 +135,7 @@ def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, thres
     blank segments untouched, reassembled in order.  Runs inside the row
     (``transform`` over the segments): no explode, no regroup, no shuffle.
     With a stored mapping, one mapping holds for all segments (see L01)."""
-    d = _line_spans(_with_lines(df, text_col, rules), rules, threshold, entity_types)
+    d = _line_spans(df, text_col, rules, threshold, entity_types)
     z = "sgz"
     blank = f"regexp_replace({z}.t, '(?U)^\\\\s+|\\\\s+$', '') = ''"
     fakes = with_fakes_sql(f"{z}.sp", salt=salt, v="sg")
@@ -160,7 +169,7 @@ def deidentify_layout(df: DataFrame, text_col: str = "text", rules=None, thresho
     """Per line, tag-map generators, length preserving (A04): every
     output line has the length of its input line.  Lines and their spans
     are materialised first, so each later step reads a struct field."""
-    d = _line_spans(_with_lines(df, text_col, rules), rules, threshold, None)
+    d = _line_spans(df, text_col, rules, threshold, None)
     w = "lyw"
     body = apply_spans_sql(f"{w}.t", length_preserving_sql(f"{w}.sp", salt, v="ly"), v="la")
     joined = f"CASE WHEN _lines IS NULL THEN `{text_col}` ELSE array_join(transform(_lines, {w} -> {body}), '\\n') END"

@@ -340,9 +340,9 @@ def q_mapping_upsert(spark, sf):
 
 
 def q_route_counts(spark, sf):
-    prev = M.mapping_upsert(doc_span_table(spark, sf, "documents"), None, version=1)
-    spans = doc_span_table(spark, sf, "documents").unionByName(doc_span_table(spark, sf, "customer"))
-    return R.route_counts(M.route_spans(spans, prev))
+    found = written(doc_span_table(spark, sf, "documents"), "spans")
+    prev = M.mapping_upsert(found, None, version=1)
+    return R.route_counts(M.route_spans(found.unionByName(doc_span_table(spark, sf, "customer")), prev))
 
 
 def model_pairs(spark, sf):
