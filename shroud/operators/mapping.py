@@ -1,34 +1,39 @@
 """Persistent replacement mapping, routing and model batches.
 
 Mapping table: ``map_key STRING (32 hex), entity_type STRING, fake_value
-STRING, route STRING, version BIGINT, is_reset BOOLEAN``.  It is append-only:
-each run appends the keys it created as a new ``version`` partition, so no
-job ever overwrites what another reads.  The live mapping is every row after
-the newest reset marker; if two runs raced on a key, the oldest version wins
-("existing non-empty value wins").
-
-Versions: a reset marker opens a new epoch (the next multiple of 2**32), so
-every later append, by a batch job or by a stream, has a larger version.
-
-At scale: new keys are aggregated on the key itself, so one exchange serves
-both the distinct and the ``left_anti`` join.  Look-ups join a snapshot of one
-row per key (``MappingStore.snapshot``) read without window or aggregate: both
-sides of that join are plain exchanges, which adaptive execution can split
-when one value fills a large part of the spans.
+STRING, route STRING, version BIGINT, is_reset BOOLEAN``.  A run appends the keys
+it created as files of its own, so no job ever overwrites what another reads; a log
+of commits (``commitlog``) names the runs that count.  The live mapping is every row
+after the newest reset, the oldest of a key wins ("existing non-empty value wins").
+
+Versions: each run claims one.  A reset opens a new epoch (the next multiple of
+2**32), so every later append, by a batch job or by a stream, has a larger version.
+A run that was committed meanwhile by another writer makes an upsert drop the keys
+that it brought, so racing writers leave one value a key.
+
+Compaction is levelled: ``FAN`` runs of a level become one of the next, which holds
+one row a key, bucketed and sorted by it, with a Bloom filter of its keys a file.  The
+largest run is the base.  A look-up joins the base bucket by bucket, without an exchange
+on that side, then the rest, which is small.  New keys are aggregated on the key itself,
+so one exchange serves both the distinct and the ``left_anti`` join.  Keys that fill much
+of the looked-up rows (at most four a shuffle partition) are joined apart, by a broadcast
+of their few values, so no task gets all rows of a hot value.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroud.functions.fakes import SPARK, hash_sql, map_key_sql
+from shroud.operators.commitlog import CommitLog, Unchanged
 from shroud.operators.replace import route_sql, routed_fake_sql
 
 MAPPING_SCHEMA = T.StructType(
@@ -42,12 +47,12 @@ MAPPING_SCHEMA = T.StructType(
     ]
 )
 
-# The model prompt texts, batch size and time limit in seconds.
 MODEL_SYSTEM_PROMPT = (
-    "Replace each item with a fake value. Output only the replacement value for each item, one per line, "
-    "without any type or raw label. Do not repeat the input format, just output the new value."
+    "You invent stand-ins for personal data. For every numbered or listed item answer with exactly one line: "
+    "a made-up value of the same kind, and nothing else on that line."
 )
-MODEL_PROMPT_HEADER = "Items to replace (one replacement per line, in order):"
+MODEL_PROMPT_HEADER = "Please invent one stand-in for each of these, one a line, keeping the order:"
+# Batch size and time limit in seconds.
 MODEL_BATCH_SIZE = 30
 MODEL_TIME_LIMIT = 10.0
 
@@ -77,8 +82,12 @@ def live_mapping(mapping: DataFrame) -> DataFrame:
     A frame without ``is_reset`` is a snapshot: one row per key already."""
     if "is_reset" not in mapping.columns:
         return mapping
-    after = F.col("version") > reset_marker(mapping).scalar()
-    rows = mapping.filter("NOT is_reset AND fake_value IS NOT NULL AND fake_value != ''").filter(after)
+    return oldest_rows(mapping.filter(F.col("version") > reset_marker(mapping).scalar()))
+
+
+def oldest_rows(mapping: DataFrame) -> DataFrame:
+    """One row a key: the oldest that has a value."""
+    rows = mapping.filter("NOT is_reset AND fake_value IS NOT NULL AND fake_value != ''")
     oldest = F.min_by(F.struct("entity_type", "fake_value", "route", "version"), F.struct("version", "fake_value"))
     return rows.groupBy("map_key").agg(oldest.alias("m")).select("map_key", "m.*")
 
@@ -125,61 +134,232 @@ def mapping_upsert(spans: DataFrame | None, mapping: DataFrame | None = None, ve
     )
 
 
-class MappingStore:
-    """Append-only mapping table under ``path`` (parquet, partitioned by
-    ``version``)."""
+FAN = 16
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+
+class MappingStore:
+    """The mapping under ``path``: runs of Parquet files, ``_log`` says which of them count.
+
+    The state has ``next`` (version), ``reset`` (version of the newest reset), ``runs``
+    (name, level, rows, buckets) and ``trash`` (runs that a compaction has replaced; they
+    stay until two more have, for readers that know them)."""
+
+    def __init__(self, spark: SparkSession, path: str, fan: int = FAN):
+        self.spark, self.path, self.fan = spark, path.rstrip("/"), fan
+        self.log = CommitLog(spark, f"{self.path}/_log")
+
+    def state(self) -> dict:
+        return {"next": 1, "reset": 0, "runs": [], "trash": []} | self.log.newest()[1]
+
+    def _run(self, run: dict) -> DataFrame:
+        """The rows of a run; a bucketed one is read as a table of the session, which needs no exchange by key."""
+        path = f"{self.path}/{run['name']}"
+        if not run["buckets"]:
+            return self.spark.read.schema(MAPPING_SCHEMA).parquet(path)
+        table = self._table(run["name"])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in MAPPING_SCHEMA)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (map_key) SORTED BY (map_key) "
+                       f"INTO {run['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
+    @staticmethod
+    def _table(name: str) -> str:
+        return "shroud_mapping_" + name.split("=")[1]
+
+    def _rows(self, state: dict, runs: list[dict]) -> DataFrame:
+        frames = [self._run(r).where(F.col("version") > state["reset"]) for r in runs]
+        return reduce(DataFrame.unionByName, frames) if frames else empty_mapping(self.spark)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MAPPING_SCHEMA).parquet(self.path)
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":  # an outage is not an empty mapping
-                raise
-            return empty_mapping(self.spark)
+        """All rows that count, after the newest reset."""
+        state = self.state()
+        return self._rows(state, state["runs"])
 
     def next_version(self) -> int:
-        v = self.read().agg(F.max("version")).first()[0]
-        return 1 if v is None else int(v) + 1
+        return self.state()["next"]
 
     def epoch(self) -> int:
         """Version of the newest reset marker, 0 before the first: the base of stream versions."""
-        return max(0, int(reset_marker(self.read()).first()[0]))
+        return self.state()["reset"]
+
+    def _commit(self, change: Callable[[dict], None]) -> dict:
+        def changed(state: dict) -> dict:
+            state = {"next": 1, "reset": 0, "runs": [], "trash": []} | state
+            change(state)
+            return state
+
+        return self.log.commit(changed)
+
+    def claim(self) -> int:
+        """A version that no other writer gets."""
+        def take(state: dict) -> None:
+            state["next"] += 1
+
+        return self._commit(take)["next"] - 1
+
+    def _write(self, rows: DataFrame) -> tuple[dict, int]:
+        """A run of level 0, not yet part of the table, and its largest version."""
+        name, seen = f"run={uuid.uuid4().hex}", Observation()
+        rows = rows.select(*MAPPING_SCHEMA.names).observe(seen, F.count("*").alias("n"), F.max("version").alias("version"))
+        rows.write.parquet(f"{self.path}/{name}")
+        return {"name": name, "level": 0, "buckets": 0, "rows": seen.get["n"]}, seen.get["version"] or 0
+
+    def _delete(self, name: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("version").parquet(self.path)
+        """Add rows that carry their version."""
+        run, version = self._write(rows)
+        self._add(run, version)
+        self.compact()
+
+    def _add(self, run: dict, version: int, based_on: list[str] | None = None) -> bool:
+        """Make a run part of the table; False if runs that ``based_on`` doesn't name have joined it."""
+        def add(state: dict) -> None:
+            if based_on is not None and any(r["name"] not in based_on for r in state["runs"]):
+                raise Unchanged
+            if run["rows"]:
+                state["runs"] = [*state["runs"], run]
+            state["next"] = max(state["next"], version + 1)
+
+        try:
+            self._commit(add)
+        except Unchanged:
+            return False
+        if not run["rows"]:
+            self._delete(run["name"])
+        return True
 
     def upsert(self, spans: DataFrame | None, salt: str = "", generated: DataFrame | None = None) -> DataFrame:
-        version = self.next_version()
-        self.append(mapping_upsert(spans, self.read(), version, salt, generated))
-        return self.spark.read.schema(MAPPING_SCHEMA).parquet(self.path).filter(F.col("version") == version)
+        """Store values for the keys that have none, and return the new rows.
+
+        Where another writer commits first, the keys it brought are dropped from this run."""
+        state = self.state()
+        version = self.claim()
+        run, _ = self._write(mapping_upsert(spans, self._rows(state, state["runs"]), version, salt, generated))
+        while not self._add(run, version, [r["name"] for r in state["runs"]]):
+            state, old = self.state(), run
+            version = self.claim()
+            known = oldest_rows(self._rows(state, state["runs"])).select("map_key")
+            mine = self._run(old).join(known, "map_key", "left_anti").withColumn("version", F.lit(version).cast("long"))
+            run, _ = self._write(mine)
+            self._delete(old["name"])
+        rows = self._run(run) if run["rows"] else empty_mapping(self.spark)
+        self.compact()
+        return rows
 
     def reset(self) -> None:
         """Forget every value written so far; later versions are larger."""
-        version = (self.next_version() // EPOCH + 1) * EPOCH
-        marker = self.spark.createDataFrame([(None, None, None, None, version, True)], MAPPING_SCHEMA)
-        self.append(marker)
+        def forget(state: dict) -> None:
+            state["reset"] = (state["next"] // EPOCH + 1) * EPOCH
+            state["next"] = state["reset"] + 1
+            state["trash"] = [*state["trash"], [r["name"] for r in state["runs"]]]
+            state["runs"] = []
+
+        self._commit(forget)
+
+    def compact(self, everything: bool = False) -> None:
+        """Merge the levels that are full; with ``everything`` all runs to one."""
+        while True:
+            state = self.state()
+            levels = sorted({r["level"] for r in state["runs"]})
+            full = [lv for lv in levels if sum(r["level"] == lv for r in state["runs"]) >= self.fan]
+            if everything and (len(state["runs"]) > 1 or any(not r["buckets"] for r in state["runs"])):
+                merged = state["runs"]
+            elif full:
+                merged = [r for r in state["runs"] if r["level"] == full[0]]
+            else:
+                return
+            run = self._merge(state, merged)
+            names = {r["name"] for r in merged}
+
+            def replace(now: dict) -> None:
+                if not names <= {r["name"] for r in now["runs"]} or now["reset"] != state["reset"]:
+                    raise Unchanged
+                now["runs"] = [r for r in now["runs"] if r["name"] not in names] + ([run] if run["rows"] else [])
+                now["trash"] = [*now["trash"], sorted(names)][-3:]
+
+            old = [n for batch in state["trash"][:-2] for n in batch]
+            try:
+                self._commit(replace)
+            except Unchanged:  # another writer was faster, or reset the table
+                self._delete(run["name"])
+                continue
+            for name in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+                self._delete(name)
+
+    def _merge(self, state: dict, runs: list[dict]) -> dict:
+        """One run of one row a key, bucketed by it."""
+        run = {"name": f"run={uuid.uuid4().hex}", "level": max(r["level"] for r in runs) + 1, "rows": sum(r["rows"] for r in runs)}
+        run["buckets"] = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows, seen = oldest_rows(self._rows(state, runs)).withColumn("is_reset", F.lit(False)), Observation()
+        rows = rows.select(*MAPPING_SCHEMA.names).observe(seen, F.count("*").alias("n"))
+        (rows.repartition(run["buckets"], "map_key").write.mode("overwrite").format("parquet")
+         .bucketBy(run["buckets"], "map_key").sortBy("map_key")
+         .option("parquet.bloom.filter.enabled#map_key", "true")
+         .option("parquet.bloom.filter.expected.ndv#map_key", str(max(1000, run["rows"] // run["buckets"])))
+         .option("path", f"{self.path}/{run['name']}").saveAsTable(self._table(run["name"])))
+        return run | {"rows": seen.get["n"]}
 
     def live(self) -> DataFrame:
-        return live_mapping(self.read())
+        return oldest_rows(self.read())
+
+    def layers(self) -> list[DataFrame]:
+        """Frames (map_key, fake_value) of one row a key, the first that has a key decides: the base, bucketed by
+        the key, then the other runs together."""
+        state = self.state()
+        base = max((r for r in state["runs"] if r["buckets"]), key=lambda r: r["rows"], default=None)
+        rest = [r for r in state["runs"] if r is not base]
+        out = [] if base is None else [self._rows(state, [base])]
+        out += [oldest_rows(self._rows(state, rest))] if rest or not out else []
+        return [f.select("map_key", "fake_value") for f in out]
 
     def snapshot(self) -> DataFrame:
-        """The live mapping written beside the table, one row per key: what look-ups should join."""
-        path = f"{self.path.rstrip('/')}_live/{self.next_version()}"
-        live = self.live()
-        live.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(live.schema).parquet(path)
+        """The live mapping as one table of one row a key, which is a compaction of all runs."""
+        self.compact(everything=True)
+        state = self.state()
+        return self._rows(state, state["runs"]).drop("is_reset")
+
+
+def _layers(mapping: DataFrame | MappingStore) -> list[DataFrame]:
+    if isinstance(mapping, MappingStore):
+        return mapping.layers()
+    return [live_mapping(mapping).select("map_key", "fake_value")]
+
+
+def hot_keys(rows: DataFrame, key: str = "map_key") -> DataFrame:
+    """Keys that fill a quarter of an average shuffle partition or more: at most four a partition."""
+    share = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.count("*").alias("n"))
+    return rows.groupBy(key).count().where(F.col("count") * share >= total.scalar()).select(key)
+
+
+def join_mapping(rows: DataFrame, mapping: DataFrame | MappingStore, out: str = "cached_value") -> DataFrame:
+    """``rows`` (with ``map_key``) and their stored value, null where there is none.
+
+    ``rows`` are read three times: write them first where they cost much."""
+    hot = hot_keys(rows)
+    few = F.broadcast(hot)
+    common, cold = rows.join(few, "map_key", "left_semi"), rows.join(few, "map_key", "left_anti")
+    found = []
+    for k, layer in enumerate(_layers(mapping)):
+        value = layer.withColumnRenamed("fake_value", f"_v{k}")
+        common = common.join(F.broadcast(value.join(few, "map_key", "left_semi")), "map_key", "left")
+        cold = cold.join(value, "map_key", "left")
+        found.append(F.col(f"_v{k}"))
+    value = F.coalesce(*found) if found else F.lit(None).cast("string")
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return common.select(*names, value.alias(out)).unionByName(cold.select(*names, value.alias(out)))
 
 
-def lookup(span_table: DataFrame, mapping: DataFrame) -> DataFrame:
+def lookup(span_table: DataFrame, mapping: DataFrame | MappingStore) -> DataFrame:
     """Attach ``cached_value`` to a span table (left join on the key)."""
-    m = live_mapping(mapping).select("map_key", F.col("fake_value").alias("cached_value"))
-    return with_map_key(span_table).join(m, "map_key", "left")
+    return join_mapping(with_map_key(span_table), mapping)
 
 
-def route_spans(span_table: DataFrame, mapping: DataFrame | None = None, salt: str = "") -> DataFrame:
+def route_spans(span_table: DataFrame, mapping: DataFrame | MappingStore | None = None, salt: str = "") -> DataFrame:
     """Cached -> mapping value; local type -> generator; else model route."""
     if mapping is None:
         t = with_map_key(span_table).withColumn("cached_value", F.lit(None).cast("string"))

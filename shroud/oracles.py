@@ -14,6 +14,7 @@ from shroud import catalog as C
 from shroud.functions.fakes import DUCK, fake_value_sql, is_likely_person_name_sql, is_relative_time_sql
 from shroud.functions.validators import UBN_WEIGHTS  # noqa: F401  (documented dependency)
 from shroud.operators.gazetteer import GAZETTEER_SCORE, UNSPACED
+from shroud.operators.mapping import MODEL_PROMPT_HEADER
 from shroud.operators.text import BLANK_MARK, LINE_COUNT_CAP, PREVIEW_CHARS, TRUNCATED_MARK
 from shroud.queries import ALL_RULE_IDS, COMMON_OPTIONS, DATE_RULE_IDS, option_types
 from shroud.sources.files import ACCEPTED_EXTENSIONS, LEGACY_TEXT_EXTENSIONS, MAX_FILES
@@ -136,7 +137,7 @@ def batches_items_sql(batch_size: int = 30, buckets: int = 16) -> str:
 
 def model_batches_sql() -> str:
     items = batches_items_sql()
-    header = q("Items to replace (one replacement per line, in order):")
+    header = q(MODEL_PROMPT_HEADER)
     prompts = (f"SELECT batch_id, {header} || chr(10) || string_agg('type=' || entity_type || '; raw=' || raw_txt, chr(10) "
                f"ORDER BY pos) AS prompt FROM ({items}) GROUP BY batch_id")
     return (f"SELECT i.batch_id, i.pos, i.entity_type, i.raw_txt, p.prompt FROM ({items}) i "

@@ -39,7 +39,7 @@ from shroud.operators.mapping import (
     MODEL_TIME_LIMIT,
     MappingStore,
     build_model_batches,
-    live_mapping,
+    join_mapping,
     model_generate,
     model_values,
     new_pairs,
@@ -64,7 +64,7 @@ def detect_documents(df: DataFrame, text_col: str = "text", rules=None, threshol
 
 def deidentify(df: DataFrame, text_col: str = "text", id_col="doc_id", rules=None,
                threshold: float = HANDLER_THRESHOLD, entity_types=None, *, salt: str,
-               mapping: DataFrame | None = None, out: str = "text_deid", extra_spans: str | None = None) -> DataFrame:
+               mapping: DataFrame | MappingStore | None = None, out: str = "text_deid", extra_spans: str | None = None) -> DataFrame:
     """Whole-text de-identification.  Adds ``spans`` (with fake_value
     and route) and ``text_deid``; C03 ``entity_types`` limits what is
     replaced.  ``id_col`` (name or list of names) must identify a row; it
@@ -76,26 +76,26 @@ def deidentify(df: DataFrame, text_col: str = "text", id_col="doc_id", rules=Non
     return d.withColumn(out, F.expr(apply_spans_sql(f"`{text_col}`", "spans")))
 
 
-def _written(d: DataFrame) -> DataFrame:
-    """``d`` written once to the shared folder, so that both branches read it."""
-    path = f"{checkpoint_dir(d.sparkSession)}/shroud-detected-{uuid.uuid4().hex}"
+def written(d: DataFrame, name: str = "detected") -> DataFrame:
+    """``d`` written once to the shared folder, so that all branches read it."""
+    path = f"{checkpoint_dir(d.sparkSession)}/shroud-{name}-{uuid.uuid4().hex}"
     d.write.parquet(path)
     return d.sparkSession.read.schema(d.schema).parquet(path)
 
 
-def _apply_mapping(d: DataFrame, mapping: DataFrame, id_col, spans: str = "spans") -> DataFrame:
+def _apply_mapping(d: DataFrame, mapping: DataFrame | MappingStore, id_col, spans: str = "spans") -> DataFrame:
     """Values of the stored mapping replace generated ones (``id_col``: the columns that identify a row).
 
     The key of a span is joined once per document and key, and rows without a
     span go past the join."""
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    d = _written(d)
+    d = written(d)
     some = F.coalesce(F.size(spans), F.lit(0)) > 0
     key = F.expr(f"transform(`{spans}`, kx -> {map_key_sql(SPARK, 'kx.entity_type', 'kx.raw_txt')})")
     hit, rest = d.where(some), d.where(~some)
     keys = explode_nonempty(hit.select(*ids, F.array_distinct(key).alias("_keys")), ids, "_keys", alias="map_key")
-    found = keys.join(live_mapping(mapping).select("map_key", "fake_value"), "map_key").groupBy(*ids).agg(
-        F.map_from_entries(F.collect_list(F.struct("map_key", "fake_value"))).alias("_cached"))
+    found = join_mapping(keys, mapping).where("cached_value IS NOT NULL").groupBy(*ids).agg(
+        F.map_from_entries(F.collect_list(F.struct("map_key", "cached_value"))).alias("_cached"))
     hit = hit.join(found, ids, "left")
     x = "mpx"
     cached = f"try_element_at(_cached, {map_key_sql(SPARK, f'{x}.entity_type', f'{x}.raw_txt')})"
@@ -129,7 +129,7 @@ def _line_spans(df: DataFrame, text_col: str, rules, threshold: float, entity_ty
 
 
 def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
-                        entity_types=None, *, salt: str, out: str = "text_deid", mapping: DataFrame | None = None,
+                        entity_types=None, *, salt: str, out: str = "text_deid", mapping: DataFrame | MappingStore | None = None,
                         id_col="doc_id") -> DataFrame:
     """Per newline-separated segment (no match crosses a segment),
     blank segments untouched, reassembled in order.  Runs inside the row
@@ -181,7 +181,7 @@ def deidentify_html(pages: DataFrame, *, salt: str, **kw) -> DataFrame:
     return deidentify(pages, text_col="html", id_col="page_id", salt=salt, **kw)
 
 
-def model_values_for(df: DataFrame, make_client: Callable, *, salt: str, mapping: DataFrame | None = None,
+def model_values_for(df: DataFrame, make_client: Callable, *, salt: str, mapping: DataFrame | MappingStore | None = None,
                      text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
                      extra_spans: str | None = None, time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
     """The model's values (map_key, entity_type, raw_txt, fake_value, route) for the spans of ``df`` that take the
@@ -201,7 +201,7 @@ def deidentify_with_model(df: DataFrame, store: MappingStore, make_client: Calla
     values = model_values_for(df, make_client, salt=salt, mapping=store.live(), text_col=text_col, rules=rules,
                               threshold=threshold, extra_spans=extra_spans, time_limit=time_limit)
     store.upsert(None, salt, generated=values)
-    return deidentify(df, text_col, id_col, rules, threshold, salt=salt, mapping=store.snapshot(), extra_spans=extra_spans)
+    return deidentify(df, text_col, id_col, rules, threshold, salt=salt, mapping=store, extra_spans=extra_spans)
 
 
 def with_status(df: DataFrame, text_col: str = "text", out_col: str = "text_deid") -> DataFrame:

@@ -35,6 +35,7 @@ from shroud.plans.deidentify import (
     deidentify_with_model,
     detect_documents,
     with_status,
+    written,
 )
 from shroud.session import checkpoint_dir
 from shroud.sources import files as S

@@ -7,31 +7,90 @@ is just another table.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shroud.functions.spans import explode_nonempty
+from shroud.session import show_package
+from shroud.sources.textfiles import FORMAT, DocumentFiles, _store
+
 # Accepted upload extensions, cap, text extensions.
 ACCEPTED_EXTENSIONS = ("txt", "pdf", "doc", "docx")
 MAX_FILES = 20
 TEXT_EXTENSIONS = ("txt", "csv", "html", "json", "md")
 LEGACY_TEXT_EXTENSIONS = ("txt", "md", "log")
 
-
-def read_text_documents(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """One row per file (path, text).  Strict UTF-8 via the text source;
-    ``lenient`` reads bytes and drops undecodable sequences."""
-    if not lenient:
-        return spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path"), F.pandas_udf(_decode_ignore, "string")("content").alias("text"))
-
-
-def _decode_ignore(content: pd.Series) -> pd.Series:
-    """UTF-8 decoding that drops undecodable bytes but keeps a U+FFFD that the
-    file holds, which Spark's ``make_valid_utf8`` cannot tell apart.  Arrow-batched."""
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
+#: bytes of a file that become one row, and what its neighbours share
+ROW_BYTES = 64 << 20
+OVERLAP = 64 << 10
+
+
+def read_text_documents(spark: SparkSession, path: str, lenient: bool = False, row_bytes: int = ROW_BYTES, overlap: int = OVERLAP) -> DataFrame:
+    """Rows (path, text, part, base, status, error) of files read as UTF-8.
+
+    Strict: a file that is not UTF-8 has a null text, status ``error`` and the reason;
+    the others are read.  ``lenient`` drops undecodable sequences instead.  A file of
+    more than ``row_bytes`` gives several rows, ``part`` 0, 1, ...: byte ranges cut at
+    character boundaries, each with ``overlap`` bytes of its neighbours on either side.
+    Empty files have an empty text.  ``base`` is the number of bytes before the row's text; :func:`own_spans` keeps of the
+    spans found in such a row those that begin in its own range."""
+    show_package(spark)
+    source = spark.read.format("binaryFile").load(path)
+    files = source.select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    # Spark's scans leave empty files out; its listing has them
+    listed = [(uri, unquote(uri).replace("file:///", "file:/")) for uri in source.inputFiles()]
+    empty = spark.createDataFrame(listed, "uri string, path string").join(files, "uri", "left_anti")
+    files = files.select("path", "length").unionByName(empty.select("path", F.lit(0).cast("long").alias("length")))
+    ranges = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / row_bytes).cast("int") - 1, F.lit(0)))
+    parts = files.select("path", "length", F.explode(ranges).alias("part"))
+    parts = parts.repartition("path", "part")
+    decode = _range_reader(row_bytes, overlap, lenient)
+    return parts.mapInArrow(decode, "path string, text string, part int, base long, status string, error string")
+
+
+def _range_reader(row_bytes: int, overlap: int, lenient: bool):
+    def run(batches):
+        for batch in batches:
+            for path, length, part in zip(*(c.to_pylist() for c in batch.columns)):
+                lo, hi = max(part * row_bytes - overlap, 0), min((part + 1) * row_bytes + overlap, length)
+                store, at = _store(path)
+                try:
+                    with store.open_input_file(at) as f:
+                        f.seek(lo)
+                        raw = f.read(hi - lo)
+                    cut = 0
+                    while lo and cut < 4 and cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+                        cut += 1  # the tail of a character of the range before
+                    end = len(raw)
+                    if hi < length:  # the head of a character of the range behind
+                        end -= next((k for k in range(1, 5) if k <= end and raw[end - k] & 0xC0 != 0x80 and not _whole(raw[end - k :])), 0)
+                    text, status, error = raw[cut:end].decode("utf-8", "ignore" if lenient else "strict"), "ok", None
+                    base = lo + cut
+                except (UnicodeDecodeError, OSError) as exc:
+                    text, base, status, error = None, lo, "error", f"{type(exc).__name__}: {exc}"[:500]
+                row = [[path], [text], [part], [base], [status], [error]]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["path", "text", "part", "base", "status", "error"])
+
+    return run
+
+
+def _whole(raw: bytes) -> bool:
+    """Whether bytes that begin a character hold all of it."""
+    first = raw[0]
+    return len(raw) >= (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+
+
+def own_spans(rows: DataFrame, spans_col: str = "spans", text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
+    """The spans of files read in ranges, as rows (path, entity_type, start, end, score, raw_txt) with byte offsets in the
+    file: of a row's spans those that begin in its own range."""
+    at = F.col("base") + F.octet_length(F.expr(f"substring(`{text_col}`, 1, s.start)"))
+    spans = explode_nonempty(rows, ["path", "part", "base", text_col], spans_col, alias="s").withColumn("at", at)
+    own = (F.col("at") >= F.col("part") * F.lit(row_bytes)) & (F.col("at") < (F.col("part") + 1) * F.lit(row_bytes))
+    return spans.where(own).select("path", "s.entity_type", F.col("at").alias("start"), (F.col("at") + F.octet_length("s.raw_txt")).alias("end"), "s.score", "s.raw_txt")
 
 
 def file_name(path) -> F.Column:
@@ -90,13 +149,22 @@ def write_deidentified(df: DataFrame, path: str, fmt: str = "parquet", text_col:
                        path_col: str | None = None) -> None:
     """Write the cleaned documents (create target, overwrite).
 
-    ``fmt="text"`` writes one folder per document, named as S05 says
-    (``path_col`` holds the source path), with the text as its only content."""
-    if fmt == "text":
-        named = output_name(df, path_col or "path", "_name")
-        (named.select("_name", text_col).write.mode("overwrite").option("lineSep", "").partitionBy("_name").text(path))
-    else:
+    ``fmt="files"`` writes one file a document, named as S05 says (``path_col`` holds the
+    source path), with the text byte for byte; ``fmt="text"`` puts each of them into a
+    folder ``_name=<name>`` of its own, which Spark reads back as a column.  Files of
+    other names stay.  Two documents of one name are an error, raised before anything
+    is written."""
+    if fmt not in ("files", "text"):
         df.write.mode("overwrite").format(fmt).save(path)
+        return
+    spark = df.sparkSession
+    show_package(spark)
+    named = output_name(df, path_col or "path", "name").select("name", F.col(text_col).cast("binary").alias("text"))
+    twice = named.groupBy("name").count().where("count > 1").select("name").limit(5).collect()
+    if twice:
+        raise ValueError(f"several documents would be written as {', '.join(sorted(r['name'] for r in twice))}")
+    spark.dataSource.register(DocumentFiles)
+    (named.write.format(FORMAT).mode("append").option("path", path).option("layout", "folders" if fmt == "text" else "flat").save())
 
 
 def result_manifest(files: DataFrame, path_col: str = "path", out_dir: str = "processed",
