@@ -39,11 +39,11 @@ def read_text_documents(spark: SparkSession, path: str, lenient: bool = False, r
     spans found in such a row those that begin in its own range."""
     show_package(spark)
     source = spark.read.format("binaryFile").load(path)
-    files = source.select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    files = source.select("path", "length")
     # Spark's scans leave empty files out; its listing has them
-    listed = [(uri, unquote(uri).replace("file:///", "file:/")) for uri in source.inputFiles()]
-    empty = spark.createDataFrame(listed, "uri string, path string").join(files, "uri", "left_anti")
-    files = files.select("path", "length").unionByName(empty.select("path", F.lit(0).cast("long").alias("length")))
+    listed = [(unquote(uri).replace("file:///", "file:/"),) for uri in source.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files, "path", "left_anti")
+    files = files.unionByName(empty.select("path", F.lit(0).cast("long").alias("length")))
     ranges = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / row_bytes).cast("int") - 1, F.lit(0)))
     parts = files.select("path", "length", F.explode(ranges).alias("part"))
     parts = parts.repartition("path", "part")
