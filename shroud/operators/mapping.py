@@ -22,6 +22,7 @@ of their few values, so no task gets all rows of a hot value.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from shroud.functions.fakes import SPARK, hash_sql, map_key_sql
 from shroud.operators.commitlog import CommitLog, Unchanged
 from shroud.operators.replace import route_sql, routed_fake_sql
+from shroud.session import show_package
 
 MAPPING_SCHEMA = T.StructType(
     [
@@ -419,36 +421,90 @@ def parse_model_batches(batches: DataFrame, response_col: str = "response") -> D
     )
 
 
+class ReplyLedger:
+    """Replies of a model under a shared folder, one file a prompt: a batch that has its reply is not asked again.
+
+    A reply is written under a temporary name and renamed, so it is there whole or not
+    at all.  Reached by ``pyarrow.fs`` from the workers."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _at(self, prompt: str):
+        from shroud.sources.textfiles import _store
+
+        store, root = _store(self.path)
+        key = hashlib.sha256(f"{MODEL_SYSTEM_PROMPT}\n{prompt}".encode()).hexdigest()
+        return store, f"{root}/{key[:2]}", f"{root}/{key[:2]}/{key}"
+
+    def get(self, prompt: str) -> str | None:
+        store, _, at = self._at(prompt)
+        try:
+            with store.open_input_file(at) as f:
+                return f.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def put(self, prompt: str, reply: str) -> None:
+        store, folder, at = self._at(prompt)
+        store.create_dir(folder, recursive=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(reply.encode())
+        store.move(draft, at)
+
+
+#: calls of one task that overran their limit and have not returned; beyond, the task's other batches fall back
+MAX_OVERRUN = 4
+
+
 def model_generate(batches: DataFrame, make_client: Callable[[], Callable[[str, str], str]],
-                   time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
+                   time_limit: float | None = MODEL_TIME_LIMIT, ledger: str | None = None) -> DataFrame:
     """Call a user model per batch inside the executors.
 
     ``make_client()`` runs once per task and returns ``chat(system, user) ->
     str``.  An exception, or no reply within ``time_limit`` seconds, gives an
     empty reply with status ``fallback``; its items keep their raw values and
     are never stored.  A call that overran keeps its thread until it returns;
-    the next batch starts with a new one."""
+    the next batch starts with a new one, while fewer than ``MAX_OVERRUN`` do.
+    ``ledger`` names a shared folder that keeps every reply as soon as it is there:
+    a task that is run again, and a later run, ask no batch a second time."""
+    show_package(batches.sparkSession)
     schema = T.StructType(batches.schema.fields + [T.StructField("response", T.StringType()),
                                                    T.StructField("status", T.StringType())])
 
     def run(it):
         chat = make_client()
-        pool = ThreadPoolExecutor(max_workers=1)
+        kept = ReplyLedger(ledger) if ledger else None
+        pool, overrun = ThreadPoolExecutor(max_workers=1), []
+
+        def ask(prompt: str) -> str | None:
+            nonlocal pool, overrun
+            overrun = [call for call in overrun if not call.done()]
+            if len(overrun) >= MAX_OVERRUN:
+                return None
+            call = pool.submit(chat, MODEL_SYSTEM_PROMPT, prompt)
+            try:
+                return str(call.result(time_limit))
+            except TimeoutError:
+                overrun.append(call)
+                pool.shutdown(wait=False)
+                pool = ThreadPoolExecutor(max_workers=1)
+            except Exception:  # one bad batch must not fail the job
+                pass
+            return None
+
         for pdf in it:
-            responses, status = [], []
+            responses = []
             for prompt in pdf["prompt"]:
-                try:
-                    responses.append(str(pool.submit(chat, MODEL_SYSTEM_PROMPT, prompt).result(time_limit)))
-                    status.append("ok")
-                except TimeoutError:
-                    pool.shutdown(wait=False)
-                    pool = ThreadPoolExecutor(max_workers=1)
-                    responses.append("")
-                    status.append("fallback")
-                except Exception:  # one bad batch must not fail the job
-                    responses.append("")
-                    status.append("fallback")
-            yield pdf.assign(response=pd.Series(responses, dtype=object), status=pd.Series(status, dtype=object))
+                reply = kept.get(prompt) if kept else None
+                if reply is None:
+                    reply = ask(prompt)
+                    if kept and reply is not None:
+                        kept.put(prompt, reply)
+                responses.append(reply)
+            status = ["fallback" if r is None else "ok" for r in responses]
+            yield pdf.assign(response=pd.Series([r or "" for r in responses], dtype=object), status=pd.Series(status, dtype=object))
 
     return batches.mapInPandas(run, schema)
 

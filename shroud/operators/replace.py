@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shroud.catalog import LOCAL_TYPES, ENTITY_ALIASES
 from shroud.functions.fakes import SPARK, fake_value_sql, hash_sql, tagmap_fake_sql
-from shroud.functions.spans import let_sql
+from shroud.functions.spans import let_sql, scan_sql
 from shroud.operators.resolve import order_spans_sql
 
 # Types the legacy per-type replacer generates values for; any
@@ -104,8 +104,12 @@ def replace_per_type(df: DataFrame, text_col: str = "text", spans_col: str = "sp
     raw text and the hash are computed once per span, then the generators
     read the struct fields."""
     x, lst, y, z = "ptx", "ptl", "pty", "ptz"
-    last = f"element_at(filter(`{spans_col}`, {lst} -> {lst}.entity_type = {x}.entity_type), -1).raw_txt"
-    step1 = f"transform(`{spans_col}`, {x} -> named_struct({span_fields(x)}, 'last_raw', {last}))"
+    # the last raw text of each type, once a type and not once a span
+    types = f"array_distinct(transform(`{spans_col}`, {x} -> {x}.entity_type))"
+    per_type = (f"map_from_entries(transform({types}, {y} -> named_struct('t', {y}, 'r', "
+                f"element_at(filter(`{spans_col}`, {lst} -> {lst}.entity_type = {y}), -1).raw_txt)))")
+    last = f"try_element_at(ptm, {x}.entity_type)"
+    step1 = let_sql(per_type, "ptm", f"transform(`{spans_col}`, {x} -> named_struct({span_fields(x)}, 'last_raw', {last}))")
     h = hash_sql(SPARK, f"{y}.entity_type", f"{y}.last_raw", salt, f"CAST(`{id_col}` AS STRING)")
     step2 = f"transform({step1}, {y} -> named_struct({span_fields(y)}, 'last_raw', {y}.last_raw, 'h', {h}))"
     val = legacy_fake_sql(f"{z}.entity_type", f"{z}.last_raw", f"{z}.h")
@@ -117,11 +121,15 @@ def length_preserving_sql(spans: str, salt: str = "", v: str = "lp") -> str:
     """Value chosen per raw text by its best-scoring span (O02), made
     by the tag-map generators, cut / space-padded to the original length;
     ORGANIZATION kept.  Best type and hash are computed once per span."""
-    x, y, z, a, b = f"{v}x", f"{v}y", f"{v}z", f"{v}a", f"{v}b"
-    best = (f"element_at(array_sort(filter({spans}, {y} -> {y}.raw_txt = {x}.raw_txt), ({a}, {b}) -> "
-            f"CASE WHEN {a}.score > {b}.score THEN -1 WHEN {a}.score < {b}.score THEN 1 "
-            f"WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 ELSE 0 END), 1).entity_type")
-    typed = f"transform({spans}, {x} -> named_struct({span_fields(x)}, 'best_type', {best}))"
+    x, z, a, b, s, h, i = (f"{v}{k}" for k in ("x", "z", "a", "b", "s", "h", "i"))
+    # spans in runs of one raw text, the best of a run first; every span looks at its run's head
+    order = (f"CASE WHEN {a}.raw_txt < {b}.raw_txt THEN -1 WHEN {a}.raw_txt > {b}.raw_txt THEN 1 "
+             f"WHEN {a}.score > {b}.score THEN -1 WHEN {a}.score < {b}.score THEN 1 "
+             f"WHEN {a}.start < {b}.start THEN -1 WHEN {a}.start > {b}.start THEN 1 ELSE 0 END")
+    first = f"transform({s}, ({x}, {i}) -> CASE WHEN {i} > 0 AND {s}[greatest({i} - 1, 0)].raw_txt = {x}.raw_txt THEN 0 ELSE {i} END)"
+    heads = scan_sql(first, f"greatest({v}ql, {v}qr)", "0", f"{v}q")
+    runs = f"zip_with({s}, {heads}, ({x}, {h}) -> named_struct({span_fields(x)}, 'best_type', {s}[{h}].entity_type))"
+    typed = let_sql(f"array_sort({spans}, ({a}, {b}) -> {order})", s, runs)
     hashed = (f"transform({typed}, {x} -> named_struct({span_fields(x)}, 'best_type', {x}.best_type, "
               f"'h', {hash_sql(SPARK, f'{x}.best_type', f'{x}.raw_txt', salt)}))")
     gen = tagmap_fake_sql(SPARK, f"{z}.best_type", f"{z}.raw_txt", f"{z}.h")

@@ -328,6 +328,12 @@ def oracle_sql() -> dict[str, str]:
     d["detect_documents"] = spans_sql("documents", threshold=C.DEFAULT_THRESHOLD, resolve=True)
     d["deidentify_documents"] = splice(DOCS, with_fake(resolved("documents")), "doc_id")
     d["deidentify_stream"] = d["deidentify_documents"]
+    mails = spans_sql("customer", ["D30"], threshold=None)
+    d["document_isolation"] = ("SELECT c.id AS doc_id, CASE WHEN c.id = m.id THEN NULL ELSE (SELECT count(*) FROM "
+                               f"({mails}) s WHERE s.doc_id = c.id) END AS n_spans, CASE WHEN c.id = m.id THEN 'error' ELSE 'ok' END AS status "
+                               f"FROM {CUST} c, (SELECT min(c_custkey) AS id FROM customer) m")
+    d["text_files"] = ("SELECT concat('doc ', doc_id, '_deid.txt') AS file, 'ok' AS status, sha256(text) AS sha256 "
+                       "FROM documents WHERE text IS NOT NULL")
     d["deidentify_pages"] = splice("(SELECT page_id AS id, html AS text FROM pages)",
                                    with_fake(detect_duck("(SELECT page_id AS id, html AS text FROM pages)", C.default_rules(),
                                                          threshold=C.HANDLER_THRESHOLD, resolve=True)), "page_id")

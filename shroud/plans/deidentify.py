@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.catalog import DEFAULT_THRESHOLD, HANDLER_THRESHOLD, default_rules
 from shroud.functions.fakes import SPARK, map_key_sql
-from shroud.functions.spans import explode_nonempty
+from shroud.functions.spans import explode_nonempty, scan_sql
 from shroud.functions.trigger import trigger_sql
 from shroud.operators.detect import (
     TRIGGER_COL,
@@ -150,17 +152,15 @@ def deidentify_segments(df: DataFrame, text_col: str = "text", rules=None, thres
     return d.withColumn(out, F.expr(joined)).drop("_lines")
 
 
-def _map_lines(d: DataFrame, mapping: DataFrame, id_col) -> DataFrame:
-    """Stored values for the spans of every line: the lines' spans are numbered, mapped as one list, and dealt back."""
-    flat = (f"flatten(transform(_lines, (ml, mi) -> transform(ml.sp, ms -> named_struct({span_fields('ms')}, "
-            f"'fake_value', ms.fake_value, 'route', ms.route, 'line', mi))))")
+def _map_lines(d: DataFrame, mapping: DataFrame | MappingStore, id_col) -> DataFrame:
+    """Stored values for the spans of every line: the lines' spans are mapped as one list, of which each line takes its stretch."""
     columns = d.columns
-    d = d.withColumn("_all", F.expr(f"coalesce({flat}, array())"))
-    d = d.withColumn("_mapped", F.expr(f"CAST(transform(_all, ms -> named_struct({span_fields('ms')}, "
-                                       f"'fake_value', ms.fake_value, 'route', ms.route)) AS {REPL_DDL})"))
+    flat = "flatten(transform(_lines, ml -> ml.sp))"
+    ends = scan_sql("transform(_lines, ml -> size(ml.sp))", "mel + mer", "0", "me")
+    d = d.withColumns({"_mapped": F.expr(f"CAST(coalesce({flat}, array()) AS {REPL_DDL})"), "_ends": F.expr(f"CASE WHEN _lines IS NOT NULL THEN {ends} END")})
     d = _apply_mapping(d, mapping, id_col, "_mapped")
-    back = ("transform(_lines, (ml, mi) -> named_struct('t', ml.t, 'sp', transform(filter(zip_with(_all, _mapped, "
-            "(za, zm) -> named_struct('line', za.line, 'm', zm)), zx -> zx.line = mi), zx -> zx.m)))")
+    back = ("transform(_lines, (ml, mi) -> named_struct('t', ml.t, 'sp', CASE WHEN size(ml.sp) = 0 THEN ml.sp "
+            "ELSE slice(_mapped, _ends[mi] - size(ml.sp) + 1, size(ml.sp)) END))")
     return d.withColumn("_lines", F.expr(back)).select(*columns)
 
 
@@ -183,14 +183,14 @@ def deidentify_html(pages: DataFrame, *, salt: str, **kw) -> DataFrame:
 
 def model_values_for(df: DataFrame, make_client: Callable, *, salt: str, mapping: DataFrame | MappingStore | None = None,
                      text_col: str = "text", rules=None, threshold: float = HANDLER_THRESHOLD,
-                     extra_spans: str | None = None, time_limit: float | None = MODEL_TIME_LIMIT) -> DataFrame:
+                     extra_spans: str | None = None, time_limit: float | None = MODEL_TIME_LIMIT, ledger: str | None = None) -> DataFrame:
     """The model's values (map_key, entity_type, raw_txt, fake_value, route) for the spans of ``df`` that take the
     model route and are not in ``mapping``: L00 -> A10 -> A12 -> A11.  Write them once, e.g. with
     ``MappingStore.upsert(None, generated=...)``, and de-identify with the store."""
     found = detect_documents(df, text_col, rules, threshold, extra_spans=extra_spans)
     spans = explode_nonempty(found, [], "spans", alias="s").select("s.entity_type", "s.raw_txt")
     pairs = new_pairs(spans.where(F.expr(route_sql("entity_type")) == "model"), mapping)
-    return model_values(model_generate(build_model_batches(pairs), make_client, time_limit))
+    return model_values(model_generate(build_model_batches(pairs), make_client, time_limit, ledger))
 
 
 def deidentify_with_model(df: DataFrame, store: MappingStore, make_client: Callable, *, salt: str, text_col: str = "text",
@@ -205,13 +205,70 @@ def deidentify_with_model(df: DataFrame, store: MappingStore, make_client: Calla
 
 
 def with_status(df: DataFrame, text_col: str = "text", out_col: str = "text_deid") -> DataFrame:
-    """Per-document failure isolation -- a row without text gets status
-    'error' and a message, the others 'ok'; native expressions cannot fail
-    per row, Python hooks capture their own errors."""
+    """Per-document status -- a row without text gets status 'error' and a
+    message, the others 'ok'.  Rows that make a plan fail: see ``isolated``."""
     bad = F.col(text_col).isNull()
     return df.withColumn("status", F.when(bad, "error").otherwise("ok")).withColumn(
         "error", F.when(bad, F.lit("no text")).otherwise(F.lit(None).cast("string")))
 
 
+ISOLATION_CELLS = 1 << 20
+ISOLATION_WAYS = 8
+
+
+def isolated(df: DataFrame, plan: Callable[[DataFrame], DataFrame], text_col: str = "text",
+             max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``plan(df)`` without the rows that make it fail, and those rows with ``error``.
+
+    The plan runs over all rows and writes its result.  Where it fails, the rows are cut
+    in eight by a hash of theirs, which run side by side, and so on with those that fail:
+    a guilty row is found in as many steps as the number of rows has octal digits (seven
+    at most), each over an eighth of the rows of the one before.  Rows that a hash of
+    twenty bits can't tell apart go together.  Every attempt plans anew, which takes seconds
+    for the full catalog with its generators: give ``isolated`` the step that fails.  Texts longer than ``max_chars`` are not tried:
+    what exhausts a task's stack or memory ends its executor and can't be caught.
+    Only failures of the plan's tasks lead to cutting; an error in the plan itself is raised."""
+    spark = df.sparkSession
+    base = f"{checkpoint_dir(spark)}/shroud-isolated-{uuid.uuid4().hex}"
+    cell = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(ISOLATION_CELLS))
+    df.withColumn("_cell", cell).write.parquet(f"{base}/in")
+    rows = spark.read.parquet(f"{base}/in")
+    schema = plan(df).schema
+    guilty: list[DataFrame] = []
+    if max_chars is not None:
+        long = F.coalesce(F.length(f"`{text_col}`") > max_chars, F.lit(False))
+        guilty.append(rows.where(long).withColumn("error", F.lit(f"text of more than {max_chars} characters")))
+        rows = rows.where(~long)
+    done: list[str] = []
+
+    def attempt(cells: tuple[int, int]) -> list[tuple[int, int]]:
+        """Run the plan over a range of cells; the smaller ranges to try where it fails."""
+        lo, hi = cells
+        part, out = rows.where(F.col("_cell").between(lo, hi - 1)), f"{base}/out/{lo}-{hi}"
+        try:
+            plan(part.drop("_cell")).write.mode("overwrite").parquet(out)
+            done.append(out)
+            return []
+        except AnalysisException:
+            raise
+        except Exception as exc:  # Spark names the failure of a task in several classes
+            first, last = part.agg(F.min("_cell"), F.max("_cell")).first()
+            if first == last:
+                guilty.append(part.withColumn("error", F.lit(f"{type(exc).__name__}: {exc}"[:500])))
+                return []
+            step = -(-(last + 1 - first) // ISOLATION_WAYS)
+            return [(k, min(k + step, last + 1)) for k in range(first, last + 1, step)]
+
+    todo = [(0, ISOLATION_CELLS)]
+    with ThreadPoolExecutor(ISOLATION_WAYS) as pool:
+        while todo:
+            todo = [cells for found in pool.map(attempt, todo) for cells in found]
+    good = spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+    bad = rows.where("false").withColumn("error", F.lit(None).cast("string"))
+    for part in guilty:
+        bad = bad.unionByName(part)
+    return good, bad.drop("_cell")
+
+
 __all__ = ["detect_documents", "deidentify", "deidentify_segments", "deidentify_layout", "deidentify_html",
-           "model_values_for", "deidentify_with_model", "with_status", "route_sql"]
+           "model_values_for", "deidentify_with_model", "with_status", "isolated", "written", "route_sql"]

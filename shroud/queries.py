@@ -34,6 +34,7 @@ from shroud.plans.deidentify import (
     deidentify_segments,
     deidentify_with_model,
     detect_documents,
+    isolated,
     with_status,
     written,
 )
@@ -439,6 +440,31 @@ def q_status(spark, sf):
     return d.select("doc_id", "status", "error")
 
 
+def q_isolation(spark, sf):
+    """The customer corpus, in which the text of one customer makes the plan fail: every other row, and an error row."""
+    corpus = cust(spark, sf)
+    first = corpus.agg(F.min("doc_id")).scalar()
+    corpus = corpus.withColumn("text", F.when(F.col("doc_id") == first, F.lit("poison")).otherwise(F.col("text")))
+
+    def plan(d):
+        fails = F.when(F.col("text") == "poison", F.raise_error(F.lit("cannot be read"))).otherwise(F.col("text"))
+        found = detect(d.withColumn("text", fails), rules=C.rules_by_id("D30"), threshold=None)
+        return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"))
+
+    good, bad = isolated(corpus, plan)
+    ok = good.select("doc_id", "n_spans", F.lit("ok").alias("status"))
+    return ok.unionByName(bad.select("doc_id", F.lit(None).cast("long").alias("n_spans"), F.lit("error").alias("status")))
+
+
+def q_text_files(spark, sf):
+    """Every document written as a file of its own and read back."""
+    path = f"{checkpoint_dir(spark)}/shroud-files-{uuid.uuid4().hex}"
+    named = table(spark, sf, "documents").select(F.format_string("/in/doc %d.txt", "doc_id").alias("path"), F.col("text").alias("text_deid"))
+    S.write_deidentified(spread(named, scan_width(spark)), path, fmt="files")
+    back = S.read_text_documents(spark, path).where(~F.col("path").endswith("_SUCCESS"))
+    return back.select(S.file_name(F.col("path")).alias("file"), "status", F.sha2("text", 256).alias("sha256"))
+
+
 # ---------------------------------------------------------------- text
 def q_segments(spark, sf):
     s = segment_text(docs(spark, sf))
@@ -585,6 +611,7 @@ def queries() -> dict[str, Query]:
         "deidentify_with_mapping": q_deidentify_with_mapping,
         "deidentify_stream": q_deidentify_stream,
         "document_status": q_status,
+        "document_isolation": q_isolation,
         # text (T01-T04)
         "segments": q_segments,
         "segment_roundtrip": q_segment_roundtrip,
@@ -595,6 +622,7 @@ def queries() -> dict[str, Query]:
         "classify_file_type_legacy": q_classify("legacy"),
         "select_input_files": q_select_files,
         "output_name": q_output_name,
+        "text_files": q_text_files,
         "manifest": q_manifest,
         "export_list": q_export_list,
         # reports (R01-R05)
