@@ -185,7 +185,8 @@ def classify_expr(variant: str) -> str:
 
 
 def manifest_sql() -> str:
-    files = f"SELECT arrival AS id, path, CASE WHEN arrival % 23 = 5 THEN NULL ELSE text END AS text FROM ({file_listing_sql()})"
+    files = (f"SELECT arrival AS id, path, text FROM ({file_listing_sql()}) UNION ALL "
+             "SELECT -doc_id - 1000000, concat('/in/forms/f', doc_id, '.txt'), text FROM forms_corpus")
     deid = splice(f"({files})", with_fake(detect_duck(f"({files})", C.default_rules(), threshold=C.HANDLER_THRESHOLD, resolve=True)))
     failed = "d.text_deid IS NULL"
     return (f"SELECT f.path AS src, CASE WHEN {failed} THEN {NAME.replace('path', 'f.path')} ELSE {output_name_expr().replace('path', 'f.path')} END AS file_name, "
