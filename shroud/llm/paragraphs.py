@@ -4,22 +4,26 @@ A paragraph is a piece of text that ends with a line or a sentence, as a set of
 ``k``-word shingles (fewer words: the whole piece), lower-cased.  Short pieces
 keep passages findable that were pasted into the middle of other lines.
 
-1. Equal paragraphs are one class (sum and number of the distinct shingles); each
-   task sends only the first of a class in a block, and the others without bands.
+1. Equal paragraphs are one class (64-bit sum and number of the distinct shingles);
+   each task shows bands for the first of a class in a block only.
 2. MinHash bands of ``rows`` values each; ``tune`` takes the fewest bands that
    reach ``recall`` at the similarity limit.  Two sets of fewer than
    sim / (1 - sim) shingles can only be that similar if they are equal, so such
    paragraphs need no bands.
-3. Paragraphs that share a band are compared: the sets are read again from the
-   texts of those paragraphs only, and every pair of a band group is verified by
-   its exact Jaccard similarity inside one task, which emits a spanning set of
-   links (no pairs of a group are emitted).
+3. Paragraphs that share a band are compared: the sets are read again from one place
+   of each class, and the sets of a cell are joined by their exact Jaccard similarity
+   over rare shingles.  A cell gives out a spanning set of links, no pairs.  A band of
+   more than ``cell_shingles`` shingles is cut into chunks, each two of which are a
+   cell, so a hot band goes to many tasks and none holds more than two chunks.
 4. Components of links and equal paragraphs; all but the first paragraph (smallest
    document, then place) of a component are marked.  Neighbouring marked
    paragraphs of a document form a removal if they have ``min_words`` words or more.
 
 Texts that are null or without words have no paragraphs.  Rows without an id are
-left as they are.  Rows that repeat an id are the same document.
+left as they are.  Rows that repeat an id are the same document.  Texts are read
+whole, one at a time, however long.  Ties do not arise: places are distinct.  Only
+``doc_id`` and ``text`` are read, so extra columns cannot clash.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from shroud.llm.components import connected_components
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
-_NO_BAND = np.int64(0)
+PLACE = ("key", "doc", "no", "begin", "end", "n")
 
 
 def tune(sim: float, recall: float, background: float = 0.05) -> tuple[int, int]:
@@ -119,15 +123,26 @@ def band_values(sets: np.ndarray, heads: np.ndarray, bands: int, rows: int) -> n
     return np.where(out == 0, np.uint64(1), out).view(np.int64)
 
 
-def _find(k: int, bands: int, rows: int, least: int):
-    """Step 1 over (doc, text): rows (key, doc, no, begin, end, bands); bands is empty where not needed."""
+def _find(k: int, bands: int, rows: int, least: int, block: int = 100_000):
+    """Step 1 over (doc, text): rows (key, doc, no, begin, end, n, bands), given out every ``block`` paragraphs.
+
+    ``bands`` is empty where not needed: in small sets, and in all but the first of a class in a block."""
+
+    def table(got: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+        flat = {c: np.concatenate(v) for c, v in got.items()}
+        _, head = np.unique(flat["key"], return_index=True)
+        first = np.zeros(len(flat["key"]), dtype=bool)
+        first[head] = True
+        shown = first & (flat["n"] >= least)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(shown, bands, 0))), type=pa.int32()), pa.array(flat["bands"][shown].ravel()))
+        return pa.RecordBatch.from_arrays([*(pa.array(flat[c]) for c in PLACE), lists], names=[*PLACE, "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Words()
+        got, held = {c: [] for c in (*PLACE, "bands")}, 0
         for batch in batches:
-            got = {c: [] for c in ("key", "doc", "no", "begin", "end", "n", "bands")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, ends = pieces(text)
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                words, ends = pieces(text.as_py())
                 if not words:
                     continue
                 sets, owner = shingle_sets(words, ends, k, look)
@@ -136,64 +151,22 @@ def _find(k: int, bands: int, rows: int, least: int):
                 with np.errstate(over="ignore"):
                     key = np.add.reduceat(sets, heads) * _BASE + n.astype(np.uint64)
                 got["key"].append(key.view(np.int64))
-                got["doc"].append(np.full(len(ends), doc, dtype=np.int64))
+                got["doc"].append(np.full(len(ends), doc.as_py(), dtype=np.int64))
                 got["no"].append(np.arange(len(ends)))
                 got["begin"].append(np.append(0, ends[:-1]))
                 got["end"].append(ends)
                 got["n"].append(n)
                 got["bands"].append(band_values(sets, heads, bands, rows))
-            if not got["key"]:
-                continue
-            flat = {c: np.concatenate(v) for c, v in got.items()}
-            # the first of a class in this block carries the bands
-            order = np.lexsort((flat["no"], flat["doc"], flat["key"]))
-            sorted_key = flat["key"][order]
-            first = np.zeros(len(order), dtype=bool)
-            first[order[np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])]] = True
-            shown = first & (flat["n"] >= least)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(shown, bands, 0))), type=pa.int32()), pa.array(flat["bands"][shown].ravel()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(flat[c]) for c in ("key", "doc", "no", "begin", "end")), lists], names=["key", "doc", "no", "begin", "end", "bands"])
+                held += len(ends)
+                if held >= block:
+                    yield table(got)
+                    got, held = {c: [] for c in (*PLACE, "bands")}, 0
+        if held:
+            yield table(got)
 
     return run
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 over whole classes: the rows that show bands, and all members of classes with several; ``members`` counts their places."""
-    got = list(batches)
-    if not any(b.num_rows for b in got):
-        return
-    table = pa.Table.from_batches(got).combine_chunks()
-    key, doc, no = (table.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((no, doc, key))
-    k, d, p = key[order], doc[order], no[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    same = np.concatenate([[False], (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (p[1:] == p[:-1])])  # repeated rows
-    start = np.flatnonzero(head)
-    size = np.diff(np.append(start, len(k)))
-    real = np.add.reduceat((~same).astype(np.int64), start)
-    members = np.repeat(real, size)
-    filled = np.diff(table.column("bands").combine_chunks().offsets.to_numpy()) > 0
-    keep = (~same & (members > 1)) | filled[order]
-    out = table.take(pa.array(order[keep])).combine_chunks()
-    yield pa.RecordBatch.from_arrays([*(out.column(i).combine_chunks() for i in range(6)), pa.array(members[keep])], names=["key", "doc", "no", "begin", "end", "bands", "members"])
-
-
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key) of bands that several classes share."""
-    got = list(batches)
-    if not any(b.num_rows for b in got):
-        return
-    table = pa.Table.from_batches(got)
-    band, key = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.lexsort((key, band))
-    band, key = band[order], key[order]
-    new = np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])])  # a class may show its bands twice
-    band, key = band[new], key[new]
-    start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-    many = np.repeat(np.diff(np.append(start, len(band))) > 1, np.diff(np.append(start, len(band))))
-    yield pa.RecordBatch.from_arrays([pa.array(band[many]), pa.array(key[many])], names=["band", "key"])
-
-
 def _read_sets(k: int):
     """(key, shingles) of asked paragraphs of (text, asked)."""
 
@@ -213,79 +186,131 @@ def _read_sets(k: int):
     return run
 
 
+def span_links(keys: np.ndarray, sets: list[np.ndarray], sim: float) -> list[tuple[int, int]]:
+    """Links of Jaccard similarity ``sim`` or more that span the components of all such links between ``sets``.
+
+    Exact: shingles are ordered by how many sets have them, the rarest first, and two
+    sets that similar share one of their first n - ceil(sim * n) + 1.  Sets already in
+    one component are not compared."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    token, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    start = np.cumsum(size) - size
+    order = np.lexsort((ids, count[ids], owner))
+    ids = ids[order]  # of each set, the rarest first
+    prefix = size - np.ceil(sim * size - 1e-9).astype(np.int64) + 1
+    lead = np.flatnonzero(np.arange(len(ids)) - start[owner] < prefix[owner])
+    by = lead[np.lexsort((owner[lead], ids[lead]))]
+    holders, first = owner[by], np.searchsorted(ids[by], np.arange(len(token) + 1))
+    label, members = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
+    mark = np.zeros(len(token), dtype=bool)
+    links = []
+    for i in range(len(sets)):
+        own = ids[start[i] : start[i] + size[i]]
+        mark[own] = True
+        for t in own[: prefix[i]].tolist():
+            near = holders[first[t] : first[t + 1]]
+            near = near[(near < i) & (label[near] != label[i])]
+            near = near[(size[near] >= sim * size[i]) & (size[i] >= sim * size[near])]
+            while len(near):
+                now, near = near[-64:], near[:-64]
+                width = size[now]
+                at = np.repeat(start[now] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                both = np.add.reduceat(mark[ids[at]].astype(np.int64), np.cumsum(width) - width)
+                for j in now[both >= sim * (size[i] + width - both) - 1e-9].tolist():
+                    a, b = label[i], label[j]
+                    if a == b:
+                        continue
+                    links.append((int(keys[i]), int(keys[j])))
+                    if len(members[a]) > len(members[b]):
+                        a, b = b, a
+                    label[members[a]] = b  # the smaller one is renamed
+                    members[b] += members.pop(a)
+                near = near[label[near] != label[i]]
+        mark[own] = False
+    return links
+
+
 def _verify(sim: float):
-    """Spanning links of each band group of sorted rows (band, key, shingles)."""
-
-    def group_links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        parent = list(range(len(keys)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        links = []
-        size = np.array([len(s) for s in sets])
-        for i in range(1, len(keys)):
-            near = np.flatnonzero((size[:i] >= sim * size[i]) & (size[i] >= sim * size[:i]))
-            for j in near[::-1].tolist():
-                a, b = root(i), root(j)
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both >= sim * (size[i] + size[j] - both):
-                    parent[a] = b
-                    links.append((keys[i], keys[j]))
-        return links
+    """Spanning links of each cell of rows (band, low, high, key, shingles) sorted by cell; one cell is held at a time."""
+
+    def table(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        out = np.array(span_links(np.array(keys), sets, sim) if len(keys) > 1 else [], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, keys, sets = None, [], []
+        cell, keys, sets = None, [], []
         for batch in batches:
-            out = []
-            for b, key, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if b != band:
-                    out += group_links(keys, sets)
-                    band, keys, sets = b, [], []
-                if not keys or keys[-1] != key:
-                    keys.append(key)
-                    sets.append(s.values.to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["a", "b"])
-        out = group_links(keys, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.int64()), pa.array([y for _, y in out], type=pa.int64())], names=["a", "b"])
+            for band, low, high, key, s in zip(*(batch.column(i).to_numpy() for i in range(4)), batch.column(4)):
+                if (band, low, high) != cell:
+                    if len(keys) > 1:
+                        yield table(keys, sets)
+                    cell, keys, sets = (band, low, high), [], []
+                keys.append(key)
+                sets.append(s.values.to_numpy().copy())
+        if len(keys) > 1:
+            yield table(keys, sets)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: float = 0.995, min_words: int = 20) -> DataFrame:
+def cells(shared: DataFrame, cell_shingles: int) -> DataFrame:
+    """Rows (band, low, high, key): who is compared with whom, from distinct (band, key, n).
+
+    A band of up to ``cell_shingles`` shingles is one cell.  A larger one is cut into
+    chunks by the key, and every two chunks meet in a cell: any two sets of a band are
+    in one cell, and no cell grows with the band."""
+    total = shared.groupBy("band").agg(F.ceil(F.sum("n") / cell_shingles).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("key"), F.col("chunks"))
+    cut = shared.join(total, "band").select("band", "key", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    return cut.select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "key")
+
+
+def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: float = 0.995, min_words: int = 20, cell_shingles: int = 1 << 19) -> DataFrame:
     """Removals (doc_id, begin, end in words, n_paragraphs, kept_in: the documents that keep the text)."""
     scratch = Scratch(docs.sparkSession, "paragraphs")
     bands, rows = tune(sim, recall)
     least = math.ceil(sim / (1 - sim) - 1e-9)
     base = project(docs, doc="doc_id", text="text").withColumn("doc", F.col("doc").cast("long")).where("doc is not null and text is not null")
-    schema = "key long, doc long, no long, begin long, end long, bands array<long>"
-    found = base.mapInArrow(_find(k, bands, rows, least), schema)
-    classes = scratch.write(found.repartition("key").mapInArrow(_classes, schema + ", members long"), "classes")
+    schema = "key long, doc long, no long, begin long, end long, n long, bands array<long>"
+    found = scratch.write(base.mapInArrow(_find(k, bands, rows, least), schema), "found")
+    # 2: bands that several classes share
+    sent = found.where("size(bands) > 0").select(F.explode("bands").alias("band"), "key", "n")
+    hit = sent.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
+    shared = scratch.write(sent.join(hit, "band", "left_semi").distinct(), "shared")
     scratch.release()
-    shared = classes.where("size(bands) > 0").select(F.explode("bands").alias("band"), "key")
-    shared = scratch.write(shared.repartition("band").mapInArrow(_collide, "band long, key long"), "shared")
-    scratch.release()
-    asked = classes.where("size(bands) > 0").join(shared.select("key").distinct(), "key", "left_semi")
-    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "begin", "end")).alias("asked"))
+    # 3: one place of each class in them is read again
+    wanted = found.where("size(bands) > 0").join(shared.select("key").distinct(), "key", "left_semi")
+    wanted = wanted.groupBy("key").agg(F.min(F.struct("doc", "no", "begin", "end")).alias("at")).select("key", "at.*")
+    asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "begin", "end")).alias("asked"))
     sets = base.join(asked, "doc").select("text", "asked").mapInArrow(_read_sets(k), "key long, shingles array<long>")
     sets = scratch.write(sets.dropDuplicates(["key"]), "sets")
     scratch.release()
-    grouped = shared.join(sets, "key").select("band", "key", "shingles").repartition("band").sortWithinPartitions("band", "key")
-    links = scratch.write(grouped.mapInArrow(_verify(sim), "a long, b long"), "links")
-    comp = connected_components(links, scratch)
-    units = classes.select("key", "doc", "no", "begin", "end", "members").join(comp.withColumnRenamed("node", "key"), "key", "left")
-    units = units.where("members > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
-    units = scratch.write(units.select("component", "doc", "no", "begin", "end"), "units")
-    first = units.groupBy("component").agg(F.min(F.struct("doc", "no")).alias("keeper"))
-    marked = units.join(first, "component").where(F.struct("doc", "no") != F.col("keeper")).select("doc", "no", "begin", "end", F.col("keeper.doc").alias("kept_in")).distinct()
-    island = F.col("no") - F.row_number().over(W.partitionBy("doc").orderBy("no"))
+    grouped = cells(shared, cell_shingles).join(sets, "key").select("band", "low", "high", "key", "shingles")
+    grouped = grouped.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    links = scratch.write(grouped.mapInArrow(_verify(sim), "a long, b long").distinct(), "links")
+    scratch.drop("shared")
+    scratch.drop("sets")
+    scratch.release()
+    # 4: classes with several places, or with a link
+    comp = connected_components(links, scratch).withColumnRenamed("node", "key")
+    ends = [F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.min("no").alias("least_no"), F.max("no").alias("most_no")]
+    classes = found.groupBy("key").agg(*ends).join(comp, "key", "left")
+    classes = classes.where("component is not null or first_doc <> last_doc or least_no <> most_no").select("key", "component", "first_doc")
+    classes = scratch.write(classes, "classes")
+    scratch.release()
+    joined = classes.where("component is not null")
+    joined = joined.join(joined.groupBy("component").agg(F.min("first_doc").alias("keeper")), "component").select("key", "component", "keeper")
+    alone = classes.where("component is null").select("key", F.col("key").alias("component"), F.col("first_doc").alias("keeper"))
+    places = found.select("key", "doc", "no", "begin", "end").join(alone.union(joined), "key")
+    # by document from here: the component's first place in the document that keeps it stays
+    places = places.select("doc", "no", "begin", "end", "component", "keeper").repartition("doc").distinct()
+    nth = F.dense_rank().over(W.partitionBy("doc", "component").orderBy("no"))
+    marked = places.withColumn("nth", nth).where("doc <> keeper or nth > 1")
+    marked = marked.groupBy("doc", "no", "begin", "end").agg(F.min("keeper").alias("keeper"))
+    island = F.col("no") - F.row_number().over(W.partitionBy("doc").orderBy("no", "end"))
     runs = marked.withColumn("island", island).groupBy("doc", "island")
-    runs = runs.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set("kept_in")).alias("kept_in"))
+    runs = runs.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set("keeper")).alias("kept_in"))
     return runs.where(F.col("end") - F.col("begin") >= min_words).select(F.col("doc").alias("doc_id"), "begin", "end", "n_paragraphs", "kept_in")
 
 
