@@ -123,46 +123,49 @@ def band_values(sets: np.ndarray, heads: np.ndarray, bands: int, rows: int) -> n
     return np.where(out == 0, np.uint64(1), out).view(np.int64)
 
 
-def _find(k: int, bands: int, rows: int, least: int, block: int = 100_000):
-    """Step 1 over (doc, text): rows (key, doc, no, begin, end, n, bands), given out every ``block`` paragraphs.
+def _find(k: int, bands: int, rows: int, least: int, block: int = 400_000):
+    """Step 1 over (doc, text): rows (key, doc, no, begin, end, n, bands), worked out for about ``block`` words at once.
 
     ``bands`` is empty where not needed: in small sets, and in all but the first of a class in a block."""
 
-    def table(got: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
-        flat = {c: np.concatenate(v) for c, v in got.items()}
-        _, head = np.unique(flat["key"], return_index=True)
-        first = np.zeros(len(flat["key"]), dtype=bool)
-        first[head] = True
-        shown = first & (flat["n"] >= least)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(shown, bands, 0))), type=pa.int32()), pa.array(flat["bands"][shown].ravel()))
-        return pa.RecordBatch.from_arrays([*(pa.array(flat[c]) for c in PLACE), lists], names=[*PLACE, "bands"])
+    def table(docs: list[int], texts: list[np.ndarray], words: list[str], look: _Words) -> pa.RecordBatch:
+        many = np.array([len(e) for e in texts])
+        last = np.array([e[-1] for e in texts])
+        base = np.repeat(np.cumsum(last) - last, many)  # words before the document in this block
+        end = np.concatenate(texts)
+        begin = np.append(0, end[:-1])
+        place = np.arange(len(end)) - np.repeat(np.cumsum(many) - many, many)
+        begin[place == 0] = 0
+        sets, owner = shingle_sets(words, base + end, k, look)
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        n = np.diff(np.append(heads, len(sets)))
+        with np.errstate(over="ignore"):
+            key = (np.add.reduceat(sets, heads) * _BASE + n.astype(np.uint64)).view(np.int64)
+        shown = np.zeros(len(key), dtype=bool)
+        shown[np.unique(key, return_index=True)[1]] = True
+        shown &= n >= least
+        width = n[shown]
+        hashes = band_values(sets[np.repeat(shown, n)], np.cumsum(width) - width, bands, rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(shown, bands, 0))), type=pa.int32()), pa.array(hashes.ravel()))
+        flat = (key, np.repeat(np.array(docs, dtype=np.int64), many), place, begin, end, n)
+        return pa.RecordBatch.from_arrays([*map(pa.array, flat), lists], names=[*PLACE, "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Words()
-        got, held = {c: [] for c in (*PLACE, "bands")}, 0
+        docs, texts, words = [], [], []
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                words, ends = pieces(text.as_py())
-                if not words:
+                own, ends = pieces(text.as_py())
+                if not own:
                     continue
-                sets, owner = shingle_sets(words, ends, k, look)
-                heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                n = np.diff(np.append(heads, len(sets)))
-                with np.errstate(over="ignore"):
-                    key = np.add.reduceat(sets, heads) * _BASE + n.astype(np.uint64)
-                got["key"].append(key.view(np.int64))
-                got["doc"].append(np.full(len(ends), doc.as_py(), dtype=np.int64))
-                got["no"].append(np.arange(len(ends)))
-                got["begin"].append(np.append(0, ends[:-1]))
-                got["end"].append(ends)
-                got["n"].append(n)
-                got["bands"].append(band_values(sets, heads, bands, rows))
-                held += len(ends)
-                if held >= block:
-                    yield table(got)
-                    got, held = {c: [] for c in (*PLACE, "bands")}, 0
-        if held:
-            yield table(got)
+                docs.append(doc.as_py())
+                texts.append(ends)
+                words += own
+                if len(words) >= block:
+                    yield table(docs, texts, words, look)
+                    docs, texts, words = [], [], []
+        if docs:
+            yield table(docs, texts, words, look)
 
     return run
 
@@ -277,7 +280,9 @@ def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: flo
     # 2: bands that several classes share
     sent = found.where("size(bands) > 0").select(F.explode("bands").alias("band"), "key", "n")
     hit = sent.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
+    hit = scratch.write(hit, "hit")  # few; Spark measures them before it chooses the join
     shared = scratch.write(sent.join(hit, "band", "left_semi").distinct(), "shared")
+    del sent, hit  # plans that are still referenced keep their shuffle files
     scratch.release()
     # 3: one place of each class in them is read again
     wanted = found.where("size(bands) > 0").join(shared.select("key").distinct(), "key", "left_semi")
@@ -285,12 +290,14 @@ def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: flo
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "begin", "end")).alias("asked"))
     sets = base.join(asked, "doc").select("text", "asked").mapInArrow(_read_sets(k), "key long, shingles array<long>")
     sets = scratch.write(sets.dropDuplicates(["key"]), "sets")
+    del wanted, asked
     scratch.release()
     grouped = cells(shared, cell_shingles).join(sets, "key").select("band", "low", "high", "key", "shingles")
     grouped = grouped.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     links = scratch.write(grouped.mapInArrow(_verify(sim), "a long, b long").distinct(), "links")
-    scratch.drop("shared")
-    scratch.drop("sets")
+    del shared, sets, grouped
+    for name in ("hit", "shared", "sets"):
+        scratch.drop(name)
     scratch.release()
     # 4: classes with several places, or with a link
     comp = connected_components(links, scratch).withColumnRenamed("node", "key")
@@ -298,6 +305,7 @@ def repeated_passages(docs: DataFrame, k: int = 5, sim: float = 0.8, recall: flo
     classes = found.groupBy("key").agg(*ends).join(comp, "key", "left")
     classes = classes.where("component is not null or first_doc <> last_doc or least_no <> most_no").select("key", "component", "first_doc")
     classes = scratch.write(classes, "classes")
+    del comp, links
     scratch.release()
     joined = classes.where("component is not null")
     joined = joined.join(joined.groupBy("component").agg(F.min("first_doc").alias("keeper")), "component").select("key", "component", "keeper")
