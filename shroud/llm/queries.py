@@ -17,7 +17,7 @@ from shroud.llm.quality import op4_quality
 from shroud.llm.secrets import op8_secrets
 from shroud.llm.simhash import op10_simhash
 from shroud.llm.substrings import op7_substrings
-from shroud.llm.warc import op6_warc
+from shroud.llm.warc import OP6_SQL, op6_warc
 from shroud.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
     "op12_exactdup": OP12_SQL,
 }

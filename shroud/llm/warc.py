@@ -175,7 +175,9 @@ def read_records(index: DataFrame, gap: int = 1 << 16, range_bytes: int = 1 << 2
     places = index.select("file", "offset", "length")
     # a stretch of a file is one unit of work: large files are read by many tasks
     stretch = (F.col("offset") / range_bytes).cast("long")
-    places = places.repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # as many tasks as the archives have ranges: adaptive execution would merge them by the size of the index
+    total = index.agg(F.sum("length")).first()[0] or 0
+    places = places.repartition(1 + total // range_bytes, "file", stretch).sortWithinPartitions("file", "offset")
     return places.mapInPandas(read, RECORD)
 
 
@@ -186,3 +188,13 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     got = read_records(index)
     checked = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("payload differs from its digest")))
     return got.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: DuckDB SQL for the rows of ``op6_warc``
+OP6_SQL = """
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > least_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > least_id THEN least_id END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY d) AS least_id
+      FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages))
+"""
