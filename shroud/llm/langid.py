@@ -8,11 +8,16 @@ phrases of a text of n characters and N training characters, c * log2(N) / n
 estimates the cross-entropy; the language with the least of it wins.
 
 The training text is a bounded sample: documents in hash order up to
-``sample_chars`` characters a language, from rows with a language that are not
-held out.  Predictions use the text only, and all of it: texts are cut into
+``sample_chars`` characters a language, however many documents that takes, from
+rows with a language that are not held out.  Every letter of the sample has a class
+of its own in all automata; the commonest have a column in the table of edges, the
+others are looked up in a sorted list.  Predictions use the text only, and all of it: texts are cut into
 segments of ``SEGMENT`` characters, all parsed side by side, each from a fresh
 phrase.  Language, source and id are never inputs of a prediction.
 
+Repeated rows are predicted each, and learned from each.  An empty table gives an
+empty result.  Columns named ``lang_pred`` and ``lang_score`` are replaced.
+
 Null text, or text without a letter, is ``und`` with score 0.  Without any
 training row every text is ``und``.  Ties go to the first language by name.
 """
@@ -23,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,20 +50,54 @@ def training_sample(docs: DataFrame, sample_chars: int, seed: int = 42) -> dict[
     """At most ``sample_chars`` characters a language, in hash order of the documents; the bound holds on the driver too."""
     rows = project(docs, doc_id="doc_id", text="text", lang="lang")
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    n = F.length("text")
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", F.xxhash64("text"))
-    rows = rows.select("lang", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text"), n.alias("n"))
-    # the rank limit is applied before the exchange, so that a language costs at most `top` rows a task
-    top = max(1, sample_chars // 256)
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))).where(F.col("rank") <= top)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
+    # level: binary digits of the hash, so each level holds half of the documents above it
+    rows = rows.select("lang", "doc_id", h.alias("h"), F.length(F.bin(h)).alias("level"), F.substring("text", 1, sample_chars).alias("text"))
+    rows = rows.withColumn("n", F.length("text"))
+    chars: dict[str, dict[int, int]] = {}
+    for r in rows.groupBy("lang", "level").agg(F.sum("n").alias("n")).collect():  # at most 64 rows a language
+        chars.setdefault(r["lang"], {})[r["level"]] = r["n"]
+    enough = []
+    for lang, by_level in chars.items():
+        total = 0
+        for level in sorted(by_level):
+            total += by_level[level]
+            if total >= sample_chars:
+                break
+        enough.append((lang, level))
+    if not enough:
+        return {}
+    # the lowest levels that hold the sample: about twice its size, however large the corpus
+    limits = docs.sparkSession.createDataFrame(enough, "lang string, most int")
+    rows = rows.join(F.broadcast(limits), "lang").where("level <= most")
+    order = W.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("rank", F.row_number().over(order))
     run = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("before", run).where(F.col("before") < sample_chars)
     rows = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("before", "rank", "text"))).alias("parts"))
     return {r["lang"]: "\x00".join(p["text"] for p in r["parts"])[:sample_chars] for r in rows.collect()}
 
 
-def suffix_automaton(text: list[int], width: int, stop: int) -> np.ndarray:
-    """Transition table (states, width) of the automaton of all substrings; 0: no edge, the root is state 1.
+class Edges(NamedTuple):
+    """Edges of an automaton: a flat table (states, width) of the classes below ``width``, 0 for none, and the others sorted by state and class."""
+
+    table: np.ndarray
+    rare: np.ndarray  # state * _MAX_CODE + class
+    rare_to: np.ndarray
+
+    def go(self, state: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
+        common = c < width
+        to = self.table[state * width + np.where(common, c, 0)]
+        if not common.all():
+            at = np.flatnonzero(~common)
+            want = state[at] * _MAX_CODE + c[at]
+            found = np.minimum(np.searchsorted(self.rare, want), max(0, len(self.rare) - 1))
+            to[at] = np.where(self.rare[found] == want, self.rare_to[found], 0) if len(self.rare) else 0
+        return to
+
+
+def automaton(text: list[int], width: int, stop: int) -> Edges:
+    """The suffix automaton: all substrings; state 0: no edge, the root is state 1.
 
     ``stop`` parts the documents: no edge carries it, so no match crosses it.
     """
@@ -104,45 +144,58 @@ def suffix_automaton(text: list[int], width: int, stop: int) -> np.ndarray:
             link[cur] = clone
             last = cur
     table = np.zeros((len(nxt), width), dtype=np.int32)
+    rare = []
     for s, edges in enumerate(nxt):
         for c, t in edges.items():
-            table[s, c] = t
-    return table
+            if c < width:
+                table[s, c] = t
+            else:
+                rare.append((s * _MAX_CODE + c, t))
+    rare.sort()
+    return Edges(table.ravel(), np.array([k for k, _ in rare], dtype=np.int64), np.array([t for _, t in rare], dtype=np.int32))
 
 
 @lru_cache(maxsize=2)
 def _model(samples: tuple[tuple[str, str], ...], width: int):
     """Character classes and one automaton a language, made once a Python worker."""
     counts = Counter(ch for _, t in samples for ch in t.lower() if ch.isalpha())
-    classes = np.zeros(_MAX_CODE, dtype=np.int8)  # 0: no edge of any automaton carries it
+    classes = np.zeros(_MAX_CODE, dtype=np.int32)  # 0: no edge of any automaton carries it
     letter = np.fromiter((chr(i).isalpha() for i in range(_MAX_CODE)), dtype=bool, count=_MAX_CODE)
     classes[~letter] = 1  # everything but letters is one class
-    for i, (ch, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: width - 3]):
-        classes[ord(ch)] = i + 2
     stop = width - 1
+    for i, (ch, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
+        classes[ord(ch)] = i + 2 if i + 2 < stop else i + 3
     tables, sizes = [], []
     for _, text in samples:
         low = text.lower()
         codes = classes[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")].tolist()
         codes = [stop if ch == "\x00" else c for ch, c in zip(low, codes)]
-        tables.append(suffix_automaton(codes, width, stop).ravel())
+        tables.append(automaton(codes, width, stop))
         sizes.append(max(2, len(codes)))
     return classes, letter, tables, sizes
 
 
-def count_phrases(codes: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
-    """Phrases of each row of a (characters, segments) matrix; -1 pads the ends."""
+def suffix_automaton(text: list[int], width: int, stop: int) -> np.ndarray:
+    """The table (states, width) alone, for alphabets that fit it."""
+    return automaton(text, width, stop).table.reshape(-1, width)
+
+
+def count_phrases(codes: np.ndarray, edges: Edges | np.ndarray, width: int) -> np.ndarray:
+    """Phrases of each row of a (characters, segments) matrix; -1 pads the ends.  ``edges`` may be a flat table alone."""
+    if isinstance(edges, np.ndarray):
+        edges = Edges(edges, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
     n = codes.shape[1]
-    state, phrases = np.ones(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
-    phrases += codes[0] >= 0  # the first phrase
+    # state 0 has no edges: before the first character, and behind one that no edge carries, a phrase begins
+    state, phrases = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32)
+    root = np.ones(n, dtype=np.int64)
     for row in codes:
         on = row >= 0
         c = np.where(on, row, 0)
-        to = table[state * width + c]
+        to = edges.go(state, c, width)
         miss = (to == 0) & on
         phrases += miss
-        again = table[width + c]  # from the root
-        to = np.where(miss, np.where(again == 0, 1, again), to)
+        again = edges.go(root, c, width)
+        to = np.where(miss, again, to)
         state = np.where(on, to, state)
     return phrases
 
@@ -163,7 +216,7 @@ def _segments(texts: list[str], classes: np.ndarray, letter: np.ndarray):
     at = begin[None, :] + np.arange(SEGMENT)[:, None]
     inside = np.arange(SEGMENT)[:, None] < size[None, :]
     codes = np.where(inside, classes[joined[np.minimum(at, max(0, len(joined) - 1))]] if len(joined) else 0, -1)
-    return codes.astype(np.int16), owner, lengths, has
+    return codes.astype(np.int32), owner, lengths, has
 
 
 def parse_texts(texts: list[str], samples: tuple[tuple[str, str], ...], width: int = 64, block_chars: int = 1 << 20) -> list[tuple[str, float]]:
