@@ -5,7 +5,9 @@ escapes, base64, and gzip or zlib streams inside base64) are unwrapped into new
 layers, which are scanned and unwrapped in turn until no new layer appears.  A
 layer seen before at the same place is not taken again, so layers that contain
 themselves end.  Each character of a layer knows the span of the original text it
-came from; a secret found in a layer is reported at that span.  Decoded bytes are
+came from; a secret found in a layer is reported at that span.  Characters of a
+compressed layer came from its own row of members, not from what stands beside it in
+the run.  Decoded bytes are
 read whatever they hold: as UTF-8 with bytes that are none kept in place, and as
 UTF-16 and UTF-32 where there are NULs.
 
@@ -235,13 +237,16 @@ def _unicode_escape(m: re.Match):
     return None if "\ud800" <= ch <= "\udfff" else [(ch, m.start(), m.end())]
 
 
-def _streams(raw: bytes, piece: int) -> Iterator[Iterator[bytes]]:
-    """What each row of compressed members of ``raw`` holds: from its start, and from wherever gzip begins behind the last row."""
+def _streams(raw: bytes, piece: int) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """Each row of compressed members of ``raw``: its bytes [begin, stop) and what it holds; from its start, and from wherever
+    gzip begins behind the last row.  A damaged row may reach to the end."""
     at = 0 if _packed(raw) else raw.find(b"\x1f\x8b\x08")
     while at >= 0:
         rest = [raw[at:]]
-        yield _inflate(rest, piece)
+        for _ in _inflate(rest, piece):
+            pass
         read = len(raw) - at - len(rest[0])
+        yield at, len(raw) if _packed(rest[0]) else at + read, _inflate([raw[at:]], piece)
         at = raw.find(b"\x1f\x8b\x08", at + max(read, 1))
 
 
@@ -263,10 +268,11 @@ def _base64_layers(layer: Layer, max_layer: int) -> Iterator[Layer]:
             body = body[: len(body) - (len(body) % 4 == 1)]
             at = place[skip : skip + len(body)]
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-            for stream in _streams(raw, max_layer):
+            for begin, stop, stream in _streams(raw, max_layer):
+                first, last = at[begin * 8 // 6], end if stop == len(raw) else at[-(-stop * 8 // 6) - 1] + 1
                 for part in _pieces(stream, max_layer):
                     for text, _, _ in _readings(part, False):
-                        yield layer.derive(text, np.broadcast_to(at[0], len(text)), np.broadcast_to(end, len(text)))
+                        yield layer.derive(text, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text)))
             for text, begin, stop in _readings(raw):  # byte i lies in the base64 characters from 8i/6 to (8i+8)/6
                 yield layer.derive(text, at[begin * 8 // 6], at[-(-stop * 8 // 6) - 1] + 1)
 
